@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, quality, sharding, simhash
+from quillspark.llm import decontamination, licenses, mixing, quality, sharding, simhash
 from quillspark.llm._common import documents
 
 
@@ -48,11 +48,27 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, a row for each document and item."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.find_leaks(docs, benchmark)
+    return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "last_word", "n_windows")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and template spans of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan_licenses(docs).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_kd_shards": op4_kd_shards,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
