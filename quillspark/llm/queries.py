@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, licenses, mixing, quality, sharding, simhash
+from quillspark.llm import decontamination, language, licenses, mixing, quality, sharding, simhash, substrings, suffixes
 from quillspark.llm._common import documents
 
 
@@ -48,6 +48,13 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that repeat in the corpus, and what remains without later occurrences."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = substrings.dedup_substrings(docs, keep_bytes=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", (F.col("n_repeated") > 0).alias("has_repeats"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents, a row for each document and item."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -56,19 +63,37 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "last_word", "n_windows")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the documents that aren't held out, applied to all."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and template spans of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return licenses.scan_licenses(docs).withColumnRenamed("id", "doc_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte that 400-byte strings cover which start twice or more in the corpus goes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = suffixes.remove_repeats(docs, keep_bytes=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_kd_shards": op4_kd_shards,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
