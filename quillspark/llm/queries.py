@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language, licenses, mixing, quality, sharding, simhash, substrings, suffixes
+from quillspark.llm import decontamination, language, licenses, mixing, quality, secrets, sharding, simhash, substrings, suffixes
 from quillspark.llm._common import documents
 
 
@@ -55,6 +55,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", (F.col("n_repeated") > 0).alias("has_repeats"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; the secret itself as its SHA-256."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    found = secrets.scan_secrets(docs)
+    return found.select(F.col("id").alias("doc_id"), "position", F.sha2("secret", 256).alias("secret_sha256"), F.length("secret").cast("long").alias("length"), "probability", "is_secret")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents, a row for each document and item."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -90,6 +97,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_kd_shards": op4_kd_shards,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
