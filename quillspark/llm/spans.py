@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +53,14 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
         names = ["n_bytes", "n_removed", "n_spans", "spans", "n_repeated", "repeated", "kept_sha256", "kept"]
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            found_here = batch.column(2).flatten()
+            start, end, drop = (found_here.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))
+            upto = np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            for text, a, b in zip(batch.column(1), [0, *upto], upto, strict=False):
                 raw = text.as_py() or b""
-                every = [x for x in merged([(s["start"], s["end"]) for s in spans or []]) if x[1] - x[0] >= passage]
-                runs = [x for x in merged([(s["start"], s["end"]) for s in spans or [] if s["drop"]]) if x[1] - x[0] >= passage]
+                spans = list(zip(start[a:b], end[a:b], drop[a:b], strict=True))
+                every = [x for x in merged([x[:2] for x in spans]) if x[1] - x[0] >= passage]
+                runs = [x for x in merged([x[:2] for x in spans if x[2]]) if x[1] - x[0] >= passage]
                 kept = cut(raw, runs)
                 dicts = [[{"start": a, "end": b} for a, b in x] for x in (runs, every)]
                 rows.append((len(raw), sum(b - a for a, b in runs), len(runs), dicts[0], sum(b - a for a, b in every), dicts[1], hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))

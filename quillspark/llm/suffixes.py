@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import staged
@@ -34,12 +34,9 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
     n = len(t)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    is_s = _smaller_than_successor(t)
-    directly = np.flatnonzero(is_s).tolist()
-    directly.sort(key=lambda i: text[i : i + depth])
-    sorted_s = np.array(directly, dtype=np.int64)
-    first = t[sorted_s]
-    s_ends = np.searchsorted(first, np.arange(257))
+    of_s = np.flatnonzero(_smaller_than_successor(t))
+    of_s = of_s[np.argsort(t[of_s], kind="stable")]
+    s_ends = np.searchsorted(t[of_s], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[t[n - 1]].append(np.array([n - 1], dtype=np.int64))
     out = []
@@ -50,7 +47,9 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
             before = bucket[bucket > 0] - 1
             bucket = before[t[before] == c]
             found.append(bucket)
-        whole = np.concatenate([*found, sorted_s[s_ends[c] : s_ends[c + 1]]])
+        directly = of_s[s_ends[c] : s_ends[c + 1]].tolist()
+        directly.sort(key=lambda i: text[i : i + depth])  # the keys of one bucket at a time are held
+        whole = np.concatenate([*found, np.array(directly, dtype=np.int64)])
         out.append(whole)
         before = whole[whole > 0] - 1
         before = before[t[before] > c]
@@ -221,6 +220,14 @@ def _window_digests(length: int):
     return of
 
 
+def _runs_of_windows(starts: DataFrame, length: int) -> DataFrame:
+    """(bucket, digest, from, to) of the bytes that windows(bucket, digest, start) cover; a piece has few windows."""
+    order = Window.partitionBy("bucket", "digest").orderBy("start")
+    fresh = F.coalesce(F.col("start") - F.lag("start").over(order) > length, F.lit(True)).cast("int")
+    runs = starts.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    return runs.groupBy("bucket", "digest", "run").agg(F.min("start").alias("from"), (F.max("start") + length).alias("to")).drop("run")
+
+
 def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """(k1, k2, spans) from keyed(k1, k2, text), for texts with any: arrays of (start, end, drop) that
     together cover each byte of a `length`-byte string which starts anywhere else in the corpus.
@@ -253,7 +260,7 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     large = fetched.join(open_.where("large").select("bucket"), "bucket").select("bucket", "digest", "piece")
     windows = large.mapInArrow(_window_digests(length), "bucket long, digest long, start int, w1 long, w2 long")
     common = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    by_count = windows.join(common, ["w1", "w2"]).select("bucket", "digest", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    by_count = _runs_of_windows(windows.join(common, ["w1", "w2"]).select("bucket", "digest", "start"), length)
     parts = whole.union(by_sort).union(by_count).groupBy("bucket", "digest").agg(F.collect_set(F.struct("from", "to")).alias("parts"))
     hits = seen.join(parts, ["bucket", "digest"]).select("k1", "k2", "start", F.explode("parts").alias("p"))
     span = F.struct((F.col("start") + F.col("p.from")).alias("start"), (F.col("start") + F.col("p.to")).alias("end"), F.lit(True).alias("drop"))
