@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 OUT = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, n_repeated long, repeated array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a worker makes of one is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def document_key(id_: Column, text: Column) -> list[Column]:
     """Two hashes, k1 and k2, that tell rows apart by id and text; equal rows are one document."""
     return [F.xxhash64(text, id_).alias("k1"), F.xxhash64(id_, text, F.lit(7)).alias("k2")]
@@ -51,7 +58,7 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pairs, pa.int64(), pairs, pa.string(), pa.binary()]
         names = ["n_bytes", "n_removed", "n_spans", "spans", "n_repeated", "repeated", "kept_sha256", "kept"]
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             found_here = batch.column(2).flatten()
             start, end, drop = (found_here.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import staged
-from quillspark.llm.spans import document_key, without_spans
+from quillspark.llm.spans import document_key, small, without_spans
 
 #: The gear hash sees WINDOW bytes. A chunk ends where MASK's bits of the hash are zero, once it has
 #: LEAST bytes, and at MOST bytes anyway; so it has about LEAST + 16 bytes.
@@ -58,7 +58,7 @@ def chunk_ends(raw: bytes) -> list[int]:
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From batches (k1, k2, text) a row for each chunk: k1, k2, digest, start, end."""
-    for batch in batches:
+    for batch in small(batches):
         digests, starts, stops, counts = [], [], [], []
         for text in batch.column(2):
             raw = text.as_py() or b""
