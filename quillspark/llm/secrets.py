@@ -77,7 +77,7 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
     count = lambda p: F.regexp_count(token, F.lit(p)).cast("double")
     has = lambda words, where: F.size(F.filter(where, lambda w: F.regexp_replace(w, "[^a-z0-9_]", "").isin(*words))).cast("double")
     both = F.concat("before", "after")
-    last = F.coalesce(F.element_at(F.filter("before", lambda w: w != ""), -1), F.lit(""))
+    last = F.coalesce(F.try_element_at(F.filter("before", lambda w: w != ""), F.lit(-1)), F.lit(""))
     values = {
         "length": n,
         "transitions": count(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])") / n,
