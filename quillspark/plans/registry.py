@@ -26,13 +26,20 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from quillspark.plans import analysis, clean, modelling  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["agg_11_tag_toxicity"](spark, sf_dir)
