@@ -117,6 +117,6 @@ def prompt(texts: Column, total: Column, cap: int, ask: str) -> Column:
     extra = F.greatest(total - cap, F.lit(0))
     shown = F.when(extra > 0, F.concat(F.lit(f", showing {cap} at random"))).otherwise("")
     head = F.concat(F.lit("User's reviews ("), total.cast("string"), F.lit(" total"), shown, F.lit("):"))
-    lines = F.transform(texts, lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit(']"""'), cut(t, "prompt"), F.lit('"""')))
+    lines = F.transform(texts, lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit('] """'), cut(t, "prompt"), F.lit('"""')))
     more = F.when(extra > 0, F.array(F.concat(F.lit("... and "), extra.cast("string"), F.lit(" more reviews not shown.")))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(F.array(head), lines, more, F.array(F.lit(ask))), "\n")

@@ -438,7 +438,7 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", hashing.md5_number(F.col("o_orderkey")).alias("h"))
 
 
-@query("str_17_agg_21_prompts", "SELECT conv_id, 'User''s reviews (' || count(*) || ' total):' || chr(10) || string_agg('[' || turn - m || ']\"\"\"' || left(text, 1500) || '\"\"\"', chr(10) ORDER BY turn) || chr(10) || 'Judge.' AS prompt FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY 1")
+@query("str_17_agg_21_prompts", "SELECT conv_id, 'User''s reviews (' || count(*) || ' total):' || chr(10) || string_agg('[' || turn - m || '] \"\"\"' || left(text, 1500) || '\"\"\"', chr(10) ORDER BY turn) || chr(10) || 'Judge.' AS prompt FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY 1")
 def _(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("n"))
     return c.select("conv_id", text.prompt(F.transform("t", lambda s: s["text"]), F.col("n"), 1000, "Judge.").alias("prompt"))
