@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, language, licenses, mixing, quality, secrets, sharding, simhash, substrings, suffixes
 from quillspark.llm._common import documents
+from quillspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and template spans of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return licenses.scan_licenses(docs).withColumnRenamed("id", "doc_id")
+    return licenses.scan_licenses(docs).withColumnRenamed("id", "doc_id").drop("spans")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +104,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
