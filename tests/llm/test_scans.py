@@ -1,0 +1,212 @@
+"""Secret scans, decontamination, language identification, license scans and the pipeline."""
+
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillspark.llm import decontamination, language, licenses, secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.fit_forest(secrets.labelled_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    other = secrets.labelled_findings(spark, 1000, seed="held out")
+    got = secrets.scan_secrets(other.withColumnRenamed("id", "doc_id"), forest, path_col="path")
+    scored = got.join(other.select(F.col("id"), "label"), "id")
+    right = scored.where((F.col("label") == 1) == F.col("is_secret")).count()
+    assert right / scored.count() > 0.95
+    assert secrets.labelled_findings(spark).exceptAll(secrets.labelled_findings(spark)).isEmpty()
+    with pytest.raises(ValueError):
+        secrets.labelled_findings(spark, 10**6)
+
+
+def test_secrets_and_what_looks_like_them(spark, forest, prose_of):
+    live = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    docs = [
+        (1, f'{prose_of(1, 10)} token = "{live}" {prose_of(2, 10)}', "src"), (2, f"fixed in commit {live}.", "src"), (3, prose_of(3, 50), "src"),
+        (4, 'api_key: "YOUR_API_KEY_HERE_1"', "docs/x"), (5, None, None), (6, "", "a"), (7, "see lib_record_buffer22 and /usr/share/data_9.py", "src"), (1, f'x token = "{live}"', "src"),
+    ]
+    got = secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), forest).collect()
+    verdict = {(r["id"], r["secret"]): r["is_secret"] for r in got}
+    assert verdict[1, live] and not verdict[2, live] and not any(v for (i, _), v in verdict.items() if i in (2, 4, 7))
+    assert {r["id"] for r in got} == {1, 2, 4, 7} and sum(r["id"] == 1 for r in got) == 2
+
+
+def test_secret_scan_of_edge_cases(spark, forest, edge, empty):
+    assert secrets.scan_secrets(edge, forest).count() == 0
+    assert secrets.scan_secrets(empty, forest).count() == 0
+
+
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def weighted(words, k=5):
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) > k else Counter([tuple(words)])
+
+
+def brute_leaks(docs, items):
+    out = {}
+    for d, text in docs:
+        words = plain_words(text)
+        for i, item in items:
+            iw = plain_words(item)
+            if not words or not iw:
+                continue
+            n = min(len(iw), len(words))
+            want = weighted(iw)
+            best = 0.0
+            for s in range(len(words) - n + 1):
+                got = weighted(words[s : s + n])
+                common = sum((got & want).values())
+                best = max(best, common / (sum(got.values()) + sum(want.values()) - common))
+            if best >= 0.8:
+                out[d, i] = best
+    return out
+
+
+def test_leaks_against_brute_force(spark, prose_of):
+    items = [(i, prose_of(900 + i, 14 + 3 * i)) for i in range(12)] + [(50, "alpha beta gamma"), (51, None), (52, " ,;"), (53, prose_of(900, 14))]
+    docs = [(i, prose_of(i, 60 + i)) for i in range(30)]
+    for i in range(12):
+        d, t = docs[i]
+        item = items[i][1]
+        if i % 3 == 1:
+            item = item.upper().replace(" ", ", ")
+        if i % 3 == 2:
+            item = item.rpartition(" ")[0] + " changed"
+        docs[i] = (d, f"{t[:100]} {item} {t[100:]}")
+    docs += [(40, items[3][1]), (41, "x alpha beta gamma y"), (42, None), (43, ""), (None, items[4][1]), (44, items[5][1][: len(items[5][1]) // 2]), (0, docs[0][1])]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["id"], r["item"]): r["similarity"] for r in got.collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) >= 12 and found.keys() == want.keys()
+    assert found == pytest.approx(want)
+
+
+def test_block_guarantee():
+    """Within RADIUS bits some block differs in BLOCK_RADIUS bits or fewer."""
+    assert decontamination.RADIUS // decontamination.BLOCKS <= decontamination.BLOCK_RADIUS and decontamination.RADIUS == 15
+
+
+def test_decontamination_of_edge_cases(spark, edge, empty, prose_of):
+    items = spark.createDataFrame([(1, prose_of(3, 80)), (2, prose_of(1, 30_000)[3000:3300])], "item_id long, text string")
+    clean = decontamination.drop_contaminated(edge, items)
+    assert clean.columns == edge.columns
+    gone = Counter(r["doc_id"] for r in edge.collect()) - Counter(r["doc_id"] for r in clean.collect())
+    assert gone == Counter({6: 1, 7: 1})
+    assert decontamination.drop_contaminated(empty, items).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.drop_contaminated(edge, none).count() == edge.count()
+
+
+SOUNDS = {"en": ("th", "ing", "ou"), "fr": ("eau", "é", "que"), "de": ("sch", "ung", "ü")}
+
+
+def sentence(lang, seed):
+    import random
+
+    rng = random.Random(f"{lang}{seed}")
+    return " ".join("".join(rng.choice(SOUNDS[lang] + ("a", "e", "n", "r")) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(4, 30)))
+
+
+def test_language_on_held_out_texts(spark):
+    docs = [(i, sentence(lang, i), lang) for i in range(120) for lang in SOUNDS]
+    docs = [(k, t, lang) for k, (_, t, lang) in enumerate(docs)]
+    train = spark.createDataFrame(docs[:240], "doc_id long, text string, lang string")
+    model = language.train(train)
+    test = spark.createDataFrame(docs[240:], "doc_id long, text string, lang string")
+    got = language.identify(test, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got)
+    again = language.identify(test, language.train(train)).collect()
+    assert [r["lang_pred"] for r in again] == [r["lang_pred"] for r in got]
+
+
+def test_kernel_is_the_share_of_common_grams():
+    model = language.fit(["abc abc", "xyz", "abd", "xyw"], ["a", "b", "a", "b"], landmarks_a_language=2)
+    a, b = (set(map(int, language.present(t))) for t in ("abc abc", "abd"))
+    kernel = model.features(["abc abc"]) @ model.features(["abd"]).T
+    assert kernel[0, 0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-4)
+
+
+def test_language_of_edge_cases(spark, edge, empty):
+    model = language.train(edge)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(edge, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[7][0] in {"en", "fr", "de"}
+    assert language.identify(edge, model).count() == edge.count() and language.identify(empty, model).count() == 0
+    assert language.train(empty) is None
+    assert {r["lang_pred"] for r in language.identify(edge, None).collect()} == {"und"}
+
+
+def brute_phrases(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_licenses(spark, prose_of):
+    notice = licenses.TEMPLATES[1][1]
+    texts = [
+        "Released under the MIT License.", "cc-by cc BY CC by", "x GNU General Public\nLicense y, Apache License", f"{prose_of(1, 50)} {notice} {prose_of(2, 20)}", None, "", "...", prose_of(3, 200),
+        notice.replace("without restriction", "with no restriction").replace("copies of the Software,", "many copies of this Software,"), "mit licenses", "Licensed under CC BY-NC 4.0.", "ÉMIT license mit LICENSE", notice[: len(notice) // 4],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in licenses.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_phrases(t)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got[3]["labels"] == got[8]["labels"] == "mit" and got[3]["n_base"] == 0 and got[3]["score"] == 1.0 and 0.6 <= got[8]["score"] < 1
+    assert got[3]["spans"][0]["first_word"] == 50
+    assert got[10]["labels"] == "cc-by,cc-by-nc-4.0" and got[7]["labels"] == got[12]["labels"] == ""
+
+
+def test_licenses_of_edge_cases(spark, edge, empty):
+    assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(empty).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, sizes = docs.columns, []
+    from quillspark.llm import quality
+    from quillspark.llm._common import staged
+
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = staged(stage(spark, before, SF), name)
+        if name == "quality_rules":
+            want = {r["doc_id"] for r in before.collect() if not any(eval(sql.replace("AND", "and"), {}, dict(zip(quality.MEASUREMENTS, quality.measure(r["text"])))) for _, sql in quality.RULES)}
+            assert {r["doc_id"] for r in after.collect()} == want
+        if name == "near_dedup":
+            texts = [r["text"] for r in after.collect()]
+            assert len(texts) == len(set(texts))
+        if name == "decontaminate":
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            leaks = brute_leaks([(r["doc_id"], r["text"]) for r in before.collect() if len(r["text"]) < 6000], items)
+            gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in after.collect()}
+            assert {d for d, _ in leaks} <= gone and len(gone) < 40
+        if name == "mix_sources":
+            assert max(Counter(r["doc_id"] for r in after.collect()).values()) == 2
+        if name != "shard":
+            assert after.columns == columns
+        sizes.append(after.count())
+        before = after
+    assert {"shard", "slot"} <= set(before.columns) and sizes[-1] == sizes[-2]
+    assert corpus_pipeline.run(spark, SF).exceptAll(before.select(*before.columns)).count() == 0
+
+
+def test_pipeline_of_edge_cases(spark, edge, empty):
+    for docs in (edge, empty):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+        assert docs.count() >= 0
