@@ -15,7 +15,7 @@ from quillspark.llm.decontamination import drop_contaminated
 from quillspark.llm.mixing import take_mix
 from quillspark.llm.quality import keep_quality
 from quillspark.llm.sharding import kd_shards, metadata_dimensions, with_slots
-from quillspark.llm.simhash import drop_near_duplicates
+from quillspark.llm.similar import drop_similar
 
 SHARDS = 16
 
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles) stays: that of the smallest id."""
-    return drop_near_duplicates(docs, shingle_words=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id."""
+    return drop_similar(docs, shingle_words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
