@@ -67,12 +67,15 @@ def lexicon(means: DataFrame) -> DataFrame:
 
 
 def top_terms(words: DataFrame, by: str, n: int) -> DataFrame:
-    """(class, rank, term, value): the n terms of either class by `difference`, `log_ratio` or the class's own mean."""
+    """(class, rank, term, value): the n terms of either class by `difference`, `log_ratio` or the class's own mean.
+
+    Values are compared at ten decimals, so sums taken in another order don't change the ranks.
+    """
     own = by == "mean"
     both = []
     for label, column, sign in (("toxic", "toxic", 1), ("neutral", "neutral", -1)):
         value = F.col(column) if own else sign * F.col(by)
-        best = words.withColumn("_v", value).orderBy(F.desc("_v"), "term").limit(n)
+        best = words.withColumn("_v", F.round(value, 10)).orderBy(F.desc("_v"), "term").limit(n)
         both.append(best.select(F.lit(label).alias("class"), F.row_number().over(Window.orderBy(F.desc("_v"), "term")).alias("rank"), "term", (F.col(column) if own else F.col(by)).alias("value")))
     return both[0].unionByName(both[1])
 

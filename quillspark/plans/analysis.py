@@ -245,7 +245,7 @@ def _(spark, d):
     return _lexicon(spark, d).select("term", *(F.round(c, 6).alias(c) for c in ("toxic", "neutral")), (F.round("difference", 6) + 0).alias("difference"))
 
 
-@query("txt_09_top_terms", f"WITH {_TERMS}, {_VOCAB}, {_WEIGHTS}, {_MEANS}, l AS (SELECT term, toxic - neutral AS v FROM m) SELECT 'toxic' AS class, rank::INT AS rank, term, round(v, 6) AS value FROM (SELECT *, row_number() OVER (ORDER BY v DESC, term) AS rank FROM l) WHERE rank <= 10 UNION ALL SELECT 'neutral', rank::INT, term, round(v, 6) FROM (SELECT *, row_number() OVER (ORDER BY v, term) AS rank FROM l) WHERE rank <= 10")
+@query("txt_09_top_terms", f"WITH {_TERMS}, {_VOCAB}, {_WEIGHTS}, {_MEANS}, l AS (SELECT term, toxic - neutral AS v FROM m) SELECT 'toxic' AS class, rank::INT AS rank, term, round(v, 6) AS value FROM (SELECT *, row_number() OVER (ORDER BY round(v, 10) DESC, term) AS rank FROM l) WHERE rank <= 10 UNION ALL SELECT 'neutral', rank::INT, term, round(v, 6) FROM (SELECT *, row_number() OVER (ORDER BY round(v, 10), term) AS rank FROM l) WHERE rank <= 10")
 def _(spark, d):
     return terms.top_terms(_lexicon(spark, d), "difference", 10).withColumn("value", F.round("value", 6))
 
