@@ -367,3 +367,55 @@ def _(spark, d):
     saved = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
     again = li.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("n").alias("n"))
     return saved.agg(F.count("*").alias("n_groups"), F.lit(statistics.same_rows(saved, again)).alias("same"))
+
+
+@query("ord_04_largest_per_column", "WITH m AS (SELECT l_partkey AS k, 'quantity' AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1 UNION ALL SELECT l_partkey, 'tax', round(sum(l_tax), 6) FROM lineitem GROUP BY 1) SELECT c, k, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v DESC, k) AS rank FROM m) WHERE rank <= 3")
+def _(spark, d):
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_tax"), 6).alias("tax"))
+    long = m.unpivot("k", ["quantity", "tax"], "c", "v")
+    return sampling.top_k(long, ["c"], [F.desc("v"), F.col("k")], 3).select("c", "k", F.round("v", 6).alias("v"), "rank")
+
+
+@query("ord_06_by_row_mean", "SELECT l_shipmode, round((a + b) / 2, 6) AS mean FROM (SELECT l_returnflag AS l_shipmode, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY 1) ORDER BY mean DESC")
+def _(spark, d):
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    return m.select("l_shipmode", F.round((F.col("a") + F.col("b")) / 2, 6).alias("mean")).orderBy(F.desc("mean"))
+
+
+@query("set_04_uncovered_terms", f"WITH {G} SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM g WHERE game_id % 2 = 0) WHERE tag NOT IN (SELECT unnest(tags) FROM g WHERE game_id % 997 = 1)")
+def _(spark, d):
+    g = games(spark, d)
+    a = g.where("game_id % 2 = 0").select(F.explode("tags").alias("tag")).distinct()
+    return a.join(g.where("game_id % 997 = 1").select(F.explode("tags").alias("tag")), "tag", "left_anti")
+
+
+@query("str_11_for_terms", f"SELECT doc_id, {CLEAN} AS clean FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.for_terms(F.col("text")).alias("clean"))
+
+
+@query("sta_07_equal_bins", "WITH c AS (SELECT 'bin' AS name, count(*) AS n FROM orders GROUP BY o_orderkey % 5 UNION ALL SELECT 'status', count(*) FROM orders GROUP BY o_orderstatus) SELECT name FROM c GROUP BY 1 HAVING min(n) = max(n) AND count(*) > 1")
+def _(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("bin"), F.col("o_orderstatus").alias("status"))
+    return spark.createDataFrame([(c,) for c in statistics.equal_bins(o, ["bin", "status"])], "name string")
+
+
+_BALANCED = "y AS (SELECT doc_id, toxic, round((doc_id % 17) / 17 * 0.7 + toxic * 0.3, 4) AS p FROM labels), e AS (SELECT doc_id, toxic, p, k::INT AS draw FROM y CROSS JOIN range(5) t(k)), q AS (SELECT *, row_number() OVER (PARTITION BY toxic, draw ORDER BY ('0x' || substr(md5(doc_id || ':' || draw || 'bal'), 1, 15))::BIGINT, doc_id) AS rn FROM e), s AS (SELECT toxic AS y, p, draw FROM q WHERE toxic = 1 OR rn <= (SELECT count(*) FROM y WHERE toxic = 1) UNION ALL SELECT toxic, p, -1 FROM y)"
+
+
+@query("sta_14_15_real_and_balanced", f"WITH {_BALANCED}, k AS (SELECT draw, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM s GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY draw) AS np FROM k WINDOW w AS (PARTITION BY draw ORDER BY p DESC)), a AS (SELECT draw, sum(pos::DOUBLE / np * tp / (tp + fp)) AS ap FROM c GROUP BY 1) SELECT CASE WHEN draw < 0 THEN 'real' ELSE 'balanced' END AS kind, count(*) AS n, round(avg(ap), 6) AS mean, round(coalesce(stddev_samp(ap), 0), 6) AS sd FROM a GROUP BY 1")
+def _(spark, d):
+    y = table(spark, d, "labels").select("doc_id", "toxic", F.round(F.col("doc_id") % 17 / 17 * 0.7 + F.col("toxic") * 0.3, 4).alias("p"))
+    draws = sampling.balanced_draws(y, "toxic", "doc_id", 5, "bal").unionByName(y.withColumn("draw", F.lit(-1)))
+    ap = statistics.ranking_metrics(draws, "toxic", "p", ["draw"])
+    kind = F.when(F.col("draw") < 0, "real").otherwise("balanced").alias("kind")
+    return ap.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg("auc_pr"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("auc_pr"), F.lit(0.0)), 6).alias("sd"))
+
+
+@query("txt_13_ordering_claims")
+def _(spark, d):
+    docs, tf = _terms(spark, d)
+    w = terms.weights(tf, _vocab(docs, tf), "doc_id")
+    matrix = terms.tag_means(w, docs.select("doc_id", F.col("source").alias("tag")), "doc_id", ["the", "de"])
+    claims = terms.ordering_claims(matrix, [("the", "src0", "src1"), ("de", "src1", "src0"), ("nowhere", "src0", "src1")])
+    return spark.createDataFrame(claims, "term string, high string, low string, verdict string")

@@ -11,6 +11,17 @@ from quillspark.plans.roles import MD5, P, R, TOXIC, profiles, reviews, table
 from quillspark.streaming import incremental
 
 
+def _shared(spark) -> str:
+    """The folder named in spark.checkpoint.dir; on a local master without it, a temporary one."""
+    import tempfile
+
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quillspark-")
+
+
 def _resolved(spark, d):
     r = reviews(spark, d).select(
         F.col("review_url"), F.concat(F.lit("https://host/profiles/"), "user_id").alias("user_url"), "game_id", F.concat_ws(" ", "review_lang", "declared", "game_id").alias("review_text"),
@@ -145,12 +156,68 @@ def _(spark, d):
 
 @query("snk_05_incremental_counts", "SELECT user_id, count(*) AS n, sum((value >= 50)::INT)::BIGINT AS n_toxic FROM events GROUP BY 1")
 def _(spark, d):
-    import tempfile
     import uuid
 
     source = table(spark, d, "events").selectExpr("user_id", "CASE WHEN value >= 50 THEN 1.0D ELSE 0.0D END AS perspective", "0.0D AS detoxify")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    path = f"{root.rstrip('/')}/events-{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/events-{uuid.uuid4().hex}"
     source.write.parquet(path)
     stream = incremental.new_files(spark, path, source.schema)
     return incremental.latest_counts(spark, incremental.running_counts(stream, "user_id"), f"counts_{uuid.uuid4().hex}")
+
+
+@query("ml_03_05_linear_and_mlp")
+def _(spark, d):
+    data = sampling.folds(_users(spark, d), "y", "user_key", 2)
+    kinds = {"profile": {"numeric": ["x0", "x1", "x2", "x3"]}}
+    oof = models.arms(data, "user_key", "fold", ["y"], kinds, ["logreg", "svm", "mlp"])
+    return statistics.ranking_metrics(oof, "y", "score", ["model"])
+
+
+@query("ml_07_sta_13_leave_toxic_out")
+def _(spark, d):
+    users = _users(spark, d).withColumns({"n_reviews": F.lit(3), "n_toxic": F.col("y")})
+    data = sampling.folds(models.clean_population(users), "y", "user_key", 2)
+    a = models.out_of_fold(data, "user_key", "y", "fold", "logreg", ["x0", "x1"]).select("user_key", "y", F.col("score").alias("a"))
+    b = models.out_of_fold(data, "user_key", "y", "fold", "logreg", [], vector="embedding").select("user_key", F.col("score").alias("b"))
+    return statistics.paired_bootstrap(a.join(b, "user_key"), "y", "a", "b", rounds=100)
+
+
+@query("smp_10_capped_training")
+def _(spark, d):
+    data = sampling.folds(_users(spark, d), "y", "user_key", 2)
+    return models.out_of_fold(data, "user_key", "y", "fold", "logreg", ["x0", "x1"], train_cap=100).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("snk_13_saved_vocabulary", "SELECT count(*) AS n_terms, 3::BIGINT AS n_docs FROM (SELECT unnest(['a', 'b']))")
+def _(spark, d):
+    import uuid
+
+    from quillspark.sources import writers
+
+    path = f"{_shared(spark)}/vocabulary-{uuid.uuid4().hex}"
+    writers.vocabulary(spark.createDataFrame([("a", 0), ("b", 1)], "term string, idx int"), 3, path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n_terms"), F.max("n_docs").cast("long").alias("n_docs"))
+
+
+@query("udf_04_snk_05_parts", "SELECT o_orderstatus AS part_name, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    import uuid
+
+    from quillspark.sources import writers
+
+    path = f"{_shared(spark)}/parts-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders")
+    for s in ("F", "O", "P", "F"):
+        writers.part_once(o.where(F.col("o_orderstatus") == s), path, s)
+    return spark.read.parquet(path).groupBy("part_name").agg(F.count("*").alias("n"))
+
+
+@query("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    import uuid
+
+    path = f"{_shared(spark)}/events-{uuid.uuid4().hex}"
+    table(spark, d, "events").select("ts", "event_type").write.parquet(path)
+    stream = incremental.new_files(spark, path, spark.read.parquet(path).schema)
+    counts = incremental.latest_counts(spark, incremental.windowed_counts(stream, "ts", "event_type"), f"windows_{uuid.uuid4().hex}")
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
