@@ -259,7 +259,7 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     by_sort = small.select("bucket", "digest", "piece").mapInArrow(_sorted_repeats(length, sort_bytes), "bucket long, digest long, start int, end int").select("bucket", "digest", F.col("start").alias("from"), F.col("end").alias("to"))
     large = fetched.join(open_.where("large").select("bucket"), "bucket").select("bucket", "digest", "piece")
     windows = large.mapInArrow(_window_digests(length), "bucket long, digest long, start int, w1 long, w2 long")
-    common = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    common = staged(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "common")
     by_count = _runs_of_windows(windows.join(common, ["w1", "w2"]).select("bucket", "digest", "start"), length)
     parts = whole.union(by_sort).union(by_count).groupBy("bucket", "digest").agg(F.collect_set(F.struct("from", "to")).alias("parts"))
     hits = seen.join(parts, ["bucket", "digest"]).select("k1", "k2", "start", F.explode("parts").alias("p"))
