@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import staged
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -22,8 +18,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in
     MapReduce and Beyond" (2014). A step takes each node's smallest neighbour by an aggregation
-    (combined before the shuffle) and joins it back, so a hub's links are never gathered. Each
-    round is written to the shared folder. Self-links and repeated links are allowed; without links
+    (combined before the shuffle), writes it to the shared folder and joins it back, so a hub's links
+    are never gathered and the join can split them. Each round is written, too. Self-links and repeated links are allowed; without links
     the result is empty.
     """
     edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -31,10 +27,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # Large-star: a node's larger neighbours go to the smallest node among itself and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small-star: a node and its smaller neighbours go to the smallest of them.
-        least = _min_neighbour(large)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, "links")

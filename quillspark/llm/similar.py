@@ -145,7 +145,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nodes = rows.groupBy("fp").agg(F.min_by(F.struct("id", "text_key"), order).alias("rep"))
     nodes = staged(nodes.select(F.xxhash64("fp").alias("node"), "fp", "rep"), "nodes")
     keys = nodes.select("node", F.col("fp")[0].alias("long"), F.posexplode(block_values(F.col("fp"))).alias("block", "value"))
-    buckets = keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = staged(keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = staged(keys.join(buckets, ["block", "value"]), "members")
 
     near = F.bit_count(F.col("a.long").bitwiseXOR(F.col("b.long"))) <= NEAR_LONG
@@ -153,7 +153,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     same = (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
     close = small.alias("a").join(small.alias("b"), same & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     large = members.where(F.col("n") > pairwise).drop("n")
-    leaders = large.groupBy("block", "value").agg(F.min_by(F.struct("node", "long"), F.xxhash64("node", "block")).alias("lead"))
+    leaders = staged(large.groupBy("block", "value").agg(F.min_by(F.struct("node", "long"), F.xxhash64("node", "block")).alias("lead")), "leaders")
     led = large.join(leaders, ["block", "value"]).where((F.col("node") != F.col("lead.node")) & (F.bit_count(F.col("long").bitwiseXOR(F.col("lead.long"))) <= NEAR_LONG))
     led = led.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
     links = _linked(close.union(led).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
@@ -162,6 +162,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not large.isEmpty():
         named = staged(large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
         most = named.groupBy("block", "value", "component").agg(F.count("*").alias("n")).groupBy("block", "value").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+        most = staged(most, "most")
         outside = named.join(most, ["block", "value"]).where("component <> most").drop("most")
         left = outside.alias("a").join(named.alias("b"), same & (F.col("a.component") != F.col("b.component")) & near)
         left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
