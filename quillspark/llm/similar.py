@@ -4,7 +4,7 @@ Texts whose shingle counts have a Jaccard similarity of 0.8 differ in about 15 %
 No split of a fingerprint into selective blocks holds for so many bits at once, so a wide fingerprint is
 split several times, each time with its bits in another order: pairs that differ in fewer bits than a
 split has blocks share a block of every split, and pairs at similarity 0.8 share one of all blocks
-with a probability of about 0.97. What shares a block is verified by Hamming distance and then by the
+with a probability of about 0.95 (at 0.85, of 0.999). What shares a block is verified by Hamming distance and then by the
 exact similarity, so nothing below it is linked.
 """
 
@@ -23,12 +23,10 @@ from quillspark.llm._common import own_name, staged
 from quillspark.llm.components import connected_components
 
 #: A fingerprint has LONGS longs; each of SPLITS orders of its bits is cut into blocks of BLOCK_BITS bits.
-LONGS, SPLITS, BLOCK_BITS = 4, 5, 18
+LONGS, SPLITS, BLOCK_BITS = 4, 16, 24
 BITS = 64 * LONGS
-#: Candidates differ in at most so many bits of the first long, and of all.
-NEAR_LONG, NEAR_ALL = 22, 72
-#: A block's bucket of more fingerprints is linked through a leader first; see candidate_pairs().
-PAIRWISE = 64
+#: Candidates differ in at most so many bits.
+NEAR = 72
 BROADCAST_ROWS = 1_000_000
 
 
@@ -78,19 +76,20 @@ def block_places(seed: int = 11) -> np.ndarray:
     return np.concatenate([rng.permutation(BITS)[: per * BLOCK_BITS].reshape(per, BLOCK_BITS) for _ in range(SPLITS)])
 
 
-def block_values(fp: Column) -> Column:
-    """The value of each block as an array."""
+def block_keys(fp: Column) -> Column:
+    """An array with a long for each block: the block's number above BLOCK_BITS bits, its value in them."""
     places = block_places()
     powers = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
+    numbers = np.arange(len(places), dtype=np.int64) << BLOCK_BITS
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def of(prints: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in prints:
             out = []
-            for at in range(0, len(s), 256):
-                longs = np.stack(s.iloc[at : at + 256].to_list())
+            for at in range(0, len(s), 128):
+                longs = np.stack(s.iloc[at : at + 128].to_list())
                 bits = np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little")
-                out += list((bits[:, places] @ powers).astype(np.int32))
+                out += list(bits[:, places] @ powers + numbers)
             yield pd.Series(out)
 
     return of(fp)
@@ -100,7 +99,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     """The pairs (u, v) of nodes whose texts are as similar, verified by all bits and then by the texts."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"{x}fp")) for x in "uv")
     bits = F.aggregate(F.zip_with("ufp", "vfp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = staged(pairs.join(a, "u").join(b, "v").where(bits <= NEAR_ALL).select("u", "v"), "near")
+    near = staged(pairs.join(a, "u").join(b, "v").where(bits <= NEAR).select("u", "v"), "near")
     wanted = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
     reps = staged(nodes.join(wanted, "node", "left_semi").select("node", "rep.id", "rep.text_key"), "wanted")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
@@ -126,15 +125,15 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     return staged(both.mapInArrow(compare, "u long, v long"), "linked")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, pairwise: int = PAIRWISE) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, text_key, component, first): for every row of docs its group and the group's first member's
     struct (id, text_key), a group being what links of `similarity` or more connect.
 
     Equal fingerprints are one node, shown by the document of least id (null last, then text_key).
-    Nodes are joined on blocks. In a bucket of up to `pairwise` nodes all pairs are candidates. In a
-    larger one, every node is paired with a leader first, drawn anew for each bucket; then the nodes
-    that these links leave outside of the bucket's largest group are paired with all others, so that
-    no link is lost and a large group of copies takes a linear number of pairs. Candidates are
+    Nodes are joined on blocks. Every node of a bucket is a candidate with the bucket's leader, its
+    least node; as nodes are hashes, a group of near copies has few leaders. Then the nodes that the
+    links found leave outside of a bucket's largest group are candidates with all others of the
+    bucket, so no link is lost and a large group takes a linear number of pairs. Candidates are
     verified by _linked().
 
     Null and empty texts have no shingles and are one group. Repeated rows and rows that share an id
@@ -144,31 +143,22 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
     nodes = rows.groupBy("fp").agg(F.min_by(F.struct("id", "text_key"), order).alias("rep"))
     nodes = staged(nodes.select(F.xxhash64("fp").alias("node"), "fp", "rep"), "nodes")
-    keys = nodes.select("node", F.col("fp")[0].alias("long"), F.posexplode(block_values(F.col("fp"))).alias("block", "value"))
-    buckets = staged(keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = staged(keys.join(buckets, ["block", "value"]), "members")
-
-    near = F.bit_count(F.col("a.long").bitwiseXOR(F.col("b.long"))) <= NEAR_LONG
-    small = members.where(F.col("n") <= pairwise).drop("n")
-    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
-    close = small.alias("a").join(small.alias("b"), same & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    large = members.where(F.col("n") > pairwise).drop("n")
-    leaders = staged(large.groupBy("block", "value").agg(F.min_by(F.struct("node", "long"), F.xxhash64("node", "block")).alias("lead")), "leaders")
-    led = large.join(leaders, ["block", "value"]).where((F.col("node") != F.col("lead.node")) & (F.bit_count(F.col("long").bitwiseXOR(F.col("lead.long"))) <= NEAR_LONG))
-    led = led.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
-    links = _linked(close.union(led).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
+    keys = nodes.select("node", F.explode(block_keys(F.col("fp"))).alias("key"))
+    buckets = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "buckets")
+    members = staged(keys.join(buckets, "key"), "members")
+    links = _linked(members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
     groups = connected_components(links)
 
-    if not large.isEmpty():
-        named = staged(large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-        most = named.groupBy("block", "value", "component").agg(F.count("*").alias("n")).groupBy("block", "value").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-        most = staged(most, "most")
-        outside = named.join(most, ["block", "value"]).where("component <> most").drop("most")
-        left = outside.alias("a").join(named.alias("b"), same & (F.col("a.component") != F.col("b.component")) & near)
-        left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
-        if not more.isEmpty():
-            groups = connected_components(links.union(more))
+    named = members.where("n > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = staged(named.select("key", "node", "lead", "component"), "named")
+    most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    rest = named.where("node <> lead")
+    outside = rest.join(staged(most, "most"), "key").where("component <> most")
+    left = outside.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")))
+    left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
+    if not more.isEmpty():
+        groups = connected_components(links.union(more))
 
     found = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = found.groupBy("component").agg(F.min_by("rep", F.struct(F.col("rep.id").isNull(), F.col("rep.id"), F.col("rep.text_key"))).alias("first"))

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from quillspark.llm import similar
 from tests.llm.test_dedup import union_find
@@ -28,15 +27,14 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("pairwise", [64, 2])
-def test_groups_against_brute_force(spark, prose_of, pairwise):
+def test_groups_against_brute_force(spark, prose_of):
     rng = random.Random(7)
     texts = [prose_of(i, rng.randint(60, 200)) for i in range(25)]
     texts += [edited(rng, texts[i % 25], rng.randint(0, 6)) for i in range(50)]
     hub = prose_of(99, 150)
     texts += [edited(rng, hub, rng.randint(0, 2)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component"] for r in similar.similar_groups(df, pairwise=pairwise).collect()}
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
     want = union_find(range(len(texts)), links)
@@ -44,7 +42,7 @@ def test_groups_against_brute_force(spark, prose_of, pairwise):
     assert all(len({want[i] for i in g}) == 1 for g in groups(got))  # nothing below the similarity is linked
     together = sum(got[i] == got[j] for i, j in links)
     assert together >= 0.95 * len(links)
-    kept = similar.drop_similar(df, pairwise=pairwise).collect()
+    kept = similar.drop_similar(df).collect()
     assert {r["doc_id"] for r in kept} == {min(g) for g in groups(got)}
 
 
@@ -56,7 +54,7 @@ def test_wide_fingerprints():
     assert fp.shape == (similar.LONGS,) and not similar.wide_simhash(h[:0]).any()
     assert (similar.wide_simhash(many[:1]) == similar.wide_simhash(np.repeat(many[:1], 3))).all()
     places = similar.block_places()
-    assert places.shape == (70, 18) and all(len(set(places[i : i + 14].ravel())) == 252 for i in range(0, 70, 14))
+    assert places.shape == (160, 24) and all(len(set(places[i : i + 10].ravel())) == 240 for i in range(0, 160, 10))
 
 
 def test_edge_cases(spark, edge, empty):
