@@ -8,20 +8,10 @@ from quillspark.functions import hashing, labels, parsing
 from quillspark.operators import features, inference, models, sampling, statistics
 from quillspark.plans.registry import query
 from quillspark.plans.roles import MD5, P, R, TOXIC, profiles, reviews, table
+from quillspark.plans.storage import shared_path
 from quillspark.streaming import incremental
 
 
-def _shared(spark) -> str:
-    """The folder named in spark.checkpoint.dir; on a local master without it, a temporary one."""
-    import tempfile
-
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="quillspark-")
-
-
 def _resolved(spark, d):
     r = reviews(spark, d).select(
         F.col("review_url"), F.concat(F.lit("https://host/profiles/"), "user_id").alias("user_url"), "game_id", F.concat_ws(" ", "review_lang", "declared", "game_id").alias("review_text"),
@@ -159,7 +149,7 @@ def _(spark, d):
     import uuid
 
     source = table(spark, d, "events").selectExpr("user_id", "CASE WHEN value >= 50 THEN 1.0D ELSE 0.0D END AS perspective", "0.0D AS detoxify")
-    path = f"{_shared(spark)}/events-{uuid.uuid4().hex}"
+    path = shared_path(spark, "events")
     source.write.parquet(path)
     stream = incremental.new_files(spark, path, source.schema)
     return incremental.latest_counts(spark, incremental.running_counts(stream, "user_id"), f"counts_{uuid.uuid4().hex}")
@@ -190,22 +180,18 @@ def _(spark, d):
 
 @query("snk_13_saved_vocabulary", "SELECT count(*) AS n_terms, 3::BIGINT AS n_docs FROM (SELECT unnest(['a', 'b']))")
 def _(spark, d):
-    import uuid
-
     from quillspark.sources import writers
 
-    path = f"{_shared(spark)}/vocabulary-{uuid.uuid4().hex}"
+    path = shared_path(spark, "vocabulary")
     writers.vocabulary(spark.createDataFrame([("a", 0), ("b", 1)], "term string, idx int"), 3, path)
     return spark.read.parquet(path).agg(F.count("*").alias("n_terms"), F.max("n_docs").cast("long").alias("n_docs"))
 
 
 @query("udf_04_snk_05_parts", "SELECT o_orderstatus AS part_name, count(*) AS n FROM orders GROUP BY 1")
 def _(spark, d):
-    import uuid
-
     from quillspark.sources import writers
 
-    path = f"{_shared(spark)}/parts-{uuid.uuid4().hex}"
+    path = shared_path(spark, "parts")
     o = table(spark, d, "orders")
     for s in ("F", "O", "P", "F"):
         writers.part_once(o.where(F.col("o_orderstatus") == s), path, s)
@@ -216,7 +202,7 @@ def _(spark, d):
 def _(spark, d):
     import uuid
 
-    path = f"{_shared(spark)}/events-{uuid.uuid4().hex}"
+    path = shared_path(spark, "events")
     table(spark, d, "events").select("ts", "event_type").write.parquet(path)
     stream = incremental.new_files(spark, path, spark.read.parquet(path).schema)
     counts = incremental.latest_counts(spark, incremental.windowed_counts(stream, "ts", "event_type"), f"windows_{uuid.uuid4().hex}")

@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillspark.plans import analysis, clean, modelling  # noqa: F401
+    from quillspark.plans import analysis, clean, modelling, storage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
