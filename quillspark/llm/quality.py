@@ -79,7 +79,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 3"),
     ("shouting", "2 * n_upper > n_letters AND n_letters > 0"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
