@@ -167,18 +167,22 @@ def mix_sources(
     plan = {p: divmod(sum(f.values()), w) if w else (0, 0) for (p, w), f in zip(sums, flows, strict=True)}
     bounds = _boundaries(marked, size, pattern, at, {p: rest for p, (_, rest) in plan.items() if rest})
     spark = docs.sparkSession
-    rows = [(list(p), int(full), *bounds.get(p, (-1,))) for p, (full, _) in plan.items()]
+    rows = [(list(p), int(full), bounds.get(p, -1)) for p, (full, _) in plan.items()]
     table = spark.createDataFrame(rows, f"{pattern}_p array<string>, full int, upto long")
     table = F.broadcast(table) if len(rows) <= 10_000 else table
-    key = lambda c: F.to_json(c, {"ignoreNullFields": "false"})  # noqa: E731  null elements compare equal in this form
-    out = marked.join(table, key(F.col(pattern)) == key(F.col(f"{pattern}_p")), "left")
+    out = marked.join(table, _text_of(pattern) == _text_of(f"{pattern}_p"), "left")
     passes = F.col("full") + (F.col(at) <= F.col("upto")).cast("int")
     kept = [c for c in docs.columns if c in marked.columns and c not in names]
     mixed = out.select(*(marked[c] for c in kept), F.col(size).alias(names[0]), passes.alias(names[1]), (F.col(size) * passes).alias(names[2]))
     return Mix(mixed, sources)
 
 
-def _boundaries(marked: DataFrame, size: str, pattern: str, at: str, rests: dict[tuple, int]) -> dict[tuple, tuple[int]]:
+def _text_of(pattern: str) -> Column:
+    """A pattern as text, in which null elements compare equal."""
+    return F.to_json(F.col(pattern), {"ignoreNullFields": "false"})
+
+
+def _boundaries(marked: DataFrame, size: str, pattern: str, at: str, rests: dict[tuple, int]) -> dict[tuple, int]:
     """For each pattern the last place to take, so that the words up to it come nearest to its rest.
 
     Each pass sums words by (pattern, next STEP_BITS bits of the place) below the prefix found so
@@ -192,15 +196,17 @@ def _boundaries(marked: DataFrame, size: str, pattern: str, at: str, rests: dict
         if not rows:
             break
         want = spark.createDataFrame(rows, "p array<string>, rest long, prefix long, before long")
-        key = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-        part = marked.select(pattern, size, at).join(F.broadcast(want) if len(rows) <= 10_000 else want, (key(F.col(pattern)) == key(F.col("p"))) & (F.shiftright(F.col(at), shift + STEP_BITS) == F.col("prefix")))
+        want = F.broadcast(want) if len(rows) <= 10_000 else want
+        inside = F.shiftright(F.col(at), shift + STEP_BITS) == F.col("prefix")
+        part = marked.select(pattern, size, at).join(want, (_text_of(pattern) == _text_of("p")) & inside)
         sums = part.groupBy("p", "rest", "before", F.shiftright(F.col(at), shift).alias("bin")).agg(F.sum(size).alias("words"))
         upto = F.sum("words").over(Window.partitionBy("p").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
         first = sums.withColumn("upto", upto).where("upto >= rest").groupBy("p").agg(F.min_by(F.struct("bin", "upto", "words"), F.col("bin")).alias("b"))
         bins = {tuple(r["p"]): r["b"] for r in first.collect()}
         state = {p: (b["bin"], b["upto"] - b["words"]) for p, b in bins.items()}
     # The last bin is one place: it is taken if that brings the sum nearer to the rest.
-    return {p: (b["bin"] if 2 * (b["upto"] - b["words"]) + b["words"] < 2 * rests[p] else b["bin"] - 1,) for p, b in bins.items()}
+    nearer = {p: 2 * (b["upto"] - b["words"]) + b["words"] < 2 * rests[p] for p, b in bins.items()}
+    return {p: b["bin"] if nearer[p] else b["bin"] - 1 for p, b in bins.items()}
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
