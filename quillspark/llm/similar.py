@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import own_name, staged
+from quillspark.llm._common import own_name, small_batches, staged
 from quillspark.llm.components import connected_components
 
 #: A fingerprint has LONGS longs; each of SPLITS orders of its bits is cut into blocks of BLOCK_BITS bits.
 LONGS, SPLITS, BLOCK_BITS = 4, 16, 24
 BITS = 64 * LONGS
+#: Blocks whose buckets are linked through leaders first.
+FIRST = 20
 #: Candidates differ in at most so many bits.
 NEAR = 72
 BROADCAST_ROWS = 1_000_000
@@ -122,7 +124,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = near.join(found.toDF("u", "ut"), "u").join(found.toDF("v", "vt"), "v").select("u", "v", "ut", "vt")
-    return staged(both.mapInArrow(compare, "u long, v long"), "linked")
+    with small_batches(docs.sparkSession):
+        return staged(both.mapInArrow(compare, "u long, v long"), "linked")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -130,11 +133,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     struct (id, text_key), a group being what links of `similarity` or more connect.
 
     Equal fingerprints are one node, shown by the document of least id (null last, then text_key).
-    Nodes are joined on blocks. Every node of a bucket is a candidate with the bucket's leader, its
-    least node; as nodes are hashes, a group of near copies has few leaders. Then the nodes that the
-    links found leave outside of a bucket's largest group are candidates with all others of the
-    bucket, so no link is lost and a large group takes a linear number of pairs. Candidates are
-    verified by _linked().
+    Nodes are joined on blocks. In the first blocks every node of a bucket is a candidate with the
+    bucket's leader, its least node. This links large groups of near copies by a few pairs a node.
+    Then, in the buckets of all blocks, the nodes that these links leave outside of the bucket's
+    largest group are candidates with all nodes of other groups, so no link between groups is lost.
+    Candidates are verified by _linked().
 
     Null and empty texts have no shingles and are one group. Repeated rows and rows that share an id
     and a text are copies. Other columns are not read.
@@ -146,15 +149,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keys = nodes.select("node", F.explode(block_keys(F.col("fp"))).alias("key"))
     buckets = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "buckets")
     members = staged(keys.join(buckets, "key"), "members")
-    links = _linked(members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
+    led = members.where((F.shiftright("key", BLOCK_BITS) < FIRST) & (F.col("node") != F.col("lead")))
+    links = _linked(led.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
     groups = connected_components(links)
 
-    named = members.where("n > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = staged(named.select("key", "node", "lead", "component"), "named")
-    most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-    rest = named.where("node <> lead")
-    outside = rest.join(staged(most, "most"), "key").where("component <> most")
-    left = outside.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")))
+    named = staged(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named")
+    most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
+    mixed = named.join(staged(most.where("groups > 1").select("key", "most"), "most"), "key")
+    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")))
     left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
     if not more.isEmpty():
