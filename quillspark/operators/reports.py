@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.labels import DETOXIFY, PERSPECTIVE, toxic, valid_score
+from quillspark.operators.ordering import group_totals, running_sums
 
 
 def n_if(condition: Column) -> Column:
@@ -115,15 +116,12 @@ def ban_rates(users: DataFrame) -> DataFrame:
 def ecdf(df: DataFrame, column: str, points: int | None = None) -> DataFrame:
     """(value, share at or below) over the distinct values; with points, thinned to about as many.
 
-    Values are counted before the running sum, so only distinct values are ordered in one task.
+    Values are counted before the running sum, which orders ranges of distinct values apart.
     """
-    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    out = counts.withColumns({"upto": F.sum("n").over(order), "i": F.row_number().over(Window.orderBy("value"))}).crossJoin(F.broadcast(total))
+    out = group_totals(running_sums(counts, "value", {"upto": "n", "i": F.lit(1)}), {"total": F.sum("n"), "size": F.count("*")})
     out = out.withColumn("share", F.col("upto") / F.col("total"))
     if points:
-        size = counts.count()
-        step = max(1, size // points)
-        out = out.where((F.col("i") % step == 0) | (F.col("i") == size) | (F.col("i") == 1))
+        step = F.greatest(F.lit(1), F.floor(F.col("size") / points))
+        out = out.where((F.col("i") % step == 0) | (F.col("i") == F.col("size")) | (F.col("i") == 1))
     return out.select("value", "share")

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordering import group_totals, running_sums
+
 
 def _average_ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, rank) of a column's distinct values, tied rows sharing their mean rank."""
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("v", (upto - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
+    upto = running_sums(counts, "v", {"upto": "c"})
+    return upto.select("v", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -38,9 +40,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 def score_curve(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, score, pos, neg, tp, fp, n_pos, n_neg) at each distinct score, cumulated from the highest."""
     counts = df.groupBy(*by, score).agg(F.sum(F.col(truth)).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    order = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp": F.sum("pos").over(order), "fp": F.sum("neg").over(order), "n_pos": F.sum("pos").over(part), "n_neg": F.sum("neg").over(part)})
+    curve = running_sums(counts, score, {"tp": "pos", "fp": "neg"}, by, descending=True)
+    return group_totals(curve, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")}, by)
 
 
 def ranking_metrics(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:

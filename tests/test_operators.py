@@ -242,3 +242,21 @@ def test_ingestion_adds_only_new_files(spark, tmp_path):
 def test_chunks_follow_the_budget(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([50, 20, 60, 10, 100])], "i int, t int")
     assert [r["chunk"] for r in inference.chunk_by_budget(df, "i", "t", 70).orderBy("i").collect()] == [0, 0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_in_ranges(spark, descending):
+    from quillspark.operators.ordering import running_sums
+
+    rng = random.Random(8)
+    data = [(g, v, rng.randint(0, 9)) for g in ("a", None) for v in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(data, "g string, v int, x int")
+    got = {(r["g"], r["v"]): r["s"] for r in running_sums(df, "v", {"s": "x"}, ["g"], descending, ranges=7).collect()}
+    before = lambda a, b: b >= a if descending else b <= a
+    assert got == {(g, v): sum(x for h, w, x in data if h == g and before(v, w)) for g, v, _ in data}
+
+
+def test_thinned_distribution(spark):
+    df = spark.range(1, 1001).select((F.col("id") % 500).alias("x"))
+    out = reports.ecdf(df, "x", points=50).orderBy("value").collect()
+    assert 50 <= len(out) <= 52 and out[0]["value"] == 0 and out[-1]["share"] == 1.0
