@@ -125,3 +125,9 @@ def ecdf(df: DataFrame, column: str, points: int | None = None) -> DataFrame:
         step = F.greatest(F.lit(1), F.floor(F.col("size") / points))
         out = out.where((F.col("i") % step == 0) | (F.col("i") == F.col("size")) | (F.col("i") == 1))
     return out.select("value", "share")
+
+
+def bands(df: DataFrame, order: str, family: str) -> DataFrame:
+    """(family, first, last, n): runs of rows of one family that are adjacent in the order of distinct numbers."""
+    placed = running_sums(running_sums(df, order, {"_all": F.lit(1)}), order, {"_own": F.lit(1)}, [family])
+    return placed.groupBy(family, F.col("_all") - F.col("_own")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).select(family, "first", "last", "n")

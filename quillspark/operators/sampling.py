@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.hashing import md5_bucket, md5_number
+from quillspark.operators.ordering import running_sums
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -60,8 +61,8 @@ def balanced_draws(df: DataFrame, label: str, key: str, draws: int, seed: str) -
     """For each draw all positives and as many negatives, another choice each time, with a column `draw`."""
     n_pos = df.where(F.col(label) == 1).count()
     each = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = Window.partitionBy("draw").orderBy(md5_number(F.concat_ws(":", F.col(key), "draw"), seed), F.col(key))
-    negatives = each.where(F.col(label) == 0).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n_pos).drop("_rn")
+    placed = each.where(F.col(label) == 0).withColumn("_h", md5_number(F.concat_ws(":", F.col(key), "draw"), seed))
+    negatives = running_sums(placed, "_h", {"_rn": F.lit(1)}, ["draw"]).where(F.col("_rn") <= n_pos).drop("_h", "_rn")
     return each.where(F.col(label) == 1).unionByName(negatives)
 
 
@@ -83,8 +84,8 @@ def capped_per_group(df: DataFrame, by: str, key: str, cap: int, seed: str) -> D
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: str = "") -> DataFrame:
     """df with `fold`: each label's rows dealt round-robin in md5 order, so folds differ by one row a label."""
-    order = Window.partitionBy(label).orderBy(md5_number(F.col(key), seed), F.col(key))
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    placed = running_sums(df.withColumn("_h", md5_number(F.col(key), seed)), "_h", {"_rn": F.lit(1)}, [label])
+    return placed.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

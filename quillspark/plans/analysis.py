@@ -82,9 +82,10 @@ def tag_toxicity(spark, d):
     return top.orderBy(F.desc("toxicity_rate"), "tag").limit(10)
 
 
-@query("agg_12_tag_coverage", f"WITH {R}, {_COUNTS} SELECT count(*) FILTER (WHERE game_id % 4 > 0) AS games_with_tags, count(*) FILTER (WHERE game_id % 4 = 0) AS games_without, sum(CASE WHEN game_id % 4 > 0 THEN n ELSE 0 END)::BIGINT AS reviews_with_tags, sum(CASE WHEN game_id % 4 = 0 THEN n ELSE 0 END)::BIGINT AS reviews_without FROM c")
+@query("agg_12_tag_coverage", f"WITH {R}, {_COUNTS} SELECT count(*) FILTER (WHERE p_size > 12) AS games_with_tags, count(*) FILTER (WHERE p_size <= 12) AS games_without, sum(CASE WHEN p_size > 12 THEN n ELSE 0 END)::BIGINT AS reviews_with_tags, sum(CASE WHEN p_size <= 12 THEN n ELSE 0 END)::BIGINT AS reviews_without FROM c JOIN part ON game_id = p_partkey")
 def _(spark, d):
-    tagged = games(spark, d).withColumn("tags", F.when(F.col("game_id") % 4 > 0, F.col("tags")).otherwise(F.array().cast("array<string>")))
+    parts = table(spark, d, "part")
+    tagged = parts.select(F.col("p_partkey").alias("game_id"), F.when(F.col("p_size") > 12, F.split("p_name", " ")).otherwise(F.array().cast("array<string>")).alias("tags"))
     return reports.tag_coverage(reports.per_key_counts(_labelled_reviews(spark, d), "game_id"), tagged, "game_id")
 
 
@@ -152,10 +153,10 @@ def _(spark, d):
 
 def _toxic_users(spark, d):
     u = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"), (F.max("o_totalprice") > 300000).alias("is_toxic"))
-    return reports.with_profiles(u, profiles(spark, d).where("user_id % 4 > 0"), "user_id")
+    return reports.with_profiles(u, profiles(spark, d).where("profile_level > 5"), "user_id")
 
 
-_TU = f"{P}, o AS (SELECT o_custkey AS user_id, count(*) AS n, max(o_totalprice) > 300000 AS is_toxic FROM orders GROUP BY 1), u AS (SELECT o.*, (q.user_id IS NOT NULL) AS found, q.has_ban, q.library_size FROM o LEFT JOIN (SELECT * FROM p WHERE user_id % 4 > 0) q ON o.user_id = q.user_id)"
+_TU = f"{P}, o AS (SELECT o_custkey AS user_id, count(*) AS n, max(o_totalprice) > 300000 AS is_toxic FROM orders GROUP BY 1), u AS (SELECT o.*, (q.user_id IS NOT NULL) AS found, q.has_ban, q.library_size FROM o LEFT JOIN (SELECT * FROM p WHERE profile_level > 5) q ON o.user_id = q.user_id)"
 
 
 @query("agg_29_ban_rates", f"WITH {_TU} SELECT is_toxic, count(*) AS n_users, count(*) FILTER (WHERE found) AS n_matched, count(*) FILTER (WHERE has_ban) AS n_banned, round(100.0::DOUBLE * count(*) FILTER (WHERE has_ban) / count(*), 4) AS ban_pct_all, round(100.0::DOUBLE * count(*) FILTER (WHERE has_ban) / nullif(count(*) FILTER (WHERE found), 0), 4) AS ban_pct_matched FROM u GROUP BY 1")
@@ -168,10 +169,10 @@ def _(spark, d):
     return _toxic_users(spark, d).groupBy("is_toxic").agg(F.median("library_size").alias("med"), F.count("library_size").alias("n"), F.count_if(F.coalesce(F.col("library_size") <= 0, F.lit(False))).alias("n_not_drawn"))
 
 
-@query("agg_32_win_05_rolling", "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS 24 PRECEDING), 6) AS rolling FROM events WHERE user_id = 7")
+@query("agg_32_win_05_rolling", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 24 PRECEDING), 6) AS rolling FROM events")
 def _(spark, d):
-    order = Window.orderBy("event_id").rowsBetween(-24, 0)
-    return table(spark, d, "events").where("user_id = 7").select("event_id", F.round(F.avg("value").over(order), 6).alias("rolling"))
+    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-24, 0)
+    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(order), 6).alias("rolling"))
 
 
 @query("win_01_02_average_ranks", f"WITH {R} SELECT DISTINCT perspective AS v, rank() OVER (ORDER BY perspective) + (count(*) OVER (PARTITION BY perspective) - 1) / 2 AS rank FROM r WHERE perspective IS NOT NULL")
@@ -193,8 +194,7 @@ def _(spark, d):
 @query("win_09_bands", "WITH t AS (SELECT c_custkey AS i, c_mktsegment AS family FROM customer), s AS (SELECT *, row_number() OVER (ORDER BY i) - row_number() OVER (PARTITION BY family ORDER BY i) AS grp FROM t) SELECT family, min(i) AS first, max(i) AS last, count(*) AS n FROM s GROUP BY family, grp")
 def _(spark, d):
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("family"))
-    grp = F.row_number().over(Window.orderBy("i")) - F.row_number().over(Window.partitionBy("family").orderBy("i"))
-    return t.withColumn("grp", grp).groupBy("family", "grp").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).drop("grp")
+    return reports.bands(t, "i", "family")
 
 
 _STOP = "['" + "', '".join((*terms.STOP_WORDS, *terms.EXTRA_STOP_WORDS["en"])) + "']"
@@ -382,11 +382,10 @@ def _(spark, d):
     return m.select("l_shipmode", F.round((F.col("a") + F.col("b")) / 2, 6).alias("mean")).orderBy(F.desc("mean"))
 
 
-@query("set_04_uncovered_terms", f"WITH {G} SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM g WHERE game_id % 2 = 0) WHERE tag NOT IN (SELECT unnest(tags) FROM g WHERE game_id % 997 = 1)")
+@query("set_04_uncovered_terms", f"WITH {G} SELECT DISTINCT tag FROM (SELECT unnest(g.tags) AS tag FROM g JOIN part ON game_id = p_partkey WHERE p_size > 20) WHERE tag NOT IN (SELECT unnest(string_split(p_name, ' ')) FROM part WHERE p_retailprice > 1990)")
 def _(spark, d):
-    g = games(spark, d)
-    a = g.where("game_id % 2 = 0").select(F.explode("tags").alias("tag")).distinct()
-    return a.join(g.where("game_id % 997 = 1").select(F.explode("tags").alias("tag")), "tag", "left_anti")
+    g = table(spark, d, "part").select("p_size", "p_retailprice", F.explode(F.split("p_name", " ")).alias("tag"))
+    return g.where("p_size > 20").select("tag").distinct().join(g.where("p_retailprice > 1990").select("tag"), "tag", "left_anti")
 
 
 @query("str_11_for_terms", f"SELECT doc_id, {CLEAN} AS clean FROM documents")

@@ -44,10 +44,10 @@ def _(spark, d):
     return table(spark, d, "orders").join(F.broadcast(spark.table("wanted_keys")), "o_orderpriority").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("src_17_vectors_by_key", "SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS first_mean FROM embeddings WHERE vec_id % 10 = label GROUP BY 1")
+@query("src_17_vectors_by_key", "SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS first_mean FROM embeddings WHERE embedding[2] > 0 GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    index = e.where("vec_id % 10 = label").select("vec_id")
+    index = e.where(F.col("embedding")[1] > 0).select("vec_id")
     return e.join(index, "vec_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first_mean"))
 
 
@@ -233,10 +233,10 @@ def _(spark, d):
     return dedup.keep_earliest(r, ["review_url"], "review_date", [F.col("hours_played"), F.col("game_id")])
 
 
-@query("jon_02_08_match_indicator", f"WITH {P}, e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT e.user_id, e.n, (p.user_id IS NOT NULL) AS found, p.country FROM e LEFT JOIN (SELECT * FROM p WHERE user_id % 3 > 0) p ON e.user_id = p.user_id")
+@query("jon_02_08_match_indicator", f"WITH {P}, e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT e.user_id, e.n, (p.user_id IS NOT NULL) AS found, p.country FROM e LEFT JOIN (SELECT * FROM p WHERE profile_level > 5) p ON e.user_id = p.user_id")
 def _(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    p = profiles(spark, d).where("user_id % 3 > 0").select("user_id", "country")
+    p = profiles(spark, d).where("profile_level > 5").select("user_id", "country")
     return reports.with_profiles(e, p, "user_id").select("user_id", "n", "found", "country")
 
 
@@ -274,11 +274,11 @@ def _(spark, d):
     return count("semi").union(count("anti"))
 
 
-@query("jon_12_paired_scores", f"WITH {R}, u AS (SELECT user_id, avg(perspective) AS a FROM r WHERE game_id % 2 = 0 GROUP BY 1), v AS (SELECT user_id, avg(detoxify) AS b FROM r WHERE game_id % 3 = 0 GROUP BY 1) SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM u JOIN v USING (user_id) WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("jon_12_paired_scores", f"WITH {R}, u AS (SELECT user_id, avg(perspective) AS a FROM r WHERE review_lang = 'en' GROUP BY 1), v AS (SELECT user_id, avg(detoxify) AS b FROM r WHERE declared = 'fr' GROUP BY 1) SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM u JOIN v USING (user_id) WHERE a IS NOT NULL AND b IS NOT NULL")
 def _(spark, d):
     r = reviews(spark, d)
-    a = r.where("game_id % 2 = 0").groupBy("user_id").agg(F.round(F.avg("perspective"), 6).alias("a"))
-    b = r.where("game_id % 3 = 0").groupBy("user_id").agg(F.round(F.avg("detoxify"), 6).alias("b"))
+    a = r.where("review_lang = 'en'").groupBy("user_id").agg(F.round(F.avg("perspective"), 6).alias("a"))
+    b = r.where("declared = 'fr'").groupBy("user_id").agg(F.round(F.avg("detoxify"), 6).alias("b"))
     return a.join(b, "user_id").na.drop()
 
 

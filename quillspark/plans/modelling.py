@@ -17,12 +17,12 @@ def _resolved(spark, d):
         F.col("review_url"), F.concat(F.lit("https://host/profiles/"), "user_id").alias("user_url"), "game_id", F.concat_ws(" ", "review_lang", "declared", "game_id").alias("review_text"),
         "is_recommended", "hours_played", "review_date", F.col("perspective").alias("perspective_score"), F.col("detoxify").alias("toxicity"),
     )
-    users = table(spark, d, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").cast("string").alias("steam_id"))
+    users = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("steam_id"))
     g = table(spark, d, "part").select(F.col("p_partkey").alias("game_id"), F.array(F.when(F.col("p_size") > 25, "PvP").otherwise("Comedy"), F.lit("Gore")).alias("popular_tags"), F.when(F.col("p_size") == 1, 1).alias("has_review_bombing"))
     return features.resolve_reviews(r.groupBy("review_url").agg(*(F.min(c).alias(c) for c in r.columns[1:])), users, g)
 
 
-@query("fea_01_resolved_reviews", f"WITH {R}, m AS (SELECT review_url, min('https://host/profiles/' || user_id) AS uu, min(game_id) AS game_id, min(review_lang || ' ' || declared || ' ' || game_id) AS txt, min(hours_played) AS hours_played, min(review_date) AS review_dt, min(perspective) AS perspective, min(detoxify) AS detoxify FROM r GROUP BY 1) SELECT review_url AS review_id, regexp_extract(uu, 'profiles/([0-9]+)', 1) AS user_key, {TOXIC} AS y_review, length(txt)::INT AS len_chars, len(string_split(txt, ' '))::INT AS len_words, year(review_dt)::INT AS review_year, (regexp_extract(uu, 'profiles/([0-9]+)', 1)::BIGINT % 5 > 0 AND regexp_extract(uu, 'profiles/([0-9]+)', 1)::BIGINT IN (SELECT s_suppkey FROM supplier)) AS joinable, coalesce(p_size > 25, false) AS g_competitive, (p_size IS NOT NULL) AS g_violent, coalesce(p_size <= 25, false) AS g_comedy, coalesce((p_size = 1)::INT, 0) AS g_review_bombing FROM m LEFT JOIN part ON game_id = p_partkey")
+@query("fea_01_resolved_reviews", f"WITH {R}, m AS (SELECT review_url, min('https://host/profiles/' || user_id) AS uu, min(game_id) AS game_id, min(review_lang || ' ' || declared || ' ' || game_id) AS txt, min(hours_played) AS hours_played, min(review_date) AS review_dt, min(perspective) AS perspective, min(detoxify) AS detoxify FROM r GROUP BY 1) SELECT review_url AS review_id, regexp_extract(uu, 'profiles/([0-9]+)', 1) AS user_key, {TOXIC} AS y_review, length(txt)::INT AS len_chars, len(string_split(txt, ' '))::INT AS len_words, year(review_dt)::INT AS review_year, (regexp_extract(uu, 'profiles/([0-9]+)', 1)::BIGINT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS joinable, coalesce(p_size > 25, false) AS g_competitive, (p_size IS NOT NULL) AS g_violent, coalesce(p_size <= 25, false) AS g_comedy, coalesce((p_size = 1)::INT, 0) AS g_review_bombing FROM m LEFT JOIN part ON game_id = p_partkey")
 def _(spark, d):
     out = _resolved(spark, d)
     return out.select("review_id", "user_key", "y_review", "len_chars", "len_words", "review_year", "joinable", "g_competitive", "g_violent", "g_comedy", "g_review_bombing")
@@ -58,9 +58,9 @@ def _(spark, d):
     return s.groupBy("split").agg(F.count("*").alias("n"), F.round(100 * F.sum("y") / F.count("*"), 3).alias("pct_toxic"), F.count_if(F.col("is_recommended").isNull()).alias("n_unrated"))
 
 
-@query("agg_26_vector_means", "WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 3 > 0) SELECT label, pos::INT - 1 AS pos, round(avg(x::DOUBLE), 5) AS x FROM e GROUP BY 1, 2")
+@query("agg_26_vector_means", "WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE embedding[1] > 0) SELECT label, pos::INT - 1 AS pos, round(avg(x::DOUBLE), 5) AS x FROM e GROUP BY 1, 2")
 def _(spark, d):
-    m = features.vector_mean(table(spark, d, "embeddings"), "label", "embedding", F.col("vec_id") % 3 > 0)
+    m = features.vector_mean(table(spark, d, "embeddings"), "label", "embedding", F.col("embedding")[0] > 0)
     return m.select("label", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
@@ -102,10 +102,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", inference.toxicity(F.col("text")).alias("detoxify_score"))
 
 
-@query("scr_02_snk_06_07_cached_scores", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND NOT regexp_matches(text, '(?i)license') THEN 0.25 ELSE round(1 - exp(-len(regexp_extract_all(left(trim(text), 1200), '(?i)\\b(idiot|stupid|worthless|pathetic|scum|trash|moron|loser)\\b'))), 6) END::DOUBLE AS detoxify_score FROM documents")
+@query("scr_02_snk_06_07_cached_scores", "SELECT doc_id, CASE WHEN lang = 'en' AND NOT regexp_matches(text, '(?i)license') THEN 0.25 ELSE round(1 - exp(-len(regexp_extract_all(left(trim(text), 1200), '(?i)\\b(idiot|stupid|worthless|pathetic|scum|trash|moron|loser)\\b'))), 6) END::DOUBLE AS detoxify_score FROM documents")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    cache = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(0.25).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    cache = docs.where("lang = 'en'").select("doc_id", F.lit(0.25).alias("score"))
     return inference.score_with_cache(docs, cache, "doc_id", "text", exclude="license").select("doc_id", F.round("detoxify_score", 6).alias("detoxify_score"))
 
 
@@ -123,10 +123,10 @@ def _(spark, d):
     return raw.select("conv_id", F.coalesce(label, F.lit(0)).alias("_pred"), parsing.answer_score(F.col("_raw"), label).alias("_score"), parsing.answer_worst(F.col("_raw")).alias("_worst"))
 
 
-@query("llm_03_chunks", "WITH RECURSIVE t AS (SELECT c_custkey AS k, c_custkey % 37 + 1 AS n, row_number() OVER (ORDER BY c_custkey) AS i FROM customer WHERE c_nationkey = 3), w AS (SELECT k, n, i, n AS used, 0 AS chunk FROM t WHERE i = 1 UNION ALL SELECT t.k, t.n, t.i, CASE WHEN w.used + t.n > 60 THEN t.n ELSE w.used + t.n END, CASE WHEN w.used + t.n > 60 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN t ON t.i = w.i + 1) SELECT k, n, chunk FROM w")
+@query("llm_03_chunks", "WITH RECURSIVE t AS (SELECT c_nationkey AS g, c_custkey AS k, c_custkey % 37 + 1 AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer), w AS (SELECT g, k, n, i, n AS used, 0 AS chunk FROM t WHERE i = 1 UNION ALL SELECT t.g, t.k, t.n, t.i, CASE WHEN w.used + t.n > 60 THEN t.n ELSE w.used + t.n END, CASE WHEN w.used + t.n > 60 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN t ON t.i = w.i + 1 AND t.g = w.g) SELECT g, k, n, chunk FROM w")
 def _(spark, d):
-    c = table(spark, d, "customer").where("c_nationkey = 3").selectExpr("c_custkey AS k", "c_custkey % 37 + 1 AS n")
-    return inference.chunk_by_budget(c, "k", "n", 60)
+    c = table(spark, d, "customer").selectExpr("c_nationkey AS g", "c_custkey AS k", "c_custkey % 37 + 1 AS n")
+    return inference.chunk_by_budget(c, "k", "n", 60, group="g")
 
 
 @query("llm_04_curated_cells", f"WITH {R}, s AS (SELECT review_url, game_id, hours_played, CASE WHEN {TOXIC} = 1 AND hours_played > 40000 THEN 'TP' WHEN {TOXIC} = 0 AND hours_played > 40000 THEN 'FP' WHEN {TOXIC} = 1 THEN 'FN' ELSE 'TN' END AS cell FROM r) SELECT cell, review_url, game_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY hours_played DESC, review_url, game_id) AS rank FROM s) WHERE rank <= 3")
@@ -136,11 +136,11 @@ def _(spark, d):
     return sampling.top_k(r.withColumn("cell", cell), ["cell"], [F.desc("hours_played"), F.col("review_url"), F.col("game_id")], 3).select("cell", "review_url", "game_id", "rank")
 
 
-@query("llm_05_judge_pairs", "SELECT conv_id::VARCHAR AS user_key, g AS generator, j AS judge FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['a', 'b', 'c']) AS g), (SELECT unnest(['a', 'b', 'c']) AS j) WHERE g <> j AND NOT (conv_id % 2 = 0 AND g = 'a' AND j = 'b')")
+@query("llm_05_judge_pairs", "SELECT conv_id::VARCHAR AS user_key, g AS generator, j AS judge FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['a', 'b', 'c']) AS g), (SELECT unnest(['a', 'b', 'c']) AS j) WHERE g <> j AND NOT (conv_id IN (SELECT conv_id FROM conversations WHERE turn >= 4) AND g = 'a' AND j = 'b')")
 def _(spark, d):
     keys = table(spark, d, "conversations").select("conv_id").distinct()
     narratives = keys.select(F.col("conv_id").cast("string").alias("user_key"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("generator"))
-    done = keys.where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("user_key"), F.lit("a").alias("generator"), F.lit("b").alias("judge"))
+    done = table(spark, d, "conversations").where("turn >= 4").select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("user_key"), F.lit("a").alias("generator"), F.lit("b").alias("judge"))
     return inference.judge_pairs(narratives, ["a", "b", "c"], done)
 
 

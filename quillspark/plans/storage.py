@@ -149,10 +149,10 @@ def _(spark, d):
     return table(spark, d, "nation").selectExpr("n_name AS name", "n_nationkey AS key").unionByName(table(spark, d, "region").selectExpr("r_regionkey AS key", "r_name AS name"))
 
 
-@query("arr_02_exploded_tags", f"WITH {G} SELECT game_id, tag FROM (SELECT game_id, unnest(tags) AS tag FROM g WHERE game_id % 3 > 0) WHERE tag <> ''")
+@query("arr_02_exploded_tags", "SELECT game_id, tag FROM (SELECT p_partkey AS game_id, unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size > 16) WHERE tag <> ''")
 def _(spark, d):
-    tags = F.when(F.col("game_id") % 3 > 0, F.col("tags"))
-    return games(spark, d).select("game_id", F.explode(tags).alias("tag")).where("tag <> ''")
+    tags = F.when(F.col("p_size") > 16, F.split("p_name", " "))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("game_id"), F.explode(tags).alias("tag")).where("tag <> ''")
 
 
 @query("map_01_lookups", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) AS total, count(*) FILTER (WHERE event_type = 'view') > 0 AS has_view FROM events GROUP BY 1")
