@@ -44,11 +44,10 @@ def _fingerprints(weights: DataFrame, key: str) -> DataFrame:
     lanes = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(ones) * F.col("weight")).alias(f"s{j}") for j in range(16)]
     sums = weights.groupBy(key).agg(F.sum("weight").alias("total"), *lanes)
 
-    def bit(i: int) -> Column:
-        votes = F.shiftrightunsigned(F.col(f"s{i % 16}"), 16 * (i // 16)).bitwiseAND(F.lit(0xFFFF))
-        return F.when(2 * votes > F.col("total"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)).otherwise(F.lit(0)).cast("long")
-
-    fp = reduce(lambda a, b: a.bitwiseOR(b), (bit(i) for i in range(BITS)))
+    votes = F.array(*(F.col(f"s{j}") for j in range(16)))
+    count = lambda i: F.call_function("shiftrightunsigned", F.get(votes, i % 16), (F.floor(i / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF))
+    bit = lambda i: F.when(2 * count(i) > F.col("total"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    fp = F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(bit(i)))
     checked = F.when(F.col("total") > 65_535, F.raise_error(F.lit("a window of over 65,535 shingles")).cast("long")).otherwise(fp)
     return sums.select(key, checked.alias("fp"), "total")
 
