@@ -23,12 +23,12 @@ from quillspark.llm._common import own_name, small_batches, staged
 from quillspark.llm.components import connected_components
 
 #: A fingerprint has LONGS longs; each of SPLITS orders of its bits is cut into blocks of BLOCK_BITS bits.
-LONGS, SPLITS, BLOCK_BITS = 4, 16, 24
+LONGS, SPLITS, BLOCK_BITS = 16, 4, 24
 BITS = 64 * LONGS
 #: Blocks whose buckets are linked through leaders first.
 FIRST = 20
-#: Candidates differ in at most so many bits.
-NEAR = 72
+#: Candidates differ in at most so many bits, three deviations above what a similarity of 0.8 has.
+NEAR = 190
 BROADCAST_ROWS = 1_000_000
 
 
@@ -49,8 +49,8 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
     """LONGS longs: a bit is 1 if set in over half of the shingles, whose hashes are mixed anew for each long."""
     votes = np.zeros(BITS, dtype=np.int64)
     mixers = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 255 * 64):
-        h = hashes[at : at + 255 * 64, None] + mixers
+    for at in range(0, len(hashes), 255 * 8):
+        h = hashes[at : at + 255 * 8, None] + mixers
         h ^= h >> np.uint64(30)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(27)
@@ -97,11 +97,18 @@ def block_keys(fp: Column) -> Column:
     return of(fp)
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """In how many bits two fingerprints differ."""
+    total = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for i in range(1, LONGS):
+        total = total + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return total
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose texts are as similar, verified by all bits and then by the texts."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"{x}fp")) for x in "uv")
-    bits = F.aggregate(F.zip_with("ufp", "vfp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = staged(pairs.join(a, "u").join(b, "v").where(bits <= NEAR).select("u", "v"), "near")
+    near = staged(pairs.join(a, "u").join(b, "v").where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v"), "near")
     wanted = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
     reps = staged(nodes.join(wanted, "node", "left_semi").select("node", "rep.id", "rep.text_key"), "wanted")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
@@ -153,10 +160,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = _linked(led.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
     groups = connected_components(links)
 
-    named = staged(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named")
+    shown = nodes.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+    named = staged(members.join(staged(shown, "shown"), "node").select("key", "node", "component", "fp"), "named")
     most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
     mixed = named.join(staged(most.where("groups > 1").select("key", "most"), "most"), "key")
-    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")))
+    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= NEAR))
     left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
     if not more.isEmpty():

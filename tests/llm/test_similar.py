@@ -54,7 +54,7 @@ def test_wide_fingerprints():
     assert fp.shape == (similar.LONGS,) and not similar.wide_simhash(h[:0]).any()
     assert (similar.wide_simhash(many[:1]) == similar.wide_simhash(np.repeat(many[:1], 3))).all()
     places = similar.block_places()
-    assert places.shape == (160, 24) and all(len(set(places[i : i + 10].ravel())) == 240 for i in range(0, 160, 10))
+    assert places.shape == (168, 24) and all(len(set(places[i : i + 42].ravel())) == 1008 for i in range(0, 168, 42))
 
 
 def test_edge_cases(spark, edge, empty):
