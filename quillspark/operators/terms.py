@@ -20,8 +20,8 @@ STOP_WORDS = tuple(
 
 def tokens(clean: Column, stop_words: Sequence[str]) -> Column:
     """Words of two letters or more of a cleaned text, without stop words."""
-    stop = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    return F.filter(F.split(clean, " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    stop = list(stop_words)
+    return F.filter(F.split(clean, " "), lambda t: (F.length(t) >= 2) & ~t.isin(stop) if stop else F.length(t) >= 2)
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
