@@ -4,7 +4,7 @@ Texts whose shingle counts have a Jaccard similarity of 0.8 differ in about 15 %
 No split of a fingerprint into selective blocks holds for so many bits at once, so a wide fingerprint is
 split several times, each time with its bits in another order: pairs that differ in fewer bits than a
 split has blocks share a block of every split, and pairs at similarity 0.8 share one of all blocks
-with a probability of about 0.95 (at 0.85, of 0.999). What shares a block is verified by Hamming distance and then by the
+with a probability of about 0.96 (at 0.85, of 0.999). What shares a block is verified by Hamming distance and then by the
 exact similarity, so nothing below it is linked.
 """
 
