@@ -106,9 +106,8 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts are as similar, verified by all bits and then by the texts."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"{x}fp")) for x in "uv")
-    near = staged(pairs.join(a, "u").join(b, "v").where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v"), "near")
+    """Of candidate pairs (u, v) of nodes those whose texts are as similar."""
+    near = staged(pairs, "near")
     wanted = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
     reps = staged(nodes.join(wanted, "node", "left_semi").select("node", "rep.id", "rep.text_key"), "wanted")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
@@ -144,7 +143,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bucket's leader, its least node. This links large groups of near copies by a few pairs a node.
     Then, in the buckets of all blocks, the nodes that these links leave outside of the bucket's
     largest group are candidates with all nodes of other groups, so no link between groups is lost.
-    Candidates are verified by _linked().
+    Candidates within NEAR bits are verified by _linked().
 
     Null and empty texts have no shingles and are one group. Repeated rows and rows that share an id
     and a text are copies. Other columns are not read.
@@ -156,15 +155,17 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keys = nodes.select("node", F.explode(block_keys(F.col("fp"))).alias("key"))
     buckets = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "buckets")
     members = staged(keys.join(buckets, "key"), "members")
-    led = members.where((F.shiftright("key", BLOCK_BITS) < FIRST) & (F.col("node") != F.col("lead")))
-    links = _linked(led.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
+    first = staged(members.where(F.shiftright("key", BLOCK_BITS) < FIRST).join(nodes.select("node", "fp"), "node"), "first")
+    near = _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR
+    led = first.where("node = lead").alias("a").join(first.where("node <> lead").alias("b"), (F.col("a.key") == F.col("b.key")) & near)
+    links = _linked(led.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
     groups = connected_components(links)
 
     shown = nodes.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
     named = staged(members.join(staged(shown, "shown"), "node").select("key", "node", "component", "fp"), "named")
     most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
     mixed = named.join(staged(most.where("groups > 1").select("key", "most"), "most"), "key")
-    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= NEAR))
+    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near)
     left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
     if not more.isEmpty():
