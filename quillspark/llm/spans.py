@@ -36,6 +36,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of the merged spans lies outside of the others, merged too."""
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(others) and others[i][1] <= a:
+            i += 1
+        j = i
+        while j < len(others) and others[j][0] < b:
+            if a < others[j][0]:
+                out.append((a, others[j][0]))
+            a, j = max(a, others[j][1]), j + 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The bytes outside the merged spans."""
     kept, at = [], 0
@@ -51,7 +67,7 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
 
     found(k1, k2, spans) has arrays of (start, end, drop) in bytes. Overlapping and touching spans
     are joined, and those of under `passage` bytes go: all of them give `repeated`, those with drop
-    give `spans`, which are cut out. `kept` is null unless keep_bytes.
+    give `spans`, which are cut out but for bytes that those without drop hold. `kept` is null unless keep_bytes.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +84,7 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
                 spans = list(zip(start[a:b], end[a:b], drop[a:b], strict=True))
                 every = [x for x in merged([x[:2] for x in spans]) if x[1] - x[0] >= passage]
                 runs = [x for x in merged([x[:2] for x in spans if x[2]]) if x[1] - x[0] >= passage]
+                runs = without(runs, merged([x[:2] for x in spans if not x[2]]))
                 kept = cut(raw, runs)
                 dicts = [[{"start": a, "end": b} for a, b in x] for x in (runs, every)]
                 rows.append((len(raw), sum(b - a for a, b in runs), len(runs), dicts[0], sum(b - a for a, b in every), dicts[1], hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))

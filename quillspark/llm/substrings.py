@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import staged
 from quillspark.llm.spans import document_key, small, without_spans
 
-#: The gear hash sees WINDOW bytes. A chunk ends where MASK's bits of the hash are zero, once it has
-#: LEAST bytes, and at MOST bytes anyway; so it has about LEAST + 16 bytes.
-WINDOW, MASK, LEAST, MOST = 16, 0xF << 12, 32, 256
-#: A run of repeated chunks is a repeated passage if it has so many bytes.
+#: The gear hash sees WINDOW bytes. In every SPAN places in a row the one of least hash is a cut, so cuts
+#: depend on the bytes near them alone, lie at most SPAN bytes apart and about (SPAN + 1) / 2 on average.
+WINDOW, SPAN = 16, 48
+MOST = SPAN + WINDOW
+#: A repeated passage has so many bytes.
 PASSAGE = 128
 
 
@@ -27,62 +28,71 @@ def gear_table(seed: int = 20240607) -> np.ndarray:
 GEAR = gear_table()
 
 
-def candidates(raw: bytes, block: int = 1 << 20) -> Iterator[int]:
-    """Places where the gear hash of the WINDOW bytes before fits the mask, in blocks of bounded memory."""
-    for at in range(0, len(raw), block):
-        lo = max(0, at - WINDOW + 1)
-        h = GEAR[np.frombuffer(raw, dtype=np.uint8, count=min(len(raw), at + block) - lo, offset=lo)]
+def cuts(raw: bytes, block: int = 1 << 18) -> np.ndarray:
+    """Places whose WINDOW bytes have the least gear hash (the last of equal ones) of some SPAN places, in blocks of bounded memory."""
+    found, last = [], len(raw) - WINDOW - SPAN + 1
+    for at in range(0, last + 1, block):
+        n = min(block, last + 1 - at)
+        h = GEAR[np.frombuffer(raw, dtype=np.uint8, count=n + SPAN + WINDOW - 2, offset=at)]
         width = 1
         while width < WINDOW:  # the recurrence h = 2 h + gear[byte] over the window, by doubling
             longer = h.copy()
             longer[width:] += h[:-width] << np.uint32(width)
             h, width = longer, 2 * width
-        yield from (np.flatnonzero((h[at - lo :] & np.uint32(MASK)) == 0) + (at + 1)).tolist()
+        h = h[WINDOW - 1 :].astype(np.uint64) << np.uint64(32) | np.arange(len(h) - WINDOW, -1, -1, dtype=np.uint64)
+        width = 1
+        while 2 * width <= SPAN:  # least of the next places, by doubling
+            h, width = np.minimum(h[:-width], h[width:]), 2 * width
+        h = np.minimum(h[:n], h[SPAN - width :][:n])
+        h = h[np.flatnonzero(np.diff(h, prepend=~h[:1]))]
+        found.append((at + n + SPAN - 2) - (h & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
 
 
 def chunk_ends(raw: bytes) -> list[int]:
     """Where the chunks of some bytes end; the last end is their length."""
-    ends, start, n = [], 0, len(raw)
-    for at in candidates(raw) if n > LEAST else ():
-        while at - start > MOST:
-            start += MOST
-            ends.append(start)
-        if at - start >= LEAST:
-            ends.append(at)
-            start = at
-    while n - start > MOST:
-        start += MOST
-        ends.append(start)
-    return [*ends, n] if start < n else ends
-
-
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From batches (k1, k2, text) a row for each chunk: k1, k2, digest, start, end."""
+    return [*(x for x in cuts(raw).tolist() if x), len(raw)] if raw else []
+
+
+def passages(raw: bytes, least: int = PASSAGE) -> list[tuple[int, int]]:
+    """(start, end) from each cut, and the text's start, to the first end of a cut's window, or the text's, that makes `least`
+    bytes or more; and the last of these starts to the text's end."""
+    n = len(raw)
+    if n < least or not n:
+        return []
+    at = cuts(raw)
+    starts, ends = np.concatenate([[0], at[at > 0]]), np.append(at[at < n - WINDOW] + WINDOW, n)
+    starts = starts[starts <= n - least]
+    found = list(zip(starts.tolist(), ends[np.searchsorted(ends, starts + least)].tolist(), strict=True))
+    return found if found[-1][1] == n else [*found, (found[-1][0], n)]
+
+
+def chunk_rows(batches: Iterator[pa.RecordBatch], least: int = PASSAGE) -> Iterator[pa.RecordBatch]:
+    """From batches (k1, k2, text) a row for each of passages(): k1, k2, digest, start, end."""
     for batch in small(batches):
         digests, starts, stops, counts = [], [], [], []
         for text in batch.column(2):
             raw = text.as_py() or b""
-            ends = chunk_ends(raw)
-            begins = [0, *ends[:-1]] if ends else []
-            digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins, ends, strict=True)]
-            starts += begins
-            stops += ends
-            counts.append(len(ends))
+            found = passages(raw, least)
+            digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in found]
+            starts += [a for a, _ in found]
+            stops += [b for _, b in found]
+            counts.append(len(found))
         of = pa.array(np.repeat(np.arange(len(counts)), counts))
         yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["k1", "k2", "digest", "start", "end"])
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, spans) from keyed(k1, k2, text), for texts with any: the chunks that occur more than
-    once, as an array of (start, end, drop), drop being false at the first occurrence.
+def repeated_chunks(keyed: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(k1, k2, spans) from keyed(k1, k2, text), for texts with any: the passages() that occur more
+    than once, as an array of (start, end, drop), drop being false at the first occurrence.
 
-    Chunks are compared by digest. The first occurrence is that of the document of least k1, there
+    They are compared by digest. The first occurrence is that of the document of least k1, there
     the least start. Digests are counted by an aggregation (combined before the shuffle); only those
-    that occur twice are joined back, to chunks made anew from the texts. What is gathered for a
+    that occur twice are joined back, to those made anew from the texts. What is gathered for a
     document is bounded by its text.
     """
-    chunks = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(chunk_rows, "k1 long, k2 long, digest long, start int, end int")
-    # A chunk's place in the corpus in one long: 40 bits of the document's key, 24 bits of the start.
+    chunks = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunk_rows(batches, passage), "k1 long, k2 long, digest long, start int, end int")
+    # A passage's place in the corpus in one long: 40 bits of the document's key, 24 bits of the start.
     place = F.col("k1").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.col("start").bitwiseAND(F.lit((1 << 24) - 1)).cast("long"))
     counted = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("least"))
     twice = staged(counted.where("n > 1").select("digest", "least"), "twice")
@@ -94,12 +104,15 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for every row of docs: id, n_bytes, n_removed, n_spans, spans, n_repeated, repeated,
     kept_sha256, kept.
 
-    Texts are cut into content-defined chunks, which an insertion shifts only near itself. Runs of
-    chunks that occur more than once (also in one text) are `repeated` if they have `passage` bytes;
-    such runs outside of first occurrences are removed (`spans`). repeated_chunks() says which
-    occurrence is the first. Rows equal in id and text are one document: they count as copies for
+    Cuts are content-defined: an insertion shifts them only near itself. Every cut begins a string of
+    `passage` bytes or more that ends by a cut; strings that occur more than once (also in one text)
+    are `repeated`, and their bytes outside of first occurrences are removed (`spans`).
+    repeated_chunks() says which occurrence is the first. A passage that two texts share has the same
+    cuts in both, the first and the last at most SPAN - 1 bytes from its ends; so one of
+    passage + 2 * (SPAN - 1) bytes or more is never missed, whatever surrounds it.
+    Rows equal in id and text are one document: they count as copies for
     `repeated`, but share what is removed. Spans are in bytes of UTF-8, end exclusive. Null and empty
     texts have no chunks. Texts of any length are read whole; other columns are not read.
     """
     keyed = docs.select(F.col(id_col).alias("id"), *document_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
-    return without_spans(keyed, repeated_chunks(keyed), keep_bytes=keep_bytes, passage=passage)
+    return without_spans(keyed, repeated_chunks(keyed, passage), keep_bytes=keep_bytes, passage=passage)

@@ -109,6 +109,21 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark, prose_of):
     assert sum(r["n_removed"] > 0 for r in got.values()) == 20  # the first occurrence stays
 
 
+def test_passages_are_found_in_any_surroundings(prose_of):
+    rng = random.Random(3)
+    keys = lambda text: {text[a:b] for a, b in substrings.passages(text)}
+    for i in range(300):
+        shared = prose_of(5000 + i, 90).encode()[: substrings.PASSAGE + 2 * (substrings.SPAN - 1)]
+        texts = [prose_of(seed, 40).encode()[: rng.randint(0, 150)] + shared + prose_of(seed + 1, 40).encode() for seed in (9000 + 4 * i, 9002 + 4 * i)]
+        assert keys(texts[0]) & keys(texts[1])
+
+
+def test_first_occurrence_stays_whole(spark):
+    r = substrings.dedup_substrings(spark.createDataFrame([(1, "a" * 5000)], "doc_id long, text string")).collect()[0]
+    assert r["n_repeated"] == 5000 and substrings.PASSAGE <= len(r["kept"]) <= 2 * substrings.PASSAGE
+    assert spans.without([(0, 10), (20, 30)], [(2, 4), (8, 22), (29, 40)]) == [(0, 2), (4, 8), (22, 29)]
+
+
 def test_substrings_of_edge_cases(spark, edge, empty):
     got = substrings.dedup_substrings(edge).collect()
     assert len(got) == edge.count() and substrings.dedup_substrings(empty).count() == 0
