@@ -46,6 +46,19 @@ def test_groups_against_brute_force(spark, prose_of):
     assert {r["doc_id"] for r in kept} == {min(g) for g in groups(got)}
 
 
+def test_near_copies_with_repeated_lines(spark, prose_of):
+    footer = prose_of(77, 14)
+    pairs = [(prose_of(200 + i, 300), " ".join([prose_of(200 + i, 300), *[footer] * 4])) for i in range(20)]
+    assert all(similarity(shingles(a), shingles(b)) >= 0.8 for a, b in pairs)
+    fp = lambda t: np.unpackbits(similar.wide_simhash(similar.numbered(similar.shingle_hashes(t, 5))).view(np.uint8))
+    assert all((fp(a) != fp(b)).sum() <= similar.NEAR for a, b in pairs)
+    df = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(20)) >= 19
+    h = np.array([7, 5, 7, 7, 5, 1], dtype=np.uint64)
+    assert len(set(similar.numbered(h).tolist())) == 6 and (np.sort(similar.numbered(h)) == np.sort(similar.numbered(h[::-1]))).all()
+
+
 def test_wide_fingerprints():
     h = similar.shingle_hashes("a b c d e f g h", 5)
     assert len(h) == 4 and len(similar.shingle_hashes("a b", 5)) == 1 and len(similar.shingle_hashes(" ", 5)) == 0
