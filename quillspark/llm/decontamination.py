@@ -60,6 +60,20 @@ def _blocks(fp: Column, probe: bool) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), value(b).bitwiseXOR(F.lit(x)).alias("value")) for b in range(BLOCKS) for x in flips))
 
 
+def _starts(at: Column, n_words: Column, n_item: Column, k: int, similarity: float) -> Column:
+    """Array of the windows' starts that can reach the similarity, from the sorted places of an item's shingles.
+
+    What a window and the item have in common is at most the number of such places in the window.
+    """
+    span = F.least(n_words, n_item)
+    need = F.greatest(F.lit(1), F.ceil((span + n_item - 2 * (k - 1)) * (similarity / (1 + similarity)) - 1e-6).cast("int"))
+    # From place j on `need` places lie in the windows of these starts; those before place j - 1 were laid with it.
+    lo = lambda j: F.greatest(F.lit(0), F.get(at, j + need - 1) - (span - k), F.coalesce(F.get(at, j - 1) + 1, F.lit(0)))
+    hi = lambda j: F.least(F.get(at, j), n_words - span)
+    firsts = F.when(F.size(at) >= need, F.sequence(F.lit(0), F.size(at) - need)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(F.filter(firsts, lambda j: lo(j) <= hi(j)), lambda j: F.sequence(lo(j), hi(j))))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -72,9 +86,9 @@ def find_leaks(
 ) -> DataFrame:
     """(id, text_key, item, similarity, first_word, last_word, n_windows) for each item found in a document.
 
-    A window has as many words as the item (or is the whole document, if shorter). Windows that hold
-    no shingle of any item have similarity 0, so windows are laid only where an item shingle occurs,
-    so that it stands where it does in the item. Windows of equal words are fingerprinted once
+    A window has as many words as the item (or is the whole document, if shorter). Windows are laid
+    at every start where they hold as many of the item's shingles, in any order, as the similarity
+    needs; the others are below it for certain. Windows of equal words are fingerprinted once
     (SimHash over five-word shingles, weighted by their count). Item and window fingerprints of the
     same length are joined on blocks: every pair within RADIUS bits agrees in some block up to
     BLOCK_RADIUS bits, so none is missed. Of these pairs the exact weighted Jaccard similarity of
@@ -91,13 +105,13 @@ def find_leaks(
     found = []
     for k in sorted(sizes) or [SHINGLE_WORDS]:
         of = items.where(F.least(F.size("words"), F.lit(SHINGLE_WORDS)) == k)
-        grams = of.select(F.col("words").alias("iw"), F.size("words").alias("n_item"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
-        grams = grams.select(_shingle_hash(F.col("iw"), F.col("at"), k).alias("h"), "n_item", "at").distinct()
+        grams = of.select(F.col("words").alias("iw"), F.size("words").alias("n_item"), F.xxhash64("words").alias("of"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
+        grams = grams.select(_shingle_hash(F.col("iw"), F.col("at"), k).alias("h"), "n_item", "of").distinct()
         grams = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
         places = texts.where(F.size("words") >= k).select("id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("pos"))
         hits = places.withColumn("h", _shingle_hash(F.col("words"), F.col("pos"), k)).join(grams, "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("n_item")))
-        hits = hits.select("id", "text_key", "n_item", start.alias("start"), F.lit(k).alias("k"), "words")
+        held = hits.groupBy("id", "text_key", "of", "n_item").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("words").alias("words"))
+        hits = held.select("id", "text_key", "n_item", F.explode(_starts(F.col("at"), F.size("words"), F.col("n_item"), k, similarity)).alias("start"), F.lit(k).alias("k"), "words")
         window = F.slice("words", F.col("start") + 1, F.col("n_item"))
         found.append(hits.withColumn("window", F.array_join(window, " ")).groupBy("id", "text_key", "n_item", "start", "k").agg(F.first("window").alias("window")))
     laid = staged(reduce(DataFrame.union, found), "windows")

@@ -90,6 +90,21 @@ def test_leaks_against_brute_force(spark, prose_of):
     assert found == pytest.approx(want)
 
 
+def test_leaks_in_another_order(spark, prose_of):
+    docs, items = [], []
+    for i in range(8):
+        words = prose_of(700 + i, 100).split()
+        parts = [words[50:], words[:50]] if i % 2 else [words[60:], words[:30], words[30:60]]
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([prose_of(i, 60), *(" ".join(p) for p in parts), prose_of(20 + i, 60)])))
+    line = prose_of(750, 12)
+    items += [(8, f"{line} {line} {prose_of(751, 6)}"), (9, prose_of(752, 30))]
+    docs += [(8, f"{line} {line} {line} {line}"), (9, " ".join(items[9][1].split()[:27])), (10, "")]
+    found = {(r["id"], r["item"]): r["similarity"] for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) >= 9 and found == pytest.approx(want)
+
+
 def test_block_guarantee():
     """Within RADIUS bits some block differs in BLOCK_RADIUS bits or fewer."""
     assert decontamination.RADIUS // decontamination.BLOCKS <= decontamination.BLOCK_RADIUS and decontamination.RADIUS == 15
