@@ -86,10 +86,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every byte that 400-byte strings cover which start twice or more in the corpus goes."""
+    """Every byte that 400-byte strings cover which start twice or more in the corpus goes; n_repeated counts those of
+    256-byte strings, so that passages too short to go are reported."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = suffixes.remove_repeats(docs, keep_bytes=False)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", (F.col("n_repeated") > 0).alias("has_repeats"))
 
 
 QUERIES = {

@@ -67,7 +67,8 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
 
     found(k1, k2, spans) has arrays of (start, end, drop) in bytes. Overlapping and touching spans
     are joined, and those of under `passage` bytes go: all of them give `repeated`, those with drop
-    give `spans`, which are cut out but for bytes that those without drop hold. `kept` is null unless keep_bytes.
+    give `spans`, which are cut out but for bytes that those where drop is false hold. Where it is null, they are
+    reported only. `kept` is null unless keep_bytes.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def without_spans(keyed: DataFrame, found: DataFrame, *, keep_bytes: bool, passa
                 spans = list(zip(start[a:b], end[a:b], drop[a:b], strict=True))
                 every = [x for x in merged([x[:2] for x in spans]) if x[1] - x[0] >= passage]
                 runs = [x for x in merged([x[:2] for x in spans if x[2]]) if x[1] - x[0] >= passage]
-                runs = without(runs, merged([x[:2] for x in spans if not x[2]]))
+                runs = without(runs, merged([x[:2] for x in spans if x[2] is False]))
                 kept = cut(raw, runs)
                 dicts = [[{"start": a, "end": b} for a, b in x] for x in (runs, every)]
                 rows.append((len(raw), sum(b - a for a, b in runs), len(runs), dicts[0], sum(b - a for a, b in every), dicts[1], hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -156,6 +157,29 @@ def brute_removal(texts, length):
     return out
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_sorting_the_first_windows_only(seed):
+    rng = random.Random(seed)
+    pieces = [bytes(rng.choice(b"ab" if seed % 2 else b"aaab") for _ in range(rng.randint(12, 60))) for _ in range(rng.randint(1, 9))]
+    counts = [rng.randint(1, len(p) - 11) for p in pieces]
+    text = suffixes.SEPARATOR.join(pieces) + suffixes.SEPARATOR
+    begins = [0, *np.cumsum([len(p) + 1 for p in pieces]).tolist()]
+    places = [b + i for b, n in zip(begins, counts, strict=False) for i in range(n)]
+    for length, got in zip((16, 12), suffixes.repeated_starts(pieces, counts, (16, 12)), strict=True):
+        fit = [p for p in places if suffixes.SEPARATOR not in text[p : p + length]]
+        many = Counter(text[p : p + length] for p in fit)
+        assert got.tolist() == [p for p in fit if many[text[p : p + length]] > 1]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pieces_do_not_depend_on_blocks(seed):
+    rng = random.Random(seed)
+    raw = b"".join(rng.choice([b"ab", b"a", b"b" * 40, bytes(rng.choice(b"abcd") for _ in range(30))]) * rng.randint(1, 60) for _ in range(12))
+    whole = suffixes.pieces_of(raw, 40, 24, 8, 1 << 20)
+    assert suffixes.pieces_of(raw, 40, 24, 8, 37) == whole
+    assert [p[2] for p in whole] == [0, *np.cumsum([p[3] for p in whole]).tolist()][: len(whole)] and sum(p[3] for p in whole) == max(0, len(raw) - 23)
+
+
 @pytest.mark.parametrize("sort_bytes", [1 << 20, 60])
 def test_suffix_dedup_against_brute_force(spark, sort_bytes):
     rng = random.Random(4)
@@ -166,7 +190,10 @@ def test_suffix_dedup_against_brute_force(spark, sort_bytes):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["id"]: r for r in suffixes.remove_repeats(df, length=24, gram=8, sort_bytes=sort_bytes).collect()}
     for i, want in enumerate(brute_removal(texts, 24)):
-        assert got[i]["kept"] == want and got[i]["n_removed"] == got[i]["n_bytes"] - len(want)
+        assert got[i]["kept"] == want and got[i]["n_removed"] == got[i]["n_repeated"] == got[i]["n_bytes"] - len(want)
+    both = {r["id"]: r for r in suffixes.remove_repeats(df, length=30, report=14, gram=8, sort_bytes=sort_bytes).collect()}
+    for i, (gone, said) in enumerate(zip(brute_removal(texts, 30), brute_removal(texts, 14), strict=True)):
+        assert both[i]["kept"] == gone and both[i]["n_repeated"] == both[i]["n_bytes"] - len(said)
 
 
 def test_suffix_dedup_of_edge_cases(spark, edge, empty):
