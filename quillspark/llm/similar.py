@@ -6,7 +6,8 @@ split several times, each time with its bits in another order: pairs that differ
 split has blocks share a block of every split, and pairs at similarity 0.8 share one of all blocks
 with a probability of about 0.96 (at 0.85, of 0.999). That holds for repeated shingles too, as each
 occurrence has a vote of its own (numbered()). What shares a block is verified by Hamming distance and then by the
-exact similarity, so nothing below it is linked.
+exact similarity, so nothing below it is linked. In buckets of many texts that are alike but not linked, the pairs are
+found by their rarest shingles instead, which loses none.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import own_name, small_batches, staged
@@ -30,6 +31,10 @@ BITS = 64 * LONGS
 FIRST = 20
 #: Candidates differ in at most so many bits, three deviations above what a similarity of 0.8 has.
 NEAR = 190
+#: Buckets in which more pairs would be compared are settled by rare shingles.
+CROWD = 2_000
+#: Pairs that meet one copy of a node's shingles.
+SHARE = 2_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -93,9 +98,9 @@ def block_places(seed: int = 11) -> np.ndarray:
     return np.concatenate([rng.permutation(BITS)[: per * BLOCK_BITS].reshape(per, BLOCK_BITS) for _ in range(SPLITS)])
 
 
-def block_keys(fp: Column) -> Column:
-    """An array with a long for each block: the block's number above BLOCK_BITS bits, its value in them."""
-    places = block_places()
+def block_keys(fp: Column, blocks: int | None = None) -> Column:
+    """An array with a long for each block (of the first `blocks`, if given): the block's number above BLOCK_BITS bits, its value in them."""
+    places = block_places()[:blocks]
     powers = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
     numbers = np.arange(len(places), dtype=np.int64) << BLOCK_BITS
 
@@ -120,36 +125,86 @@ def _distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _shingles(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(node, hs) for wanted(node): the sorted hashes of the node's numbered shingles."""
+    reps = _bounded(staged(nodes.join(wanted, "node", "left_semi").select("node", "rep.id", "rep.text_key"), "wanted"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
+    found = texts.join(reps, texts["_id"].eqNullSafe(reps["id"]) & (texts["_key"] == reps["text_key"])).select("node", "text")
+
+    @F.pandas_udf("array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([np.sort(numbered(shingle_hashes(t, shingle_words)).view(np.int64)) for t in s])
+
+    with small_batches(docs.sparkSession):
+        return staged(found.select("node", of("text").alias("hs")), "shingles").dropDuplicates(["node"])
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs (u, v) of nodes those whose texts are as similar."""
+    """Of distinct candidate pairs (u, v) of nodes those whose texts are as similar.
+
+    A node with many pairs, as a large group's leader has, is dealt to tasks in shares of SHARE pairs.
+    """
     near = staged(pairs, "near")
     wanted = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
-    reps = staged(nodes.join(wanted, "node", "left_semi").select("node", "rep.id", "rep.text_key"), "wanted")
-    reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
-    found = texts.join(reps, texts["_id"].eqNullSafe(reps["id"]) & (texts["_key"] == reps["text_key"])).select("node", "text")
-    found = staged(found, "texts").dropDuplicates(["node"])
+    found = staged(_shingles(wanted, nodes, docs, id_col, text_col, shingle_words), "hashes")
+    shares = near.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
+    shares = _bounded(staged(shares, "shares"))
+    share = F.coalesce(F.pmod(F.xxhash64("v"), F.col("shares")), F.lit(0)).cast("int")
+    dealt = near.join(shares, "u", "left").select("u", "v", share.alias("share"))
+    copies = found.toDF("u", "uh").join(shares, "u", "left").select("u", "uh", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, held = [], None, None
+            keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x = x.as_py()
-                if x is not last:
-                    last, held = x, np.unique(shingle_hashes(x, shingle_words), return_counts=True)
-                other = np.unique(shingle_hashes(y.as_py(), shingle_words), return_counts=True)
-                _, i, j = np.intersect1d(held[0], other[0], assume_unique=True, return_indices=True)
-                common = int(np.minimum(held[1][i], other[1][j]).sum())
-                total = int(held[1].sum() + other[1].sum()) - common
-                keep.append(common >= similarity * total)
+                x, y = (np.asarray(z.values) for z in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = near.join(found.toDF("u", "ut"), "u").join(found.toDF("v", "vt"), "v").select("u", "v", "ut", "vt")
-    with small_batches(docs.sparkSession):
+    both = dealt.join(found.toDF("v", "vh"), "v").join(copies, ["u", "share"]).select("u", "v", "uh", "vh")
+    with small_batches(docs.sparkSession, 250):
         return staged(both.mapInArrow(compare, "u long, v long"), "linked")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _rare(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, component, n, pos) from open_(node, component): of each node's n shingles those that come first by
+    frequency among these nodes and can be the first that it shares with another node of the similarity.
+
+    If two sets of n and m have at least c in common, the first of these in any order is one of the first n - c + 1 and
+    m - c + 1. Shingles of one node are counted, but can't be shared.
+    """
+    each = shingles.select("node", F.size("hs").alias("n"), F.explode("hs").alias("key"))
+    often = staged(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    shared = staged(each, "each").join(often, "key")
+    by_node = Window.partitionBy("node")
+    pos = F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("often", "key")) - 1
+    placed = shared.withColumn("pos", pos).where(F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6))
+    return placed.join(open_, "node").select("key", "node", "component", "n", F.col("pos").cast("int").alias("pos"))
+
+
+def _across(members: DataFrame, most: DataFrame, meet: Column) -> DataFrame:
+    """Distinct pairs (u, v) of members(key, node, component, ...) of different components with the same key, for which `meet` (of a and b)
+    holds; most(key, most) names a component of each key, within which none is sought."""
+    mixed = members.join(most.select("key", "most"), "key")
+    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & meet)
+    return left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, n, in_most, most) for the keys of members(key, node, component) with several components: most is the largest, with in_most of the n members."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    found = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+    return found.where("groups > 1").select("key", "n", F.col("m.n").alias("in_most"), F.col("m.component").alias("most"))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(id, text_key, component, first): for every row of docs its group and the group's first member's
     struct (id, text_key), a group being what links of `similarity` or more connect.
 
@@ -160,36 +215,49 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     largest group are candidates with all nodes of other groups, so no link between groups is lost.
     Candidates within NEAR bits are verified by _linked().
 
+    A bucket in which over `crowd` pairs would be compared holds many texts that are alike, but
+    hardly as much as sought. All nodes of such buckets are joined on their rarest shingles instead
+    (_rare()), an exact filter: every pair of the similarity meets, others hardly ever.
+
     Null and empty texts have no shingles and are one group. Repeated rows and rows that share an id
     and a text are copies. Other columns are not read.
     """
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), fingerprint(F.col(text_col), shingle_words).alias("fp")), "wide")
+    fp = F.xxhash64("fp").alias("node")
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), fingerprint(F.col(text_col), shingle_words).alias("fp")).select("*", fp), "wide")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
-    nodes = rows.groupBy("fp").agg(F.min_by(F.struct("id", "text_key"), order).alias("rep"))
-    nodes = staged(nodes.select(F.xxhash64("fp").alias("node"), "fp", "rep"), "nodes")
-    keys = nodes.select("node", F.explode(block_keys(F.col("fp"))).alias("key"))
-    buckets = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "buckets")
-    members = staged(keys.join(buckets, "key"), "members")
-    first = staged(members.where(F.shiftright("key", BLOCK_BITS) < FIRST).join(nodes.select("node", "fp"), "node"), "first")
-    near = _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR
-    led = first.where("node = lead").alias("a").join(first.where("node <> lead").alias("b"), (F.col("a.key") == F.col("b.key")) & near)
-    links = _linked(led.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), nodes, docs, id_col, text_col, shingle_words, similarity)
+    nodes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by(F.struct("id", "text_key"), order).alias("rep")), "nodes")
+    given = nodes, docs, id_col, text_col, shingle_words
+
+    first = staged(nodes.select("node", F.explode(block_keys(F.col("fp"), FIRST)).alias("key")), "first")
+    leads = staged(first.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("key", "lead"), "leads")
+    led = first.join(leads, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    prints = nodes.select("node", "fp")
+    a, b = prints.toDF("u", "ufp"), prints.toDF("v", "vfp")
+    close = staged(led, "led").join(a, "u").join(b, "v").where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v")
+    links = _linked(close, *given, similarity)
     groups = connected_components(links)
 
-    shown = nodes.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
-    named = staged(members.join(staged(shown, "shown"), "node").select("key", "node", "component", "fp"), "named")
-    most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
-    mixed = named.join(staged(most.where("groups > 1").select("key", "most"), "most"), "key")
-    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near)
-    left = left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    more = _linked(left, nodes, docs, id_col, text_col, shingle_words, similarity)
+    shown = staged(nodes.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
+    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"))).alias("key"))
+    several = keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    members = staged(keys.join(_bounded(staged(several, "several")), "key"), "members")
+    most = staged(_mixed(members).withColumn("crowded", (F.col("n") - F.col("in_most")) * F.col("n") > crowd), "most")
+    within = members.join(prints, "node")
+    more = _across(within, most.where("not crowded"), _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR)
+    open_ = staged(members.join(most.where("crowded"), "key", "left_semi").select("node", "component").distinct(), "open")
+    if not open_.isEmpty():
+        rare = staged(_rare(open_, _shingles(open_.select("node"), *given), similarity), "rare")
+        common = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # at most, from this shingle on
+        need = similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+        more = more.union(_across(rare, staged(_mixed(rare), "most"), common >= need)).distinct()
+    more = _linked(more, *given, similarity)
     if not more.isEmpty():
         groups = connected_components(links.union(more))
 
     found = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = found.groupBy("component").agg(F.min_by("rep", F.struct(F.col("rep.id").isNull(), F.col("rep.id"), F.col("rep.text_key"))).alias("first"))
-    named = staged(found.select("fp", "component").join(firsts, "component"), "groups")
-    return rows.join(named, "fp").select("id", "text_key", "component", "first")
+    named = staged(found.select("node", "component").join(firsts, "component"), "groups")
+    return rows.select("id", "text_key", "node").join(named, "node").select("id", "text_key", "component", "first")
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

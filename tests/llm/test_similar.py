@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspark.llm import similar
 from tests.llm.test_dedup import union_find
@@ -27,14 +28,15 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-def test_groups_against_brute_force(spark, prose_of):
+@pytest.mark.parametrize("crowd", [similar.CROWD, 0])
+def test_groups_against_brute_force(spark, prose_of, crowd):
     rng = random.Random(7)
     texts = [prose_of(i, rng.randint(60, 200)) for i in range(25)]
     texts += [edited(rng, texts[i % 25], rng.randint(0, 6)) for i in range(50)]
     hub = prose_of(99, 150)
     texts += [edited(rng, hub, rng.randint(0, 2)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df, crowd=crowd).collect()}
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
     want = union_find(range(len(texts)), links)
@@ -42,7 +44,7 @@ def test_groups_against_brute_force(spark, prose_of):
     assert all(len({want[i] for i in g}) == 1 for g in groups(got))  # nothing below the similarity is linked
     together = sum(got[i] == got[j] for i, j in links)
     assert together >= 0.95 * len(links)
-    kept = similar.drop_similar(df).collect()
+    kept = similar.drop_similar(df, crowd=crowd).collect()
     assert {r["doc_id"] for r in kept} == {min(g) for g in groups(got)}
 
 
