@@ -32,7 +32,7 @@ FIRST = 20
 #: Candidates differ in at most so many bits, three deviations above what a similarity of 0.8 has.
 NEAR = 190
 #: Buckets in which more pairs would be compared are settled by rare shingles.
-CROWD = 2_000
+CROWD = 200
 #: Pairs that meet one copy of a node's shingles.
 SHARE = 2_000
 BROADCAST_ROWS = 1_000_000
@@ -173,6 +173,15 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
         return staged(both.mapInArrow(compare, "u long, v long"), "linked")
 
 
+def _led(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of each node v of members(key, node) and u, the node of most degree with its key; within NEAR bits."""
+    leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).getField("node").alias("lead"))
+    led = members.join(staged(leads, "leads"), "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    fp = prints.select("node", "fp")
+    both = staged(led, "led").join(fp.toDF("v", "vfp"), "v").join(fp.toDF("u", "ufp"), "u")
+    return both.where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v")
+
+
 def _rare(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """(key, node, component, n, pos) from open_(node, component): of each node's n shingles those that come first by
     frequency among these nodes and can be the first that it shares with another node of the similarity.
@@ -210,10 +219,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Equal fingerprints are one node, shown by the document of least id (null last, then text_key).
     Nodes are joined on blocks. In the first blocks every node of a bucket is a candidate with the
-    bucket's leader, its least node. This links large groups of near copies by a few pairs a node.
-    Then, in the buckets of all blocks, the nodes that these links leave outside of the bucket's
-    largest group are candidates with all nodes of other groups, so no link between groups is lost.
-    Candidates within NEAR bits are verified by _linked().
+    bucket's leader, the node that shares buckets with most others, which is near the middle of its
+    group. This links large groups of near copies by a few pairs a node. The same is done in those
+    buckets of all blocks that the links leave with several groups. Then the nodes outside of a
+    bucket's largest group are candidates with all nodes of its other groups, so no link between
+    groups is lost. Candidates within NEAR bits are verified by _linked().
 
     A bucket in which over `crowd` pairs would be compared holds many texts that are alike, but
     hardly as much as sought. All nodes of such buckets are joined on their rarest shingles instead
@@ -229,20 +239,21 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     given = nodes, docs, id_col, text_col, shingle_words
 
     first = staged(nodes.select("node", F.explode(block_keys(F.col("fp"), FIRST)).alias("key")), "first")
-    leads = staged(first.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("key", "lead"), "leads")
-    led = first.join(leads, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    prints = nodes.select("node", "fp")
-    a, b = prints.toDF("u", "ufp"), prints.toDF("v", "vfp")
-    close = staged(led, "led").join(a, "u").join(b, "v").where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v")
-    links = _linked(close, *given, similarity)
+    sizes = staged(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    first = staged(first.join(sizes, "key"), "shared")
+    prints = staged(nodes.select("node", "fp").join(first.groupBy("node").agg(F.sum("n").alias("degree")), "node", "left").fillna(0, ["degree"]), "prints")
+    links = _linked(_led(first.select("key", "node"), prints), *given, similarity)
     groups = connected_components(links)
 
-    shown = staged(nodes.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
-    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"))).alias("key"))
+    keys = prints.select("node", F.explode(block_keys(F.col("fp"))).alias("key")).join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     members = staged(keys.join(_bounded(staged(several, "several")), "key"), "members")
+    links = staged(links.union(_linked(_led(members.select("key", "node"), prints).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
+    groups = connected_components(links)
+
+    members = staged(members.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     most = staged(_mixed(members).withColumn("crowded", (F.col("n") - F.col("in_most")) * F.col("n") > crowd), "most")
-    within = members.join(prints, "node")
+    within = members.join(prints.select("node", "fp"), "node")
     more = _across(within, most.where("not crowded"), _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR)
     open_ = staged(members.join(most.where("crowded"), "key", "left_semi").select("node", "component").distinct(), "open")
     if not open_.isEmpty():

@@ -80,3 +80,30 @@ def test_edge_cases(spark, edge, empty):
     texts = [r["text"] for r in kept.collect()]
     assert len(texts) == len(set(texts)) and sum(not (t or "").strip() for t in texts) == 1
     assert similar.drop_similar(empty).count() == 0 and similar.similar_groups(empty).count() == 0
+
+
+def test_recall_between_80_and_85_hundredths(spark, prose_of):
+    rng = random.Random(5)
+    pairs = []
+    while len(pairs) < 500:
+        words = prose_of(10_000 + len(pairs), rng.randint(80, 240)).split()
+        other = list(words)
+        while (alike := similarity(shingles(" ".join(words)), shingles(" ".join(other)))) > 0.85:
+            other[rng.randrange(len(other))] = f"w{rng.randrange(10**6)}"
+        if alike >= 0.8:
+            pairs.append((" ".join(words), " ".join(other)))
+    df = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(500)) >= 475
+
+
+def test_a_crowd_whose_leader_is_at_its_edge(spark, prose_of):
+    rng = random.Random(6)
+    base = prose_of(400, 150)
+    texts = [edited(rng, base, rng.randint(0, 9)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(120) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    for crowd in (0, 1_000_000):
+        got = {r["id"]: r["component"] for r in similar.similar_groups(df, crowd=crowd).collect()}
+        assert sum(got[i] == got[j] for i, j in links) >= 0.97 * len(links)
