@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import own_name, staged
+from quillspark.llm.spans import document_key
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Fingerprints are cut into BLOCKS blocks; within RADIUS bits some block differs in BLOCK_RADIUS bits or fewer.
-BITS, BLOCKS, BLOCK_RADIUS = 64, 8, 1
+BITS, BLOCKS, BLOCK_RADIUS = 64, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: An item shingle table of up to so many rows is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Votes are summed two to a long, of 32 bits each.
+LANES = 32
 
 
 def words_of(text: Column) -> Column:
@@ -23,39 +26,28 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingle_hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + i) for i in range(k)))
+def _hashes(words: str, k: int) -> Column:
+    """The hashes of all k-word shingles in order, repeats included; there are as many words or more."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda at: F.xxhash64(*(F.get(F.col(words), at + i) for i in range(k))))
 
 
-def _shingles(words: str, k: int) -> Column:
-    """All k-word shingles as strings, repeats included; of fewer words, the whole sequence."""
-    return F.when(
-        F.size(words) > k,
-        F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")),
-    ).otherwise(F.array(F.array_join(F.col(words), " ")))
+def _votes(h: Column, weight: Column | int = 1) -> list[Column]:
+    """A shingle's votes for the 64 bits, in LANES longs: bit j in the low half of the j-th, bit LANES + j in its high half."""
+    ones = F.lit((1 << 32) + 1)
+    return [F.shiftrightunsigned(h, j).bitwiseAND(ones) * weight for j in range(LANES)]
 
 
-def _fingerprints(weights: DataFrame, key: str) -> DataFrame:
-    """(key, fp, total) from weights(key, shingle, weight): the SimHash with weighted votes.
-
-    Sixteen sums hold the 64 votes, four to a long with 16 bits each, so total may be 65,535 at most.
-    """
-    h, ones = F.xxhash64("shingle"), F.lit(0x0001000100010001)
-    lanes = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(ones) * F.col("weight")).alias(f"s{j}") for j in range(16)]
-    sums = weights.groupBy(key).agg(F.sum("weight").alias("total"), *lanes)
-
-    votes = F.array(*(F.col(f"s{j}") for j in range(16)))
-    count = lambda i: F.call_function("shiftrightunsigned", F.get(votes, i % 16), (F.floor(i / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF))
-    bit = lambda i: F.when(2 * count(i) > F.col("total"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    fp = F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(bit(i)))
-    checked = F.when(F.col("total") > 65_535, F.raise_error(F.lit("a window of over 65,535 shingles")).cast("long")).otherwise(fp)
-    return sums.select(key, checked.alias("fp"), "total")
+def _fingerprint(votes: Column, total: Column) -> Column:
+    """The SimHash of summed votes (an array of LANES longs): a bit is 1 if set in over half of the total weight."""
+    count = lambda i: F.call_function("shiftrightunsigned", F.get(votes, i % LANES), (F.floor(i / LANES) * 32).cast("int")).bitwiseAND(F.lit((1 << 32) - 1))
+    bit = lambda i: F.when(2 * count(i) > total, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(bit(i)))
 
 
 def _blocks(fp: Column, probe: bool) -> Column:
-    """Array of (block, value) for each block; when probing, also the values that differ in one bit."""
+    """Array of (block, value) for each block; when probing, also the values that differ in up to BLOCK_RADIUS bits."""
     width = BITS // BLOCKS
-    flips = [0, *(1 << i for i in range(width))] if probe else [0]
+    flips = [x for x in range(1 << width) if x.bit_count() <= (BLOCK_RADIUS if probe else 0)]
     value = lambda b: F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit((1 << width) - 1))
     return F.array(*(F.struct(F.lit(b).alias("block"), value(b).bitwiseXOR(F.lit(x)).alias("value")) for b in range(BLOCKS) for x in flips))
 
@@ -74,6 +66,51 @@ def _starts(at: Column, n_words: Column, n_item: Column, k: int, similarity: flo
     return F.flatten(F.transform(F.filter(firsts, lambda j: lo(j) <= hi(j)), lambda j: F.sequence(lo(j), hi(j))))
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _item_hits(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """(k1, k2, id, text_key, n_words, of, n_item, k, m, pos, h): each place of a document with a shingle of an item, which has it m times."""
+    found = []
+    for k in sizes:
+        of = _bounded(grams.where(F.col("k") == k))
+        places = texts.where(F.size("words") >= k).select("k1", "k2", "id", "text_key", F.size("words").alias("n_words"), F.posexplode(_hashes("words", k)).alias("pos", "h"))
+        found.append(places.join(of, "h").select("k1", "k2", "id", "text_key", "n_words", "of", "n_item", "k", "m", "pos", "h"))
+    return reduce(DataFrame.union, found)
+
+
+def _window_fingerprints(texts: DataFrame, laid: DataFrame, sizes: list[int]) -> DataFrame:
+    """laid(k1, k2, k, start, shingles, ...) with fp: the SimHash of the window's shingles, by running sums of votes over its document."""
+    open_ = _bounded(staged(laid.select("k1", "k2", "k").distinct(), "leaky"))
+    found = [texts.join(open_.where(F.col("k") == k), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "k", F.posexplode(_hashes("words", k)).alias("pos", "h")) for k in sizes]
+    order = Window.partitionBy("k1", "k2", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = reduce(DataFrame.union, found).select("k1", "k2", "k", "pos", F.array(*_votes(F.col("h"))).alias("own"), F.array(*(F.sum(v).over(order) for v in _votes(F.col("h")))).alias("upto"))
+    upto = staged(upto, "votes")
+    first = upto.select("k1", "k2", "k", F.col("pos").alias("start"), F.zip_with("upto", "own", lambda a, b: a - b).alias("before"))
+    last = upto.select("k1", "k2", "k", F.col("pos").alias("last"), "upto")
+    both = laid.withColumn("last", F.col("start") + F.col("shingles") - 1).join(first, ["k1", "k2", "k", "start"]).join(last, ["k1", "k2", "k", "last"])
+    return both.withColumn("fp", _fingerprint(F.zip_with("upto", "before", lambda a, b: a - b), F.col("shingles"))).drop("before", "upto", "last")
+
+
+def _common(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(k1, k2, of, start, shingles, ...) with common: how many shingles the window and the item share, each as
+    often as both have it.
+
+    A shingle that the item has m times counts at a place for the windows that begin after its m-th place before, so a
+    window's sum is that of the places' stretches of starts that cover its start.
+    """
+    keys = ["k1", "k2", "of"]
+    wanted = pairs.groupBy(*keys).agg(F.max("shingles").alias("shingles"))
+    places = hits.join(wanted, keys).groupBy(*keys, "shingles", "h", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    from_ = lambda p, j: F.greatest(F.lit(0), p - F.col("shingles") + 1, F.coalesce(F.get("at", j - F.col("m").cast("int")) + 1, F.lit(0)))
+    stretches = places.select(*keys, F.explode(F.transform("at", lambda p, j: F.struct(from_(p, j).alias("a"), p.alias("b")))).alias("s")).where("s.a <= s.b")
+    ends = stretches.select(*keys, F.explode(F.array(F.struct(F.col("s.a").alias("start"), F.lit(1).alias("d")), F.struct((F.col("s.b") + 1).alias("start"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.select(*keys, "e.start", "e.d").union(pairs.select(*keys, "start", F.lit(0))).groupBy(*keys, "start").agg(F.sum("d").alias("d"))
+    sums = steps.select(*keys, "start", F.sum("d").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)).alias("common"))
+    return pairs.join(sums, [*keys, "start"])
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -87,58 +124,47 @@ def find_leaks(
     """(id, text_key, item, similarity, first_word, last_word, n_windows) for each item found in a document.
 
     A window has as many words as the item (or is the whole document, if shorter). Windows are laid
-    at every start where they hold as many of the item's shingles, in any order, as the similarity
-    needs; the others are below it for certain. Windows of equal words are fingerprinted once
-    (SimHash over five-word shingles, weighted by their count). Item and window fingerprints of the
-    same length are joined on blocks: every pair within RADIUS bits agrees in some block up to
-    BLOCK_RADIUS bits, so none is missed. Of these pairs the exact weighted Jaccard similarity of
-    shingle counts is computed; those of `similarity` or more are results. Similarity, first_word
-    and last_word are of the best window, the earliest if several tie.
+    for an item at every start where they hold as many of its shingles, in any order, as the
+    similarity needs; the others are below it for certain. Each gets a fingerprint (SimHash over
+    five-word shingles, repeats included, by running sums). Fingerprints of windows are joined on
+    blocks with those of the items that they are laid for: every pair within RADIUS bits agrees in some block up
+    to BLOCK_RADIUS bits, so none is missed. Of these pairs the exact weighted Jaccard similarity of
+    shingle counts is computed; those of `similarity` or more are results, n_windows of them.
+    Similarity, first_word and last_word are of the best window, the earliest if several tie.
 
     text_key is xxhash64 of the text: with the id it tells rows apart, and repeated rows give one
     result. Null and empty texts and items without words match nothing; items of under five words
-    are one shingle. A null id is a value like others. Whole texts are read, of any length.
+    are one shingle. A null id is a value like others. Whole texts and items are read, of any length:
+    no row holds more of a text than a hash, but the text itself.
     """
-    items = staged(benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct(), "items")
-    sizes = [r["k"] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("k")).distinct().collect()]
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
-    found = []
-    for k in sorted(sizes) or [SHINGLE_WORDS]:
-        of = items.where(F.least(F.size("words"), F.lit(SHINGLE_WORDS)) == k)
-        grams = of.select(F.col("words").alias("iw"), F.size("words").alias("n_item"), F.xxhash64("words").alias("of"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
-        grams = grams.select(_shingle_hash(F.col("iw"), F.col("at"), k).alias("h"), "n_item", "of").distinct()
-        grams = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-        places = texts.where(F.size("words") >= k).select("id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("pos"))
-        hits = places.withColumn("h", _shingle_hash(F.col("words"), F.col("pos"), k)).join(grams, "h")
-        held = hits.groupBy("id", "text_key", "of", "n_item").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("words").alias("words"))
-        hits = held.select("id", "text_key", "n_item", F.explode(_starts(F.col("at"), F.size("words"), F.col("n_item"), k, similarity)).alias("start"), F.lit(k).alias("k"), "words")
-        window = F.slice("words", F.col("start") + 1, F.col("n_item"))
-        found.append(hits.withColumn("window", F.array_join(window, " ")).groupBy("id", "text_key", "n_item", "start", "k").agg(F.first("window").alias("window")))
-    laid = staged(reduce(DataFrame.union, found), "windows")
-
-    # Windows of equal words once; a window's key is its words and the length of the items it is for.
-    windows = laid.select("window", "n_item", "k").distinct().withColumn("w", F.xxhash64("window", "n_item", "k"))
-    counted = lambda df, key: df.groupBy(key, "shingle").agg(F.count("*").alias("weight"))
-    split = lambda df, key: df.withColumn("shingle", F.explode(F.when(F.col("k") < SHINGLE_WORDS, F.array(F.array_join("words", " "))).otherwise(_shingles("words", SHINGLE_WORDS))))
-    window_weights = staged(counted(split(windows.withColumn("words", F.split("window", " ")), "w"), "w"), "weights")
-    item_words = items.withColumns({"k": F.least(F.size("words"), F.lit(SHINGLE_WORDS)), "i": F.xxhash64("item", "words")})
-    item_weights = staged(counted(split(item_words, "i"), "i"), "weights")
-
-    left = _fingerprints(window_weights, "w").join(windows.select("w", "n_item"), "w")
-    right = _fingerprints(item_weights, "i").join(item_words.select("i", F.size("words").alias("n_item")), "i")
-    left = left.select("w", "n_item", "fp", "total", F.explode(_blocks(F.col("fp"), False)).alias("b")).select("w", "n_item", F.col("fp").alias("wfp"), F.col("total").alias("wt"), "b.block", "b.value")
-    right = right.select("i", "n_item", "fp", "total", F.explode(_blocks(F.col("fp"), True)).alias("b")).select("i", "n_item", F.col("fp").alias("ifp"), F.col("total").alias("it"), "b.block", "b.value")
+    items = staged(benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct().select("*", F.xxhash64("words").alias("of"), F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("k")), "items")
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect()) or [SHINGLE_WORDS]
+    once = items.dropDuplicates(["of"])
+    grams = reduce(DataFrame.union, (once.where(F.col("k") == k).select("of", "n_item", "k", F.explode(_hashes("words", k)).alias("h")) for k in sizes))
+    grams = staged(grams.groupBy("of", "n_item", "k", "h").agg(F.count("*").alias("m")), "grams")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), *document_key(F.col(id_col), F.col(text_col)), words_of(F.col(text_col)).alias("words"))
+    hits = staged(_item_hits(texts, grams, sizes), "hits")
+
+    one = [F.first(c).alias(c) for c in ("id", "text_key", "n_words")]
+    held = hits.groupBy("k1", "k2", "of", "n_item", "k").agg(F.array_sort(F.collect_set("pos")).alias("at"), *one)
+    starts = reduce(lambda found, k: found.when(F.col("k") == k, _starts(F.col("at"), F.col("n_words"), F.col("n_item"), k, similarity)), sizes, F)
+    shingles = F.least("n_words", "n_item") - F.col("k") + 1
+    laid = staged(held.select("k1", "k2", "id", "text_key", "of", "n_item", "k", shingles.alias("shingles"), F.explode(starts).alias("start")), "windows")
+    window = ["k1", "k2", "k", "start", "shingles"]
+    prints = _window_fingerprints(texts, laid.select(*window).distinct(), sizes)
+
+    left = laid.join(staged(prints, "prints"), window).select("k1", "k2", "of", "start", "shingles", F.col("fp").alias("wfp"), F.explode(_blocks(F.col("fp"), False)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    sums = grams.groupBy("of", "n_item", "k").agg(F.array(*(F.sum(v) for v in _votes(F.col("h"), F.col("m")))).alias("votes"), F.sum("m").alias("total"))
+    right = staged(sums.select("of", "total", _fingerprint(F.col("votes"), F.col("total")).alias("ifp")), "prints")
+    right = right.select("of", "total", "ifp", F.explode(_blocks(F.col("ifp"), True)).alias("b")).select("of", "total", "ifp", "b.block", "b.value")
     near = F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS
-    pairs = left.join(right, ["n_item", "block", "value"]).where(near).select("w", "i", "wt", "it").distinct()
-
-    both = pairs.join(window_weights.withColumnRenamed("weight", "ww"), "w").join(item_weights.withColumnRenamed("weight", "iw"), ["i", "shingle"])
-    shared = both.groupBy("w", "i", "wt", "it").agg(F.sum(F.least("ww", "iw")).alias("common"))
-    alike = shared.select("w", "i", (F.col("common") / (F.col("wt") + F.col("it") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= similarity)
-    named = alike.join(item_words.select("i", "item"), "i").join(windows.select("w", "window", "n_item", "k"), "w")
-    matched = laid.join(named, ["window", "n_item", "k"])
-    best = F.min_by(F.struct("similarity", "start", "n_item"), F.struct(-F.col("similarity"), F.col("start")))
-    out = matched.groupBy("id", "text_key", "item").agg(best.alias("b"), F.count("*").alias("n_windows"))
-    return out.select("id", "text_key", "item", "b.similarity", F.col("b.start").cast("long").alias("first_word"), (F.col("b.start") + F.col("b.n_item") - 1).cast("long").alias("last_word"), "n_windows")
+    pairs = staged(left.join(right, ["of", "block", "value"]).where(near).select("k1", "k2", "of", "start", "shingles", "total").distinct(), "pairs")
+
+    alike = _common(hits, pairs).withColumn("similarity", F.col("common") / (F.col("shingles") + F.col("total") - F.col("common"))).where(F.col("similarity") >= similarity)
+    best = F.min_by(F.struct("similarity", "start"), F.struct(-F.col("similarity"), F.col("start")))
+    found = alike.groupBy("k1", "k2", "of").agg(best.alias("b"), F.count("*").alias("n_windows"))
+    named = found.join(held.select("k1", "k2", "of", "id", "text_key"), ["k1", "k2", "of"]).join(items.select("of", "item", "n_item"), "of")
+    return named.select("id", "text_key", "item", "b.similarity", F.col("b.start").cast("long").alias("first_word"), (F.col("b.start") + F.col("n_item") - 1).cast("long").alias("last_word"), "n_windows")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

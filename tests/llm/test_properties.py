@@ -42,12 +42,13 @@ def test_suffixes_are_sorted(text, depth):
 @given(st.text(alphabet="ab", max_size=120))
 def test_pieces_hold_each_window_once(text):
     raw = text.encode()
-    found = suffixes.pieces_of(raw, 16, 4)
-    starts = [i for _, _, a, b in found for i in range(a, b - 15)]
+    found = suffixes.pieces_of(raw, 20, 16, 4)
+    starts = [i for _, _, a, n, _ in found for i in range(a, a + n)]
     assert starts == list(range(max(0, len(raw) - 15)))
     bucket = {}
-    for key, _, a, b in found:
-        for i in range(a, b - 15):
+    for key, _, a, n, end in found:
+        assert end == min(a + n + 19, len(raw))
+        for i in range(a, a + n):
             assert bucket.setdefault(raw[i : i + 16], key) == key
 
 
