@@ -39,13 +39,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen shards of near equal bytes by a k-d tree over size, source, language and text digest."""
+    """Sixteen shards of near equal bytes by a k-d tree over text size and script, id, source and language."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    marked, dims = sharding.with_metadata(docs)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    dims = {f"dim{i}": d for i, d in enumerate(sharding.metadata_dimensions())}
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(d.alias(n) for n, d in dims.items()))
-    sharded = sharding.kd_shards(rows, size=F.col("size"), tie=F.xxhash64("doc_id", "text_crc32"), dimensions=[F.col(n) for n in dims], shards=16)
-    slotted = sharding.with_slots(sharded, order=[F.col("doc_id"), F.col("text_crc32")])
+    rows = marked.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *dims)
+    sharded = sharding.kd_shards(rows, size=F.col("size"), tie=F.xxhash64("doc_id", "text_crc32"), dimensions=[F.col(d) for d in dims], shards=16, drop=dims)
+    slotted = sharding.with_slots(sharded, order=[F.col("doc_id"), F.col("text_crc32")], rows=docs.count())
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -14,14 +14,26 @@ from quillspark.llm._common import own_name, staged
 VALUE_BITS, TIE_BITS, STEP_BITS = 12, 20, 16
 
 
-def metadata_dimensions(text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> list[Column]:
-    """Default dimensions: log of the text's bytes, source, language and a digest of the text; null counts as empty."""
+BROADCAST_ROWS = 100_000
+
+
+def with_metadata(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: Sequence[str] = ("source", "lang")) -> tuple[DataFrame, list[str]]:
+    """docs with columns of doubles to cut along, and their names: the log of the text's bytes, its bytes a character,
+    the id's value (0 for a text) and, for source and language, the mean log of their documents' bytes.
+
+    So sources are in an order, those of short documents first. Null texts count as empty, null
+    sources as one source. Means are joined by a broadcast up to BROADCAST_ROWS of them.
+    """
+    held = own_name(docs, "meta")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return [
-        F.log2(F.octet_length(text) + F.lit(1.0)),
-        *(F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(4096)).cast("double") for c in (source_col, lang_col)),
-        F.pmod(F.crc32(text.cast("binary")), F.lit(4096)).cast("double"),
-    ]
+    size = F.log2(F.octet_length(text) + F.lit(1.0))
+    out = docs.withColumns({f"{held}0": size, f"{held}1": F.octet_length(text) / F.greatest(F.char_length(text), F.lit(1)), f"{held}2": F.coalesce(F.expr(f"try_cast(`{id_col}` AS double)"), F.lit(0.0))})
+    for i, c in enumerate(groups):
+        # Sums of whole numbers, so that the mean is the same however rows are dealt.
+        means = staged(docs.groupBy(F.col(c).alias(f"{held}of{i}")).agg((F.sum(F.round(size * 4096).cast("long")) / F.count("*")).alias(f"{held}{i + 3}")), "means")
+        means = F.broadcast(means) if means.count() <= BROADCAST_ROWS else means
+        out = out.join(means, out[c].eqNullSafe(means[f"{held}of{i}"]), "left").drop(f"{held}of{i}")
+    return out, [f"{held}{i}" for i in range(3 + len(groups))]
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -38,51 +50,66 @@ def kd_shards(
     shards: int | None = None,
     size_name: str = "size",
     shard_name: str = "shard",
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """docs with size (long) and shard (int, from 0), of near equal sizes.
+    """docs without the columns of drop, with size (long) and shard (int, from 0), of near equal sizes.
 
     A k-d tree: the whole is to be cut into ceil(total / target_bytes) leaves (or as many as shards
     says). A node of k leaves is cut along the dimension in which its documents spread widest, at
     the weighted quantile k // 2 / k (the median for even k), until each node is one leaf. Quantiles
     are found for all nodes of a level at once, by two histograms of sizes over the key, whose ties
     are ordered by `tie` (a long; rows equal in it and in all dimensions stay together). The driver
-    gets a few numbers a node. What is joined to find a row's node has a row a node of the level and
-    is broadcast up to 100,000 nodes.
+    gets a few numbers a node. The tree is built over keys and sizes alone, written once a level;
+    then docs' rows walk down it. What is joined to find a row's node has a row a node of the level
+    and is broadcast up to BROADCAST_ROWS nodes.
 
     Null dimensions count as the smallest value. An empty table gives an empty result. Sizes must
     not be negative. Columns of the output's names are replaced.
     """
     held = own_name(docs, "kd")
     names = [f"{held}{i}" for i in range(len(dimensions))]
+    spark, node, upper = docs.sparkSession, f"{held}node", f"{held}upper"
     marked = docs.withColumns({f"{held}size": size.cast("long"), f"{held}tie": tie.bitwiseAND(F.lit((1 << TIE_BITS) - 1)), **dict(zip(names, (d.cast("double") for d in dimensions), strict=True))})
-    marked = staged(marked, "kd")
-    spread = marked.agg(F.sum(f"{held}size").alias("total"), *(f(n).alias(f"{t}{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max)))).first()
+    narrow = staged(marked.select(f"{held}size", f"{held}tie", *names), "kd")
+    spread = narrow.agg(F.sum(f"{held}size").alias("total"), *(f(n).alias(f"{t}{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max)))).first()
     total = spread["total"] or 0
     leaves = shards if shards is not None else max(1, math.ceil(total / target_bytes))
     top = (1 << VALUE_BITS) - 1
-    keys = []
+    keys = {}
     for n in names:
         lo, hi = spread[f"lo{n}"], spread[f"hi{n}"]
         width = (hi - lo) if lo is not None and hi > lo else 1.0
         value = F.coalesce(F.floor((F.col(n) - F.lit(lo or 0.0)) / F.lit(width) * top), F.lit(0)).cast("long")
-        keys.append(F.shiftleft(value, TIE_BITS).bitwiseOR(F.col(f"{held}tie")))
-    spark, node, upper = docs.sparkSession, f"{held}node", f"{held}upper"
-    at = marked.select("*", *(k.alias(f"{n}key") for k, n in zip(keys, names, strict=True))).withColumns({node: F.lit(0), upper: F.lit(leaves)})
-    nodes = {(0, leaves)}
+        keys[f"{n}key"] = F.shiftleft(value, TIE_BITS).bitwiseOR(F.col(f"{held}tie"))
+    root = {node: F.lit(0), upper: F.lit(leaves)}
+    at = narrow.withColumns(keys | root).drop(*names, f"{held}tie")
+    nodes, levels = {(0, leaves)}, []
     while open_ := sorted((a, b) for a, b in nodes if b - a > 1):
-        cuts = _cuts(at, held, names, node, upper, open_)
-        table = _table(spark, cuts, f"{node}_of int, {held}dim int, {held}cut long")
-        table = F.broadcast(table) if len(cuts) <= 100_000 else table
-        joined = at.join(table, at[node] == table[f"{node}_of"], "left")
-        key = F.coalesce(*(F.when(F.col(f"{held}dim") == i, F.col(f"{n}key")) for i, n in enumerate(names)))
-        middle = F.col(node) + F.floor((F.col(upper) - F.col(node)) / 2).cast("int")
-        right = F.coalesce(key > F.col(f"{held}cut"), F.lit(False))
-        split = F.col(f"{held}dim").isNotNull()
-        moved = {node: F.when(right, middle).otherwise(F.col(node)), upper: F.when(split & ~right, middle).otherwise(F.col(upper))}
-        at = joined.withColumns({f"{held}n": moved[node], f"{held}u": moved[upper]}).drop(node, upper, f"{node}_of", f"{held}dim", f"{held}cut").withColumnsRenamed({f"{held}n": node, f"{held}u": upper})
+        at = staged(at, "level")
+        levels.append(_cuts(at, held, names, node, upper, open_))
+        at = _lower(at, held, names, node, upper, levels[-1])
         nodes = (nodes - set(open_)) | {x for a, b in open_ for m in [a + (b - a) // 2] for x in ((a, m), (m, b))}
-    rest = [c for c in docs.columns if c not in (size_name, shard_name)]
-    return at.select(*rest, F.col(f"{held}size").alias(size_name), F.col(node).alias(shard_name))
+    rest = [c for c in docs.columns if c not in (size_name, shard_name, *drop)]
+    out = marked.withColumns(keys | root)
+    for cuts in levels:
+        out = _lower(out, held, names, node, upper, cuts)
+    return out.select(*rest, F.col(f"{held}size").alias(size_name), F.col(node).alias(shard_name))
+
+
+def _lower(at: DataFrame, held: str, names: list[str], node: str, upper: str, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """at, with its rows one level down: cuts has the nodes that are cut, their dimension and last key to the left."""
+    key = lambda dim: F.coalesce(*(F.when(dim == i, F.col(f"{n}key")) for i, n in enumerate(names)))
+    if len(cuts) == 1:  # no join for the root
+        (of, dim, cut), joined = cuts[0], at
+        split, right = F.col(node) == of, (F.col(node) == of) & (F.col(f"{names[dim]}key") > cut)
+    else:
+        table = _table(at.sparkSession, cuts, f"{node}_of int, {held}dim int, {held}cut long")
+        table = F.broadcast(table) if len(cuts) <= BROADCAST_ROWS else table
+        joined = at.join(table, at[node] == table[f"{node}_of"], "left")
+        split, right = F.col(f"{held}dim").isNotNull(), F.coalesce(key(F.col(f"{held}dim")) > F.col(f"{held}cut"), F.lit(False))
+    middle = F.col(node) + F.floor((F.col(upper) - F.col(node)) / 2).cast("int")
+    moved = {f"{held}n": F.when(right, middle).otherwise(F.col(node)), f"{held}u": F.when(split & ~right, middle).otherwise(F.col(upper))}
+    return joined.withColumns(moved).drop(node, upper, f"{node}_of", f"{held}dim", f"{held}cut").withColumnsRenamed({f"{held}n": node, f"{held}u": upper})
 
 
 def _cuts(at: DataFrame, held: str, names: list[str], node: str, upper: str, open_: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -102,7 +129,7 @@ def _cuts(at: DataFrame, held: str, names: list[str], node: str, upper: str, ope
         if not rows:
             break
         table = _table(at.sparkSession, rows, f"{held}a int, {held}dim int, {held}want long, {held}prefix long, {held}before long")
-        table = F.broadcast(table) if len(rows) <= 100_000 else table
+        table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
         key = F.coalesce(*(F.when(F.col(f"{held}dim") == i, F.col(f"{n}key")) for i, n in enumerate(names)))
         part = at.join(table, at[node] == table[f"{held}a"]).withColumn(f"{held}key", key).where(F.shiftright(f"{held}key", shift + STEP_BITS) == F.col(f"{held}prefix"))
         sums = part.groupBy(node, f"{held}want", f"{held}before", F.shiftright(f"{held}key", shift).alias("bin")).agg(F.sum(f"{held}size").alias("words"))

@@ -112,7 +112,39 @@ def test_ledger_policies_and_ablations(spark, edge, empty):
 
 
 def shard(df, **options):
-    return sharding.kd_shards(df, size=F.octet_length(F.coalesce("text", F.lit(""))) + 1, tie=F.xxhash64("doc_id", "text"), dimensions=sharding.metadata_dimensions(), **options)
+    marked, dims = sharding.with_metadata(df)
+    return sharding.kd_shards(marked, size=F.octet_length(F.coalesce("text", F.lit(""))) + 1, tie=F.xxhash64("doc_id", "text"), dimensions=[F.col(d) for d in dims], drop=dims, **options)
+
+
+def serial_tree(rows, first, leaves):
+    """{row's name: leaf} of rows (name, size, keys), by recursion."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spread = [max(r[2][i] for r in rows) - min(r[2][i] for r in rows) for i in range(len(rows[0][2]))]
+    dim = spread.index(max(spread))
+    want, upto, cut = sum(r[1] for r in rows) * (leaves // 2) // leaves, 0, None
+    for key in sorted({r[2][dim] for r in rows}):
+        size = sum(r[1] for r in rows if r[2][dim] == key)
+        if upto + size >= want:
+            cut = key if 2 * upto + size < 2 * want else key - 1
+            break
+        upto += size
+    half = leaves // 2
+    return serial_tree([r for r in rows if r[2][dim] <= cut], first, half) | serial_tree([r for r in rows if r[2][dim] > cut], first + half, leaves - half)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 16])
+def test_shards_against_a_serial_tree(spark, prose_of, shards):
+    rng = random.Random(shards)
+    docs = [(i, prose_of(i, rng.randint(0, 50)) + "é" * rng.randint(0, 30), rng.choice(["en", "fr", None]), rng.choice("abcdef")) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    marked, dims = sharding.with_metadata(df)
+    found = marked.select("doc_id", F.octet_length("text") + 1, F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 20) - 1)), *dims).collect()
+    lo, hi = ([f(r[3 + i] for r in found) for i in range(len(dims))] for f in (min, max))
+    keys = lambda r: [int((x - a) / (b - a) * 4095) << 20 | r[2] for x, a, b in zip(r[3:], lo, hi, strict=True)]
+    want = serial_tree([(r[0], r[1], keys(r)) for r in found], 0, shards)
+    assert {r["doc_id"]: r["shard"] for r in shard(df, shards=shards).collect()} == want
+    assert len({hi[i] > lo[i] for i in range(len(dims))}) == 1 and {r["doc_id"] for r in shard(df, shards=1).collect()} == set(want)
 
 
 @pytest.mark.parametrize("shards", [1, 3, 16])
