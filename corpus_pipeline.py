@@ -1,8 +1,12 @@
 """The corpus pipeline over the documents table: quality rules, near-dedup, decontamination, mixing, sharding.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Null and empty
-texts fail the quality rules; each operator states what it does with null ids, ties and repeated
-rows. An empty table passes through as an empty table.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. An empty table
+passes through as an empty table. Extra columns stay, whatever their names, but for size, shard and
+slot, which the last stage sets. Quality rules and decontamination judge rows one by one, so
+repeated rows share their fate, and rows with a null id are judged like others; null and empty texts
+fail the quality rules, and hold no benchmark item. Near-dedup keeps one row of each group: that of
+the least id (nulls last), then of the least xxhash64 of its text; repeated rows are copies, and
+null and empty texts are one group. The mix takes rows equal in id alike.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from quillspark.llm._common import documents, staged
 from quillspark.llm.decontamination import drop_contaminated
 from quillspark.llm.mixing import take_mix
 from quillspark.llm.quality import keep_quality
-from quillspark.llm.sharding import kd_shards, metadata_dimensions, with_slots
+from quillspark.llm.sharding import kd_shards, with_metadata, with_slots
 from quillspark.llm.similar import drop_similar
 
 SHARDS = 16
@@ -41,11 +45,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard of near equal bytes and their slot in it."""
+    """Documents with their shard of near equal bytes and their slot in it; repeated rows share a shard."""
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    sharded = kd_shards(docs, size=size, tie=F.xxhash64("doc_id", digest), dimensions=metadata_dimensions(), shards=SHARDS)
-    return with_slots(sharded, order=[F.col("doc_id"), F.xxhash64("text")])
+    marked, dims = with_metadata(docs)
+    sharded = kd_shards(marked, size=size, tie=F.xxhash64("doc_id", digest), dimensions=[F.col(d) for d in dims], shards=SHARDS, drop=dims)
+    return with_slots(sharded, order=[F.col("doc_id"), F.xxhash64("text")], rows=docs.count())
 
 
 STAGES = [
