@@ -233,7 +233,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     and a text are copies. Other columns are not read.
     """
     fp = F.xxhash64("fp").alias("node")
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), fingerprint(F.col(text_col), shingle_words).alias("fp")).select("*", fp), "wide")
+    with small_batches(docs.sparkSession):
+        rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), fingerprint(F.col(text_col), shingle_words).alias("fp")).select("*", fp), "wide")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
     nodes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by(F.struct("id", "text_key"), order).alias("rep")), "nodes")
     given = nodes, docs, id_col, text_col, shingle_words
@@ -245,13 +246,15 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = _linked(_led(first.select("key", "node"), prints), *given, similarity)
     groups = connected_components(links)
 
-    keys = prints.select("node", F.explode(block_keys(F.col("fp"))).alias("key")).join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    members = staged(keys.join(_bounded(staged(several, "several")), "key"), "members")
-    links = staged(links.union(_linked(_led(members.select("key", "node"), prints).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
+    shown = staged(prints.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
+    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"))).alias("key"))
+    with small_batches(docs.sparkSession):
+        several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
+        members = staged(keys.select("key", "node").join(_bounded(several), "key"), "members")
+    links = staged(links.union(_linked(_led(members, prints).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
     groups = connected_components(links)
 
-    members = staged(members.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
+    members = staged(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     most = staged(_mixed(members).withColumn("crowded", (F.col("n") - F.col("in_most")) * F.col("n") > crowd), "most")
     within = members.join(prints.select("node", "fp"), "node")
     more = _across(within, most.where("not crowded"), _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR)
