@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +66,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def word_grams(texts: DataFrame, k: int, keys: Sequence[str], stretch: int = 64) -> DataFrame:
+    """(keys, pos, h, part, at) for every k words in a row of texts(keys, words): their place and hash.
+
+    A text is cut into stretches of so many starts first, so that a row holds a stretch's words (part, in which
+    the words are at `at`), never a text's.
+    """
+    rows = texts.where(F.size("words") >= k)
+    cut = F.transform(F.sequence(F.lit(0), F.size("words") - k, F.lit(stretch)), lambda i: F.struct(i.alias("base"), F.slice("words", i + 1, F.lit(stretch + k - 1)).alias("part")))
+    parts = rows.select(*keys, F.explode(cut).alias("s")).select(*keys, "s.base", "s.part")
+    places = parts.select(*keys, "base", "part", F.explode(F.sequence(F.lit(0), F.size("part") - k)).alias("at"))
+    return places.select(*keys, (F.col("base") + F.col("at")).alias("pos"), F.xxhash64(*(F.get("part", F.col("at") + j) for j in range(k))).alias("h"), "part", "at")
+
+
 def own_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import own_name, staged
+from quillspark.llm._common import own_name, staged, word_grams
 from quillspark.llm.spans import document_key
 
 SHINGLE_WORDS = 5
@@ -26,11 +26,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hashes(words: str, k: int) -> Column:
-    """The hashes of all k-word shingles in order, repeats included; there are as many words or more."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda at: F.xxhash64(*(F.get(F.col(words), at + i) for i in range(k))))
-
-
 def _votes(h: Column, weight: Column | int = 1) -> list[Column]:
     """A shingle's votes for the 64 bits, in LANES longs: bit j in the low half of the j-th, bit LANES + j in its high half."""
     ones = F.lit((1 << 32) + 1)
@@ -75,21 +70,28 @@ def _item_hits(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFram
     found = []
     for k in sizes:
         of = _bounded(grams.where(F.col("k") == k))
-        places = texts.where(F.size("words") >= k).select("k1", "k2", "id", "text_key", F.size("words").alias("n_words"), F.posexplode(_hashes("words", k)).alias("pos", "h"))
+        places = word_grams(texts.withColumn("n_words", F.size("words")), k, ["k1", "k2", "id", "text_key", "n_words"])
         found.append(places.join(of, "h").select("k1", "k2", "id", "text_key", "n_words", "of", "n_item", "k", "m", "pos", "h"))
     return reduce(DataFrame.union, found)
 
 
 def _window_fingerprints(texts: DataFrame, laid: DataFrame, sizes: list[int]) -> DataFrame:
-    """laid(k1, k2, k, start, shingles, ...) with fp: the SimHash of the window's shingles, by running sums of votes over its document."""
-    open_ = _bounded(staged(laid.select("k1", "k2", "k").distinct(), "leaky"))
-    found = [texts.join(open_.where(F.col("k") == k), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "k", F.posexplode(_hashes("words", k)).alias("pos", "h")) for k in sizes]
-    order = Window.partitionBy("k1", "k2", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    upto = reduce(DataFrame.union, found).select("k1", "k2", "k", "pos", F.array(*_votes(F.col("h"))).alias("own"), F.array(*(F.sum(v).over(order) for v in _votes(F.col("h")))).alias("upto"))
-    upto = staged(upto, "votes")
-    first = upto.select("k1", "k2", "k", F.col("pos").alias("start"), F.zip_with("upto", "own", lambda a, b: a - b).alias("before"))
-    last = upto.select("k1", "k2", "k", F.col("pos").alias("last"), "upto")
-    both = laid.withColumn("last", F.col("start") + F.col("shingles") - 1).join(first, ["k1", "k2", "k", "start"]).join(last, ["k1", "k2", "k", "last"])
+    """laid(k1, k2, k, shingles, start) with fp: the SimHash of the window's shingles.
+
+    Votes are summed from the first start of a document's windows of a length on to the end of the last, and a
+    window's are the difference of two such sums.
+    """
+    keys = ["k1", "k2", "k", "shingles"]
+    hulls = _bounded(staged(laid.groupBy(*keys).agg(F.min("start").alias("lo"), (F.max("start") + F.col("shingles") - 1).alias("hi")), "hulls"))
+    docs = _bounded(staged(hulls.select("k1", "k2").distinct(), "leaky"))
+    once = staged(texts.select("k1", "k2", "words").join(docs, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "leaky")
+    found = [word_grams(once, k, ["k1", "k2"]).select("k1", "k2", F.lit(k).alias("k"), "pos", "h") for k in sizes]
+    inside = reduce(DataFrame.union, found).join(hulls, ["k1", "k2", "k"]).where(F.col("pos").between(F.col("lo"), F.col("hi")))
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = staged(inside.select(*keys, "pos", "h", F.array(*(F.sum(v).over(order) for v in _votes(F.col("h")))).alias("upto")), "votes")
+    first = upto.select(*keys, F.col("pos").alias("start"), F.zip_with("upto", F.array(*_votes(F.col("h"))), lambda a, b: a - b).alias("before"))
+    last = upto.select(*keys, F.col("pos").alias("last"), "upto")
+    both = laid.withColumn("last", F.col("start") + F.col("shingles") - 1).join(first, [*keys, "start"]).join(last, [*keys, "last"])
     return both.withColumn("fp", _fingerprint(F.zip_with("upto", "before", lambda a, b: a - b), F.col("shingles"))).drop("before", "upto", "last")
 
 
@@ -135,12 +137,12 @@ def find_leaks(
     text_key is xxhash64 of the text: with the id it tells rows apart, and repeated rows give one
     result. Null and empty texts and items without words match nothing; items of under five words
     are one shingle. A null id is a value like others. Whole texts and items are read, of any length:
-    no row holds more of a text than a hash, but the text itself.
+    no row of what is made for each word holds more than a few words of its text.
     """
     items = staged(benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct().select("*", F.xxhash64("words").alias("of"), F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("k")), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect()) or [SHINGLE_WORDS]
     once = items.dropDuplicates(["of"])
-    grams = reduce(DataFrame.union, (once.where(F.col("k") == k).select("of", "n_item", "k", F.explode(_hashes("words", k)).alias("h")) for k in sizes))
+    grams = reduce(DataFrame.union, (word_grams(once.where(F.col("k") == k), k, ["of", "n_item", "k"]).select("of", "n_item", "k", "h") for k in sizes))
     grams = staged(grams.groupBy("of", "n_item", "k", "h").agg(F.count("*").alias("m")), "grams")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), *document_key(F.col(id_col), F.col(text_col)), words_of(F.col(text_col)).alias("words"))
     hits = staged(_item_hits(texts, grams, sizes), "hits")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import lower_ascii, staged
+from quillspark.llm._common import lower_ascii, staged, word_grams
 
 #: A phrase and its label.
 PHRASES = {
@@ -73,24 +73,26 @@ def find_spans(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id",
     the share of the template's k-grams that the span has, and spans below `coverage` go.
 
     Documents are told apart by id and xxhash64 of the text, repeated rows give one result, null and
-    empty texts none. Templates of fewer words than a k-gram are never found this way.
+    empty texts none. Templates of fewer words than a k-gram are one gram of all their words; those without words are never found.
     """
-    k = gram_words
-    grams = templates.where(F.size("words") >= k).select("template", "label", F.size("words").alias("n_template"), F.col("words").alias("tw"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
-    gram = lambda w, i: [F.get(F.col(w), F.col(i) + j) for j in range(k)]
-    grams = grams.select("template", "label", "n_template", "at", F.xxhash64(*gram("tw", "at")).alias("h"), F.concat_ws(" ", *gram("tw", "at")).alias("gram"))
-    grams = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
+    templates = templates.where(F.size("words") > 0).withColumns({"n_template": F.size("words"), "k": F.least(F.size("words"), F.lit(gram_words))})
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
-    places = texts.where(F.size("words") >= k).select("id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("pos"))
-    hits = places.withColumn("h", F.xxhash64(*gram("words", "pos"))).join(grams, "h").where(F.concat_ws(" ", *gram("words", "pos")) == F.col("gram"))
-    key = ["id", "text_key", "template", "label", "n_template"]
+    found = []
+    for k in sorted(r["k"] for r in templates.select("k").distinct().collect()) or [gram_words]:
+        gram = F.concat_ws(" ", *(F.get("part", F.col("at") + j) for j in range(k)))
+        grams = word_grams(templates.where(F.col("k") == k), k, ["template", "label", "n_template", "k"]).select("template", "label", "n_template", "k", F.col("pos").alias("place"), "h", gram.alias("gram"))
+        grams = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
+        hits = word_grams(texts, k, ["id", "text_key"]).join(grams, "h").where(gram == F.col("gram"))
+        found.append(hits.select("id", "text_key", "template", "label", "n_template", "k", "pos", F.col("place").alias("at")))
+    hits = reduce(DataFrame.union, found)
+    key = ["id", "text_key", "template", "label", "n_template", "k"]
     votes = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(*key).orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > gap, F.lit(True)).cast("int")
     spans = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
     merged = spans.groupBy(*key, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    share = F.col("n") / (F.col("n_template") - k + 1)
-    return merged.select("id", "text_key", "label", "template", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + k - 1).cast("long").alias("last_word"), share.alias("coverage")).where(F.col("coverage") >= coverage)
+    share = F.col("n") / (F.col("n_template") - F.col("k") + 1)
+    return merged.select("id", "text_key", "label", "template", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + F.col("k") - 1).cast("long").alias("last_word"), share.alias("coverage")).where(F.col("coverage") >= coverage)
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:

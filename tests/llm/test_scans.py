@@ -218,6 +218,26 @@ def test_licenses(spark, prose_of):
     assert got[10]["labels"] == "cc-by,cc-by-nc-4.0" and got[7]["labels"] == got[12]["labels"] == ""
 
 
+def test_short_templates_and_spans_against_brute_force(spark, prose_of):
+    rng = random.Random(4)
+    templates = (("wtf", "do what you want"), ("zero", "Public domain"), ("one", "Copyleft"), ("long", prose_of(70, 40)))
+    texts = [" ".join(rng.choice(["public domain", "copyleft", "do what you want", "x y", prose_of(70, 40), prose_of(70, 40).replace(" ", " z ", 1)]) for _ in range(rng.randint(1, 6))) for _ in range(25)]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()
+    for r in got:
+        words = texts[r["id"]].split()
+        want = set()
+        for label, template in templates[:3]:
+            parts = template.lower().split()
+            places = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+            for i, p in enumerate(places):  # places at most three words apart are one span
+                if i == 0 or p - places[i - 1] > licenses.DIAGONAL_GAP:
+                    first = p
+                if i == len(places) - 1 or places[i + 1] - p > licenses.DIAGONAL_GAP:
+                    want.add((label, first, p + len(parts) - 1))
+        assert {(s["label"], s["first_word"], s["last_word"]) for s in r["spans"] if s["label"] != "long"} == want
+        assert ("long" in r["labels"]) == (prose_of(70, 40).split()[-30] in words)
+
+
 def test_licenses_of_edge_cases(spark, edge, empty):
     assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(empty).count() == 0
 
