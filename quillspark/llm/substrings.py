@@ -19,6 +19,8 @@ WINDOW, SPAN = 16, 48
 MOST = SPAN + WINDOW
 #: A repeated passage has so many bytes.
 PASSAGE = 128
+#: Passages that make up more than a PARTS-th of all, and PART or more, are dealt to tasks in parts, so there are fewer than PARTS of them.
+PARTS, PART = 10_000, 1000
 
 
 def gear_table(seed: int = 20240607) -> np.ndarray:
@@ -68,18 +70,21 @@ def passages(raw: bytes, least: int = PASSAGE) -> list[tuple[int, int]]:
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch], least: int = PASSAGE) -> Iterator[pa.RecordBatch]:
-    """From batches (k1, k2, text) a row for each of passages(): k1, k2, digest, start, end."""
+    """From batches (k1, k2, text) a row for each of passages(): k1, k2, digest, start, end, and whether it occurs earlier in its text."""
     for batch in small(batches):
-        digests, starts, stops, counts = [], [], [], []
+        digests, starts, stops, later, counts = [], [], [], [], []
         for text in batch.column(2):
             raw = text.as_py() or b""
             found = passages(raw, least)
-            digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in found]
+            own = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in found]
+            digests += own
+            first = dict(zip(reversed(own), range(len(own) - 1, -1, -1), strict=True))
+            later += [first[d] != i for i, d in enumerate(own)]
             starts += [a for a, _ in found]
             stops += [b for _, b in found]
             counts.append(len(found))
         of = pa.array(np.repeat(np.arange(len(counts)), counts))
-        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["k1", "k2", "digest", "start", "end"])
+        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(later, pa.bool_())], names=["k1", "k2", "digest", "start", "end", "later"])
 
 
 def repeated_chunks(keyed: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -88,15 +93,18 @@ def repeated_chunks(keyed: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     They are compared by digest. The first occurrence is that of the document of least k1, there
     the least start. Digests are counted by an aggregation (combined before the shuffle); only those
-    that occur twice are joined back, to those made anew from the texts. What is gathered for a
-    document is bounded by its text.
+    that occur twice are joined back, to those made anew from the texts. Of these, digests of over a
+    PARTS-th of all occurrences are joined in parts by document. What is gathered for a document is bounded by its text.
     """
-    chunks = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunk_rows(batches, passage), "k1 long, k2 long, digest long, start int, end int")
-    # A passage's place in the corpus in one long: 40 bits of the document's key, 24 bits of the start.
-    place = F.col("k1").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.col("start").bitwiseAND(F.lit((1 << 24) - 1)).cast("long"))
-    counted = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("least"))
-    twice = staged(counted.where("n > 1").select("digest", "least"), "twice")
-    hits = chunks.join(twice, "digest").select("k1", "k2", F.struct("start", "end", (place != F.col("least")).alias("drop")).alias("c"))
+    chunks = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunk_rows(batches, passage), "k1 long, k2 long, digest long, start int, end int, later boolean")
+    counted = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("k1").alias("least"))
+    twice = staged(counted.where("n > 1"), "twice")
+    part = max(PART, (twice.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    hot = staged(twice.where(F.col("n") > part).select("digest", F.ceil(F.col("n") / part).cast("int").alias("parts")), "hot")
+    here = F.coalesce(F.pmod(F.xxhash64("k1"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = chunks.join(F.broadcast(hot), "digest", "left").withColumn("part", here).drop("parts")
+    wanted = twice.join(F.broadcast(hot), "digest", "left").select("digest", "least", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    hits = dealt.join(wanted, ["digest", "part"]).select("k1", "k2", F.struct("start", "end", (F.col("later") | (F.col("k1") != F.col("least"))).alias("drop")).alias("c"))
     return hits.groupBy("k1", "k2").agg(F.collect_set("c").alias("spans"))
 
 

@@ -125,6 +125,44 @@ def test_first_occurrence_stays_whole(spark):
     assert spans.without([(0, 10), (20, 30)], [(2, 4), (8, 22), (29, 40)]) == [(0, 2), (4, 8), (22, 29)]
 
 
+def brute_substrings(docs, keys):
+    """{id: (n_repeated, kept)} of docs (id, bytes) by the definition: passages that occur twice, the first of the least key stays."""
+    found = [(keys[i], a, b, raw[a:b], i) for i, raw in docs for a, b in substrings.passages(raw)]
+    counts = Counter(x[3] for x in found)
+    first = {}
+    for x in sorted(found):
+        first.setdefault(x[3], x)
+    out = {}
+    for i, raw in docs:
+        mine = [x for x in found if x[4] == i and counts[x[3]] > 1]
+        cover = lambda xs: {p for x in xs for p in range(x[1], x[2])}
+        held = cover([x for x in mine if first[x[3]] is x])
+        gone = cover([x for x in mine if first[x[3]] is not x]) - held
+        out[i] = len(cover(mine)), bytes(b for p, b in enumerate(raw) if p not in gone)
+    return out
+
+
+@pytest.mark.parametrize(("parts", "part"), [(substrings.PARTS, substrings.PART), (10**9, 1)])
+def test_substrings_against_brute_force(spark, prose_of, parts, part, monkeypatch):
+    monkeypatch.setattr(substrings, "PARTS", parts)
+    monkeypatch.setattr(substrings, "PART", part)
+    rng = random.Random(12)
+    blocks = [prose_of(300 + i, rng.randint(20, 120)) for i in range(12)]
+    docs = [(i, " ".join([*rng.sample(blocks, rng.randint(0, 3)), prose_of(600 + i, rng.randint(0, 60)), *rng.sample(blocks, rng.randint(0, 2))])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = {r["doc_id"]: r["k1"] for r in df.select("doc_id", spans.document_key(F.col("doc_id"), F.col("text"))[0]).collect()}
+    want = brute_substrings([(i, t.encode()) for i, t in docs], keys)
+    got = {r["id"]: (r["n_repeated"], r["kept"]) for r in substrings.dedup_substrings(df).collect()}
+    assert got == want
+
+
+def test_a_passage_again_16_mib_later(spark, prose_of):
+    passage = prose_of(8, 200)
+    filler = "".join(chr(97 + i * i % 23) + str(i) + " " for i in range(2_000_000))[: (1 << 24) - len(passage)]
+    r = substrings.dedup_substrings(spark.createDataFrame([(1, passage + filler + passage)], "doc_id long, text string"), keep_bytes=False).collect()[0]
+    assert r["n_repeated"] >= 2 * (len(passage) - 128) and abs(r["n_removed"] - len(passage)) <= 128
+
+
 def test_substrings_of_edge_cases(spark, edge, empty):
     got = substrings.dedup_substrings(edge).collect()
     assert len(got) == edge.count() and substrings.dedup_substrings(empty).count() == 0
