@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm._common import own_name
 
-MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
+MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bars")
 
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -26,7 +26,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 
     Words are runs of characters other than ASCII white space. n_lines counts lines with a word and
     n_dup_lines those of them equal to an earlier one; n_repeat_words counts the words that lie in a
-    three-word window found at least twice. n_upper and n_letters count ASCII letters.
+    three-word window found at least twice. n_upper and n_letters count ASCII letters, n_bars the words "|", which
+    part the cells of tables.
     """
     if not text:
         return (0,) * len(MEASUREMENTS)
@@ -44,6 +45,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines),
         n_upper,
         n_upper + len(raw) - len(raw.translate(None, _LOWER)),
+        words.count(b"|"),
     )
 
 
@@ -78,9 +80,9 @@ def measured(text: Column) -> Column:
 RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
+    ("symbols", "10 * n_symbols > n_words + 10 * n_bars"),
     ("repeated_lines", "10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 3"),
-    ("shouting", "2 * n_upper > n_letters AND n_letters > 0"),
+    ("shouting", "2 * n_upper > n_letters AND 2 * n_letters > word_chars"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
 )

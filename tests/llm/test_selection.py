@@ -83,14 +83,22 @@ def brute_measure(text):
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     hit = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
     upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), len(lines), upper, upper + lower)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), len(lines), upper, upper + lower, words.count("|"))
 
 
-@pytest.mark.parametrize("text", [None, "", " \n ", "a b c a b c", "x\nx\n\n y\nx", "É # 😀 A|B c d", "aa aa aa aa aa", "THE end\r\nTHE end\r\n", "a b\x1cc d"])
+@pytest.mark.parametrize("text", [None, "", " \n ", "a b c a b c", "x\nx\n\n y\nx", "É # 😀 A|B c d", "aa aa aa aa aa", "THE end\r\nTHE end\r\n", "a b\x1cc d", "a | b | c\n| d |", "|x ||"])
 def test_measurements(text):
     assert quality.measure(text) == brute_measure(text)
 
 
+def test_tables_and_other_scripts_are_not_rejected(spark, prose_of):
+    table = "\n".join(" | ".join(prose_of(i, 8).split()) for i in range(20))
+    noise = " ".join(f"{w}%%%" for w in prose_of(1, 200).split())
+    greek = " ".join("αβγδεζ"[i % 4 :] + str(i) for i in range(200)) + " USB"
+    df = spark.createDataFrame([(1, table), (2, noise), (3, greek), (4, prose_of(2, 100).upper())], "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.keep_quality(df).collect()} == {1, 3}
+
+
 def test_ledger_policies_and_ablations(spark, edge, empty):
     found = quality.ledger(edge)
     assert found.count() == edge.count() and {"measures", "failures"} <= set(found.columns)
