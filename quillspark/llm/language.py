@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 #: The blended spectrum: n-grams of bytes of these lengths, presence only.
 SPECTRUM = (1, 2, 3, 4)
-#: Features are the n-grams found in the landmarks, at most FEATURES of them (those in most landmarks);
-#: an n-gram is known by TABLE_BITS bits of its hash.
-FEATURES, TABLE_BITS = 8192, 20
-#: Bounds on what the classifier is fitted on: documents and, among them, landmarks for each language.
-SAMPLE_A_LANGUAGE, LANDMARKS_A_LANGUAGE, MOST_LANGUAGES = 256, 32, 512
+#: Features are all n-grams found in the landmarks; an n-gram is known by TABLE_BITS bits of its hash.
+TABLE_BITS = 22
+#: Bounds on what the classifier is fitted on: labelled documents of each language and in all, their bytes (only shorter
+#: texts are taken, whole), and languages (those of most documents); landmarks of each language and in all.
+SAMPLE_A_LANGUAGE, SAMPLE, SAMPLE_TEXT_BYTES, MOST_LANGUAGES = 256, 32_768, 16_384, 512
+LANDMARKS_A_LANGUAGE, LANDMARKS = 32, 1024
 RIDGE = 1e-2
 #: Texts whose presence vectors are multiplied with the landmarks at once.
-BATCH = 64
+BATCH = 32
 
 
 def gram_codes(text: str) -> Iterator[np.ndarray]:
@@ -48,7 +49,7 @@ def present(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """slots: feature of each code or FEATURES for none; landmarks: normalised presence, a row each;
+    """slots: feature of each code, or their number for none; landmarks: normalised presence, a row each;
     weights: landmarks by languages, from whitened kernel values; languages in order."""
 
     slots: np.ndarray
@@ -57,13 +58,16 @@ class Model:
     languages: tuple[str, ...]
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Normalised presence vectors; a zero row for a text without any known n-gram."""
+        """Presence vectors over the landmarks' n-grams, divided by the root of the number of all n-grams of the text."""
         out = np.zeros((len(texts), self.landmarks.shape[1] + 1), dtype=np.float32)
+        last = np.zeros(1 << TABLE_BITS, dtype=np.int32)
         for row, text in zip(out, texts, strict=True):
-            for codes in gram_codes(text):
-                row[self.slots[codes]] = 1
-        out = out[:, :-1]
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+            codes = np.concatenate([*gram_codes(text), np.zeros(0, dtype=np.uint32)])
+            places = np.arange(len(codes), dtype=np.int32)
+            last[codes] = places
+            row[self.slots[codes]] = 1
+            row /= max(1, np.count_nonzero(last[codes] == places)) ** 0.5  # codes are counted at their last place
+        return out[:, :-1]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One-versus-rest scores, a row for each text: kernel values with all landmarks, times the weights."""
@@ -80,14 +84,13 @@ def fit(texts: list[str], languages: list[str], landmarks_a_language: int = LAND
     is linear. Languages weigh alike, however many texts they have.
     """
     names = tuple(sorted(set(languages)))
-    marks = [i for name in names for i in [j for j, x in enumerate(languages) if x == name][:landmarks_a_language]]
-    found = [present(texts[i]) for i in marks]
-    counts = np.bincount(np.concatenate(found), minlength=1 << TABLE_BITS)
-    chosen = np.argsort(-counts, kind="stable")[: min(FEATURES, np.count_nonzero(counts))]
+    each = max(1, min(landmarks_a_language, LANDMARKS // len(names)))
+    marks = [i for name in names for i in [j for j, x in enumerate(languages) if x == name][:each]]
+    chosen = np.unique(np.concatenate([present(texts[i]) for i in marks]))
     slots = np.full(1 << TABLE_BITS, len(chosen), dtype=np.int32)
     slots[chosen] = np.arange(len(chosen))
     model = Model(slots, np.zeros((0, len(chosen)), np.float32), np.zeros((0, len(names)), np.float32), names)
-    landmarks = model.features([texts[i] for i in marks])
+    landmarks = np.concatenate([model.features([texts[i] for i in marks[at : at + BATCH]]) for at in range(0, len(marks), BATCH)])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -100,18 +103,24 @@ def fit(texts: list[str], languages: list[str], landmarks_a_language: int = LAND
 
 
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_A_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, language) of at most per_language documents of each language, the same at every run.
+    """(text, language) of at most per_language documents of each language and SAMPLE in all, the same at every run.
 
-    Ids fall into per_language buckets by their hash; the least hash of each bucket and language is
-    taken (an aggregation of ids alone), and then these texts are read.
+    Ids fall into so many buckets by their hash; the least hash of each bucket and language is
+    taken (an aggregation of ids alone), and then these texts are read, whole. Texts of over
+    SAMPLE_TEXT_BYTES aren't sampled. Of over MOST_LANGUAGES languages those of most documents are learned.
     """
     h = F.xxhash64(F.col(id_col))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    least = labelled.groupBy(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min(h).alias("h"))
-    if least.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    chosen = least.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"))
-    rows = labelled.join(F.broadcast(chosen), (F.col(lang_col) == F.col("_lang")) & (h == F.col("_h"))).select(F.col("_h").alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT_BYTES) & text.rlike(r"\p{L}"))
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    names = [r["lang"] for r in sizes.collect()]
+    if not names:
+        return []
+    buckets = max(1, min(per_language, SAMPLE // len(names)))
+    learned = docs.sparkSession.createDataFrame([(x,) for x in names], "_lang string")
+    labelled = labelled.join(F.broadcast(learned), F.col(lang_col) == F.col("_lang"), "left_semi")
+    least = labelled.groupBy(F.col(lang_col).alias("_lang"), F.pmod(h, F.lit(buckets)).alias("b")).agg(F.min(h).alias("_h")).select("_lang", "_h")
+    rows = labelled.join(F.broadcast(least), (F.col(lang_col) == F.col("_lang")) & (h == F.col("_h"))).select(F.col("_h").alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
@@ -120,7 +129,8 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", la
     """docs with the predicted language and its score.
 
     A text is scored whole. The score is the winning one-versus-rest value, mapped from [-1, 1] to
-    [0, 1] and clipped. Null texts, texts without a letter, and all texts where there is no model are
+    [0, 1] and clipped. A text with none of the landmarks' n-grams gets the first language and 0.5.
+    Null texts, texts without a letter, and all texts where there is no model are
     `und` with score 0. Columns of the output's names are replaced; rows stay as they are.
     """
     if model is None or not model.languages:

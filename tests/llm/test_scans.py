@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,9 +182,26 @@ def test_language_on_held_out_texts(spark):
 
 def test_kernel_is_the_share_of_common_grams():
     model = language.fit(["abc abc", "xyz", "abd", "xyw"], ["a", "b", "a", "b"], landmarks_a_language=2)
-    a, b = (set(map(int, language.present(t))) for t in ("abc abc", "abd"))
-    kernel = model.features(["abc abc"]) @ model.features(["abd"]).T
-    assert kernel[0, 0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-4)
+    grams = lambda t: {f" {t} "[i : i + n] for n in language.SPECTRUM for i in range(len(t) + 3 - n)}
+    for x in ("abc abc", "abq", "zzz"):
+        for y in ("abd", "xyz"):
+            a, b = grams(x), grams(y)
+            kernel = model.features([x]) @ model.features([y]).T
+            assert kernel[0, 0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-4)
+
+
+def test_scores_solve_the_ridge_regression_over_landmarks():
+    data = [(sentence(lang, i), lang) for i in range(14) for lang in SOUNDS]
+    texts, langs = [t for t, _ in data], [x for _, x in data]
+    model = language.fit(texts, langs, landmarks_a_language=4)
+    marks = [t for name in sorted(SOUNDS) for t in [t for t, x in data if x == name][:4]]
+    grams = lambda t: {f" {t} ".encode()[i : i + n] for n in language.SPECTRUM for i in range(len(t.encode()) + 3 - n)}
+    kernel = lambda xs, ys: np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in map(grams, ys)] for a in map(grams, xs)])
+    k, m, weight = kernel(texts, marks), kernel(marks, marks), np.diag([1 / 14] * len(texts))
+    targets = np.array([[1.0 if x == name else -1.0 for name in sorted(SOUNDS)] for x in langs])
+    alpha = np.linalg.solve(k.T @ weight @ k + language.RIDGE * m, k.T @ weight @ targets)
+    others = [sentence(lang, 100 + i) for i in range(5) for lang in SOUNDS]
+    assert np.allclose(model.scores(others), kernel(others, marks) @ alpha, atol=2e-3)
 
 
 def test_language_of_edge_cases(spark, edge, empty):
