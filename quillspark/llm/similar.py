@@ -4,7 +4,7 @@ Texts whose shingle counts have a Jaccard similarity of 0.8 differ in about 15 %
 No split of a fingerprint into selective blocks holds for so many bits at once, so a wide fingerprint is
 split several times, each time with its bits in another order: pairs that differ in fewer bits than a
 split has blocks share a block of every split, and pairs at similarity 0.8 share one of all blocks
-with a probability of about 0.96 (at 0.85, of 0.999). That holds for repeated shingles too, as each
+with a probability of about 0.96 (at 0.85, of 0.999). Blocks grow with the number of fingerprints. That holds for repeated shingles too, as each
 occurrence has a vote of its own (numbered()). What shares a block is verified by Hamming distance and then by the
 exact similarity, so nothing below it is linked. In buckets of many texts that are alike but not linked, the pairs are
 found by their rarest shingles instead, which loses none.
@@ -12,6 +12,7 @@ found by their rarest shingles instead, which loses none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import own_name, small_batches, staged
 from quillspark.llm.components import connected_components
 
-#: A fingerprint has LONGS longs; each of SPLITS orders of its bits is cut into blocks of BLOCK_BITS bits.
-LONGS, SPLITS, BLOCK_BITS = 16, 4, 24
+#: A fingerprint has LONGS longs; each of several orders of its bits is cut into blocks, so many that pairs that differ
+#: in a DIFFER-th of their bits share one with probability MEET. Blocks have BLOCK_BITS bits, more for many
+#: fingerprints: SPARE_BITS over the logarithm of their number, so that strangers seldom share one.
+LONGS, BLOCK_BITS, SPARE_BITS, DIFFER, MEET = 16, 24, 8, 0.151, 0.96
 BITS = 64 * LONGS
 #: Blocks whose buckets are linked through leaders first.
 FIRST = 20
@@ -91,18 +94,24 @@ def fingerprint(text: Column, shingle_words: int) -> Column:
     return of(text)
 
 
-def block_places(seed: int = 11) -> np.ndarray:
+def block_bits(fingerprints: int) -> int:
+    """Bits of a block for so many fingerprints."""
+    return max(BLOCK_BITS, (max(1, fingerprints) - 1).bit_length() + SPARE_BITS)
+
+
+def block_places(bits: int = BLOCK_BITS, seed: int = 11) -> np.ndarray:
     """A row for each block: the places of its bits."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    per = BITS // BLOCK_BITS
-    return np.concatenate([rng.permutation(BITS)[: per * BLOCK_BITS].reshape(per, BLOCK_BITS) for _ in range(SPLITS)])
+    per = BITS // bits
+    splits = math.ceil(math.log(1 - MEET) / math.log(1 - (1 - DIFFER) ** bits) / per)
+    return np.concatenate([rng.permutation(BITS)[: per * bits].reshape(per, bits) for _ in range(splits)])
 
 
-def block_keys(fp: Column, blocks: int | None = None) -> Column:
-    """An array with a long for each block (of the first `blocks`, if given): the block's number above BLOCK_BITS bits, its value in them."""
-    places = block_places()[:blocks]
-    powers = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-    numbers = np.arange(len(places), dtype=np.int64) << BLOCK_BITS
+def block_keys(fp: Column, bits: int, blocks: int | None = None) -> Column:
+    """An array with a long for each block (of the first `blocks`, if given): the block's number above its bits."""
+    places = block_places(bits)[:blocks]
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    numbers = np.arange(len(places), dtype=np.int64) << bits
 
     @F.pandas_udf("array<long>")
     def of(prints: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,8 +119,11 @@ def block_keys(fp: Column, blocks: int | None = None) -> Column:
             out = []
             for at in range(0, len(s), 128):
                 longs = np.stack(s.iloc[at : at + 128].to_list())
-                bits = np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little")
-                out += list(bits[:, places] @ powers + numbers)
+                unpacked = np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little")
+                keys = np.zeros((len(longs), len(places)), dtype=np.int64)
+                for bit, power in enumerate(powers):
+                    keys += unpacked[:, places[:, bit]] * power
+                out += list(keys + numbers)
             yield pd.Series(out)
 
     return of(fp)
@@ -174,9 +186,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def _led(members: DataFrame, prints: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of each node v of members(key, node) and u, the node of most degree with its key; within NEAR bits."""
-    leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).getField("node").alias("lead"))
-    led = members.join(staged(leads, "leads"), "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    """(u, v) of each node v of members(key, node) and u, that of most degree among the nodes that lead v's buckets (which have
+    most degree there); within NEAR bits."""
+    leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
+    led = members.join(staged(leads, "leads"), "key").groupBy(F.col("node").alias("v")).agg(F.max("lead").getField("node").alias("u")).where("u <> v")
     fp = prints.select("node", "fp")
     both = staged(led, "led").join(fp.toDF("v", "vfp"), "v").join(fp.toDF("u", "ufp"), "u")
     return both.where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v")
@@ -218,9 +231,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     struct (id, text_key), a group being what links of `similarity` or more connect.
 
     Equal fingerprints are one node, shown by the document of least id (null last, then text_key).
-    Nodes are joined on blocks. In the first blocks every node of a bucket is a candidate with the
-    bucket's leader, the node that shares buckets with most others, which is near the middle of its
-    group. This links large groups of near copies by a few pairs a node. The same is done in those
+    Nodes are joined on blocks. A bucket's leader is the node that shares buckets with most others, which is
+    near the middle of its group. In the first blocks every node is a candidate with the foremost of its
+    buckets' leaders. This links large groups of near copies by a few pairs a node. The same is done in those
     buckets of all blocks that the links leave with several groups. Then the nodes outside of a
     bucket's largest group are candidates with all nodes of its other groups, so no link between
     groups is lost. Candidates within NEAR bits are verified by _linked().
@@ -239,7 +252,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nodes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by(F.struct("id", "text_key"), order).alias("rep")), "nodes")
     given = nodes, docs, id_col, text_col, shingle_words
 
-    first = staged(nodes.select("node", F.explode(block_keys(F.col("fp"), FIRST)).alias("key")), "first")
+    bits = block_bits(nodes.count())
+    first = staged(nodes.select("node", F.explode(block_keys(F.col("fp"), bits, FIRST)).alias("key")), "first")
     sizes = staged(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     first = staged(first.join(sizes, "key"), "shared")
     prints = staged(nodes.select("node", "fp").join(first.groupBy("node").agg(F.sum("n").alias("degree")), "node", "left").fillna(0, ["degree"]), "prints")
@@ -247,7 +261,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     groups = connected_components(links)
 
     shown = staged(prints.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
-    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"))).alias("key"))
+    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"), bits)).alias("key"))
     with small_batches(docs.sparkSession):
         several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
         members = staged(keys.select("key", "node").join(_bounded(several), "key"), "members")

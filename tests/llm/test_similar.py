@@ -70,6 +70,10 @@ def test_wide_fingerprints():
     assert (similar.wide_simhash(many[:1]) == similar.wide_simhash(np.repeat(many[:1], 3))).all()
     places = similar.block_places()
     assert places.shape == (168, 24) and all(len(set(places[i : i + 42].ravel())) == 1008 for i in range(0, 168, 42))
+    assert [similar.block_bits(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 10**9)] == [24, 24, 24, 25, 38]
+    for bits in (26, 38):
+        many = similar.block_places(bits)
+        assert 1 - (1 - 0.849**bits) ** len(many) >= 0.96
 
 
 def test_edge_cases(spark, edge, empty):
