@@ -35,7 +35,7 @@ FIRST = 20
 #: Candidates differ in at most so many bits, three deviations above what a similarity of 0.8 has.
 NEAR = 190
 #: Buckets in which more pairs would be compared are settled by rare shingles.
-CROWD = 200
+CROWD = 100_000
 #: Pairs that meet one copy of a node's shingles.
 SHARE = 2_000
 BROADCAST_ROWS = 1_000_000
@@ -86,10 +86,13 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: Column, shingle_words: int) -> Column:
+    """The longs of wide_simhash(), and the number of shingles."""
+
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series([wide_simhash(numbered(shingle_hashes(t, shingle_words))) for t in s])
+            hashes = (shingle_hashes(t, shingle_words) for t in s)
+            yield pd.Series([np.append(wide_simhash(numbered(h)), len(h)) for h in hashes])
 
     return of(text)
 
@@ -118,7 +121,7 @@ def block_keys(fp: Column, bits: int, blocks: int | None = None) -> Column:
         for s in prints:
             out = []
             for at in range(0, len(s), 128):
-                longs = np.stack(s.iloc[at : at + 128].to_list())
+                longs = np.stack([x[:LONGS] for x in s.iloc[at : at + 128]])
                 unpacked = np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little")
                 keys = np.zeros((len(longs), len(places)), dtype=np.int64)
                 for bit, power in enumerate(powers):
@@ -137,6 +140,11 @@ def _distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _near(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two fingerprints are within NEAR bits, and the numbers of shingles allow the similarity."""
+    return (F.least(a[LONGS], b[LONGS]) >= similarity * F.greatest(a[LONGS], b[LONGS])) & (_distance(a, b) <= NEAR)
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -185,14 +193,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
         return staged(both.mapInArrow(compare, "u long, v long"), "linked")
 
 
-def _led(members: DataFrame, prints: DataFrame) -> DataFrame:
+def _led(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of each node v of members(key, node) and u, that of most degree among the nodes that lead v's buckets (which have
-    most degree there); within NEAR bits."""
+    most degree there), if they are _near()."""
     leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
     led = members.join(staged(leads, "leads"), "key").groupBy(F.col("node").alias("v")).agg(F.max("lead").getField("node").alias("u")).where("u <> v")
     fp = prints.select("node", "fp")
     both = staged(led, "led").join(fp.toDF("v", "vfp"), "v").join(fp.toDF("u", "ufp"), "u")
-    return both.where(_distance(F.col("ufp"), F.col("vfp")) <= NEAR).select("u", "v")
+    return both.where(_near(F.col("ufp"), F.col("vfp"), similarity)).select("u", "v")
 
 
 def _rare(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -202,9 +210,10 @@ def _rare(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame
     If two sets of n and m have at least c in common, the first of these in any order is one of the first n - c + 1 and
     m - c + 1. Shingles of one node are counted, but can't be shared.
     """
-    each = shingles.select("node", F.size("hs").alias("n"), F.explode("hs").alias("key"))
+    even = shingles.repartitionByRange(int(shingles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    each = staged(even.select("node", F.size("hs").alias("n"), F.explode("hs").alias("key")), "each")
     often = staged(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    shared = staged(each, "each").join(often, "key")
+    shared = each.join(often, "key")
     by_node = Window.partitionBy("node")
     pos = F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("often", "key")) - 1
     placed = shared.withColumn("pos", pos).where(F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6))
@@ -257,7 +266,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sizes = staged(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     first = staged(first.join(sizes, "key"), "shared")
     prints = staged(nodes.select("node", "fp").join(first.groupBy("node").agg(F.sum("n").alias("degree")), "node", "left").fillna(0, ["degree"]), "prints")
-    links = _linked(_led(first.select("key", "node"), prints), *given, similarity)
+    links = _linked(_led(first.select("key", "node"), prints, similarity), *given, similarity)
     groups = connected_components(links)
 
     shown = staged(prints.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
@@ -265,13 +274,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     with small_batches(docs.sparkSession):
         several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
         members = staged(keys.select("key", "node").join(_bounded(several), "key"), "members")
-    links = staged(links.union(_linked(_led(members, prints).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
+    links = staged(links.union(_linked(_led(members, prints, similarity).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
     groups = connected_components(links)
 
     members = staged(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     most = staged(_mixed(members).withColumn("crowded", (F.col("n") - F.col("in_most")) * F.col("n") > crowd), "most")
     within = members.join(prints.select("node", "fp"), "node")
-    more = _across(within, most.where("not crowded"), _distance(F.col("a.fp"), F.col("b.fp")) <= NEAR)
+    more = _across(within, most.where("not crowded"), _near(F.col("a.fp"), F.col("b.fp"), similarity))
     open_ = staged(members.join(most.where("crowded"), "key", "left_semi").select("node", "component").distinct(), "open")
     if not open_.isEmpty():
         rare = staged(_rare(open_, _shingles(open_.select("node"), *given), similarity), "rare")
