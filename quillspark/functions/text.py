@@ -112,11 +112,18 @@ def has_tag(tags: Column, term: str) -> Column:
     return F.coalesce(F.exists(tags, lambda t: F.lower(t).contains(term.lower())), F.lit(False))
 
 
+#: The wording of a request to judge a user's texts.
+PROMPT_HEAD = "User's reviews (%d total):"
+PROMPT_HEAD_SHOWN = "User's reviews (%d total, showing %d at random):"
+PROMPT_TEXT = '[%d] """%s"""'
+PROMPT_MORE = "... and %d more reviews not shown."
+
+
 def prompt(texts: Column, total: Column, cap: int, ask: str) -> Column:
     """The numbered texts shown of a user's, with how many there are, those not shown, and what is asked."""
-    extra = F.greatest(total - cap, F.lit(0))
-    shown = F.when(extra > 0, F.concat(F.lit(f", showing {cap} at random"))).otherwise("")
-    head = F.concat(F.lit("User's reviews ("), total.cast("string"), F.lit(" total"), shown, F.lit("):"))
-    lines = F.transform(texts, lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit('] """'), cut(t, "prompt"), F.lit('"""')))
-    more = F.when(extra > 0, F.array(F.concat(F.lit("... and "), extra.cast("string"), F.lit(" more reviews not shown.")))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(head), lines, more, F.array(F.lit(ask))), "\n")
+    whole = F.array(F.format_string(PROMPT_HEAD, total))
+    part = F.array(F.format_string(PROMPT_HEAD_SHOWN, total, F.lit(cap)))
+    shown = F.transform(texts, lambda t, i: F.format_string(PROMPT_TEXT, i, cut(t, "prompt")))
+    end = F.array(F.lit(ask))
+    missing = F.array(F.format_string(PROMPT_MORE, total - cap))
+    return F.array_join(F.when(total > cap, F.concat(part, shown, missing, end)).otherwise(F.concat(whole, shown, end)), "\n")

@@ -19,21 +19,49 @@ TAG_FLAGS = {
 }
 #: Fixed value: ban recency of users without a ban.
 NO_BAN_DAYS = 9999
-#: Roles of columns; only `feature` and `gray` ones may enter a model.
+#: Roles of columns; only `feature` and `gray` ones may enter a model.
 REVIEW_ROLES = {
-    **dict.fromkeys(("review_id", "user_key", "group_key"), "key"),
-    **dict.fromkeys(("url_type", "review_lang", "joinable", "split", "review_dt", "game_id_int"), "meta"),
-    **dict.fromkeys(("y_review", "y_review_gold"), "label"),
+    "review_id": "key",
+    "user_key": "key",
+    "group_key": "key",
+    "url_type": "meta",
+    "review_lang": "meta",
+    "joinable": "meta",
+    "split": "meta",
+    "review_dt": "meta",
+    "game_id_int": "meta",
+    "y_review": "label",
+    "y_review_gold": "label",
     "tox_source": "analysis",
-    **dict.fromkeys(("toxicity", "perspective_score", "severe_toxicity", "obscene", "identity_attack", "insult", "threat", "sexual_explicit"), "FORBIDDEN"),
+    "toxicity": "FORBIDDEN",
+    "perspective_score": "FORBIDDEN",
+    "severe_toxicity": "FORBIDDEN",
+    "obscene": "FORBIDDEN",
+    "identity_attack": "FORBIDDEN",
+    "insult": "FORBIDDEN",
+    "threat": "FORBIDDEN",
+    "sexual_explicit": "FORBIDDEN",
     "review_text": "feature_text",
-    **dict.fromkeys(("is_recommended", "hours_played", "review_year", "g_competitive", "g_violent", "g_comedy", "g_review_bombing"), "gray"),
+    "is_recommended": "gray",
+    "hours_played": "gray",
+    "review_year": "gray",
+    "g_competitive": "gray",
+    "g_violent": "gray",
+    "g_comedy": "gray",
+    "g_review_bombing": "gray",
 }
+#: The same for columns of users.
 USER_ROLES = {
-    "user_key": "key", "split": "meta", "y_user": "label",
-    **dict.fromkeys(("n_toxic", "n_reviews_diag"), "DIAGNOSTIC"),
-    **dict.fromkeys(("country", "country_is_brazil", "has_ban", "ban_recency_days"), "gray"),
-}
+    "user_key": "key",
+    "split": "meta",
+    "y_user": "label",
+    "n_toxic": "DIAGNOSTIC",
+    "n_reviews_diag": "DIAGNOSTIC",
+    "country": "gray",
+    "country_is_brazil": "gray",
+    "has_ban": "gray",
+    "ban_recency_days": "gray",
+}
 
 
 def has_any_tag(tags: Column, wanted: Sequence[str]) -> Column:

@@ -160,10 +160,10 @@ def ask(df: DataFrame, prompt: str, system: str, chat: Chat = rule_chat, retries
     return df.withColumn(out, call(F.col(prompt)))
 
 
-def chunk_by_budget(df: DataFrame, order: str, tokens: str, budget: int, group: str | None = None) -> DataFrame:
+def chunk_by_budget(df: DataFrame, order: str, tokens: str, budget: int, group: str) -> DataFrame:
     """df with `chunk`: rows in order, a new chunk where the next would pass the budget (a sequential rule).
 
-    It runs once for each group, or for the whole table, which is meant for a batch of requests.
+    It runs once for each group, a batch of requests that one task holds.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", chunk int"
 
@@ -177,7 +177,7 @@ def chunk_by_budget(df: DataFrame, order: str, tokens: str, budget: int, group:
             out.append(chunk)
         return rows.assign(chunk=pd.Series(out, dtype="int32"))
 
-    return df.groupBy(*([group] if group else [])).applyInPandas(deal, schema)
+    return df.groupBy(group).applyInPandas(deal, schema)
 
 
 def judge_pairs(narratives: DataFrame, judges: Sequence[str], done: DataFrame | None = None) -> DataFrame:

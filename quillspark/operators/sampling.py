@@ -11,9 +11,35 @@ from quillspark.functions.hashing import md5_bucket, md5_number
 from quillspark.operators.ordering import running_sums
 
 
+#: Rows that are ordered to find the last of a sample, and bits of the order that one pass over the rest resolves.
+ORDERED_ROWS, STEP_BITS, NUMBER_BITS = 50_000, 15, 60
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """n rows, or all if there are fewer; each task keeps its own n first."""
-    return df.orderBy(md5_number(F.col(key), seed), F.col(key)).limit(n)
+    """The n rows that are first by md5, or all if there are fewer.
+
+    Histograms of md5 numbers find the range in which the n-th lies, until it has at most
+    ORDERED_ROWS rows or one number. Rows before it are all taken, by a filter; only those in it are ordered.
+    """
+    placed = df.withColumn("_u", F.coalesce(md5_number(F.col(key), seed), F.lit(-1)) + 1)
+    low, width, left, inside = 0, NUMBER_BITS, n, placed
+    while True:
+        width = max(0, width - STEP_BITS)
+        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(F.shiftright("_u", width).alias("b")).agg(F.count("*").alias("n")).collect())
+        last = None
+        for bin_, count in counts:
+            if count >= left:
+                last = bin_, count
+                break
+            left -= count
+        if last is None:
+            return df
+        low = last[0] << width
+        inside = placed.where(F.col("_u").between(low, low + (1 << width) - 1))
+        if width == 0 or last[1] <= ORDERED_ROWS:
+            break
+    edge = inside.orderBy("_u", key).limit(left)
+    return placed.where(F.col("_u") < low).unionByName(edge).drop("_u")
 
 
 def hash_slice(df: DataFrame, key: str, one_in: int) -> DataFrame:

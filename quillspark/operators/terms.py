@@ -45,8 +45,11 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 100, max_df: float
 
 
 def weights(tf: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, w): tf * idf over in-vocabulary terms, each document at unit length."""
-    raw = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    """(id, term, w): tf * idf over in-vocabulary terms, each document at unit length.
+
+    A vocabulary has at most its max_features rows, and is broadcast.
+    """
+    raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("w") / norm).alias("w"))
 

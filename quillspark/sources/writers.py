@@ -46,9 +46,9 @@ def part_once(df: DataFrame, path: str, part: str) -> bool:
     return True
 
 
-def csv(df: DataFrame, path: str) -> None:
-    """A small table as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+def csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A table as CSV files with headers, a task each; a small one as one file."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:

@@ -241,7 +241,7 @@ def test_ingestion_adds_only_new_files(spark, tmp_path):
 
 def test_chunks_follow_the_budget(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([50, 20, 60, 10, 100])], "i int, t int")
-    assert [r["chunk"] for r in inference.chunk_by_budget(df, "i", "t", 70).orderBy("i").collect()] == [0, 0, 1, 1, 2]
+    assert [r["chunk"] for r in inference.chunk_by_budget(df.withColumn("g", F.lit(1)), "i", "t", 70, "g").orderBy("i").collect()] == [0, 0, 1, 1, 2]
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -260,3 +260,15 @@ def test_thinned_distribution(spark):
     df = spark.range(1, 1001).select((F.col("id") % 500).alias("x"))
     out = reports.ecdf(df, "x", points=50).orderBy("value").collect()
     assert 50 <= len(out) <= 52 and out[0]["value"] == 0 and out[-1]["share"] == 1.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 199, 200, 500])
+@pytest.mark.parametrize("ordered", [1, 50_000])
+def test_samples_are_the_first_by_md5(spark, n, ordered, monkeypatch):
+    from quillspark.functions.hashing import md5_number
+    from quillspark.operators import sampling
+
+    monkeypatch.setattr(sampling, "ORDERED_ROWS", ordered)
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"))
+    want = df.orderBy(md5_number(F.col("k"), "s"), "k").limit(n)
+    assert sorted(sampling.sample_rows(df, "k", n, "s").collect()) == sorted(want.collect())
