@@ -194,10 +194,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def _led(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of each node v of members(key, node) and u, that of most degree among the nodes that lead v's buckets (which have
-    most degree there), if they are _near()."""
-    leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
-    led = members.join(staged(leads, "leads"), "key").groupBy(F.col("node").alias("v")).agg(F.max("lead").getField("node").alias("u")).where("u <> v")
+    """(u, v) of each node v of members(key, node, component) and u, that of most degree among the nodes of other components
+    that lead v's buckets (which have most degree there), if they are _near()."""
+    leads = members.join(prints.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node", "component")).alias("lead"))
+    leads = staged(leads.select(F.col("key").alias("of"), "lead"), "leads")
+    led = members.join(leads, (F.col("key") == F.col("of")) & (F.col("component") != F.col("lead.component")))
+    led = led.groupBy(F.col("node").alias("v")).agg(F.max("lead").getField("node").alias("u"))
     fp = prints.select("node", "fp")
     both = staged(led, "led").join(fp.toDF("v", "vfp"), "v").join(fp.toDF("u", "ufp"), "u")
     return both.where(_near(F.col("ufp"), F.col("vfp"), similarity)).select("u", "v")
@@ -223,8 +225,9 @@ def _rare(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame
 def _across(members: DataFrame, most: DataFrame, meet: Column) -> DataFrame:
     """Distinct pairs (u, v) of members(key, node, component, ...) of different components with the same key, for which `meet` (of a and b)
     holds; most(key, most) names a component of each key, within which none is sought."""
-    mixed = members.join(most.select("key", "most"), "key")
-    left = mixed.where("component <> most").alias("a").join(mixed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & meet)
+    most = most.select(F.col("key").alias("of"), "most")
+    rest = members.join(most, (F.col("key") == F.col("of")) & (F.col("component") != F.col("most"))).drop("of", "most")
+    left = rest.alias("a").join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & meet)
     return left.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
@@ -266,18 +269,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sizes = staged(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     first = staged(first.join(sizes, "key"), "shared")
     prints = staged(nodes.select("node", "fp").join(first.groupBy("node").agg(F.sum("n").alias("degree")), "node", "left").fillna(0, ["degree"]), "prints")
-    links = _linked(_led(first.select("key", "node"), prints, similarity), *given, similarity)
+    links = _linked(_led(first.select("key", "node", F.col("node").alias("component")), prints, similarity), *given, similarity)
     groups = connected_components(links)
 
     shown = staged(prints.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
     keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"), bits)).alias("key"))
     with small_batches(docs.sparkSession):
         several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
-        members = staged(keys.select("key", "node").join(_bounded(several), "key"), "members")
+        members = staged(keys.join(_bounded(several), "key").select("key", "node", "component"), "members")
     links = staged(links.union(_linked(_led(members, prints, similarity).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
     groups = connected_components(links)
 
-    members = staged(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
+    members = staged(members.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     most = staged(_mixed(members).withColumn("crowded", (F.col("n") - F.col("in_most")) * F.col("n") > crowd), "most")
     within = members.join(prints.select("node", "fp"), "node")
     more = _across(within, most.where("not crowded"), _near(F.col("a.fp"), F.col("b.fp"), similarity))
