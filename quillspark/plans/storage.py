@@ -187,11 +187,11 @@ def _(spark, d):
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("score").isNull()).alias("n_missing"))
 
 
-@query("ml_09_sequences", "SELECT conv_id, left(string_agg(left(text, 500), ' [SEP] ' ORDER BY turn), 60) AS head, count(*) AS n FROM conversations GROUP BY 1")
+@query("ml_09_sequences", "SELECT conv_id, string_agg(left(text, 500), ' [SEP] ' ORDER BY turn) AS sequence, count(*) AS n FROM conversations GROUP BY 1")
 def _(spark, d):
     """The input of a fine-tuned sequence model; the model itself is external."""
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.cut(F.col("text"), "sequence").alias("t")))).alias("ts"), F.count("*").alias("n"))
-    return c.select("conv_id", F.substring(F.array_join(F.transform("ts", lambda s: s["t"]), " [SEP] "), 1, 60).alias("head"), "n")
+    return c.select("conv_id", F.array_join(F.transform("ts", lambda s: s["t"]), " [SEP] ").alias("sequence"), "n")
 
 
 @query("ml_10_loss_summary", "SELECT user_id, round(avg(value) FILTER (WHERE a <= 50), 6) AS first_50, round(avg(value) FILTER (WHERE b <= 50), 6) AS last_50 FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events) GROUP BY 1")
