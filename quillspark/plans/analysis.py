@@ -411,7 +411,7 @@ def _(spark, d):
     return ap.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg("auc_pr"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("auc_pr"), F.lit(0.0)), 6).alias("sd"))
 
 
-@query("txt_13_ordering_claims")
+@query("txt_13_ordering_claims", f"WITH {_TERMS}, {_VOCAB}, {_WEIGHTS}, m AS (SELECT source, term, sum(w) / any_value(k.n) AS mean FROM z JOIN d USING (doc_id) JOIN (SELECT source, count(*) AS n FROM d GROUP BY 1) AS k USING (source) GROUP BY 1, 2), q AS (SELECT * FROM (VALUES ('the', 'src0', 'src1'), ('de', 'src1', 'src0'), ('nowhere', 'src0', 'src1')) AS q(term, high, low)) SELECT q.*, CASE WHEN a.mean IS NULL OR b.mean IS NULL THEN 'skipped' WHEN a.mean > b.mean THEN 'holds' ELSE 'contradicted' END AS verdict FROM q LEFT JOIN m AS a ON a.term = q.term AND a.source = high LEFT JOIN m AS b ON b.term = q.term AND b.source = low")
 def _(spark, d):
     docs, tf = _terms(spark, d)
     w = terms.weights(tf, _vocab(docs, tf), "doc_id")

@@ -47,7 +47,18 @@ def _(spark, d):
     return features.modeling_labels(u).select("user_id", "y_count", "y_rate", "rate_pop")
 
 
-@query("fea_05_column_roles")
+#: (column, type, role) of the resolved reviews, in the order of the columns.
+_ROLES = """
+review_id string key, user_url string feature, game_id bigint feature, review_text string feature_text, is_recommended boolean gray,
+hours_played double gray, review_date date feature, perspective_score double FORBIDDEN, toxicity double FORBIDDEN, review_dt date meta,
+user_key string key, group_key string key, url_type string meta, game_id_int bigint meta, y_review int label, tox_source string analysis,
+len_chars int feature, len_words int feature, caps_ratio double feature, upper_word_count int feature, rrun_count int feature,
+excl_count int feature, ques_count int feature, review_year int gray, joinable boolean meta, g_competitive boolean gray,
+g_violent boolean gray, g_comedy boolean gray, g_review_bombing int gray, split string meta
+"""
+
+
+@query("fea_05_column_roles", f"SELECT 'reviews_resolved' AS \"table\", w[1] AS \"column\", w[2] AS type, w[3] AS role FROM (SELECT string_split(trim(unnest(string_split(replace('{_ROLES}', chr(10), ' '), ','))), ' ') AS w)")
 def _(spark, d):
     return features.role_table(_resolved(spark, d), "reviews_resolved", features.REVIEW_ROLES)
 
@@ -83,7 +94,10 @@ def _(spark, d):
     return statistics.ranking_metrics(models.out_of_fold(data, "user_key", "y", "fold", "forest", ["x0", "x1", "x2", "x3"]), "y", "score", ["fold"])
 
 
-@query("udf_01_02_language_detection")
+_MARKED = ", ".join(f"len([x for x in w if x IN ({', '.join(map(repr, marks))})]) AS {lang}" for lang, marks in sorted(inference.MARKERS.items()))
+
+
+@query("udf_01_02_language_detection", rf"WITH c AS (SELECT lang, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(coalesce(text, ''), 2000), 'http\S+|www\.\S+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[0-9_]+', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM documents), w AS (SELECT lang, CASE WHEN length(c) >= 20 THEN string_split(lower(c), ' ') ELSE [] END AS w FROM c), n AS (SELECT lang, {_MARKED} FROM w) SELECT lang, CASE greatest(de, en, es, fr, pt) WHEN 0 THEN 'und' WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' WHEN fr THEN 'fr' ELSE 'pt' END AS review_lang, count(*) AS n FROM n GROUP BY 1, 2")
 def _(spark, d):
     found = inference.detect_language(table(spark, d, "documents").select("doc_id", "lang", "text"), "text")
     return found.groupBy("lang", "review_lang").agg(F.count("*").alias("n"))
@@ -97,9 +111,12 @@ def _(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_if(c < 20).alias("n_short"))
 
 
-@query("scr_01_toxicity_scores")
+_RUDE = r"(?i)\b(idiot|stupid|worthless|pathetic|scum|trash|moron|loser)\b"
+
+
+@query("scr_01_toxicity_scores", f"SELECT doc_id, round(1 - exp(-len(regexp_extract_all(left(trim(coalesce(text, '')), 1200), '{_RUDE}'))), 6)::DOUBLE AS detoxify_score FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", inference.toxicity(F.col("text")).alias("detoxify_score"))
+    return table(spark, d, "documents").select("doc_id", F.round(inference.toxicity(F.col("text")), 6).alias("detoxify_score"))
 
 
 @query("scr_02_snk_06_07_cached_scores", "SELECT doc_id, CASE WHEN lang = 'en' AND NOT regexp_matches(text, '(?i)license') THEN 0.25 ELSE round(1 - exp(-len(regexp_extract_all(left(trim(text), 1200), '(?i)\\b(idiot|stupid|worthless|pathetic|scum|trash|moron|loser)\\b'))), 6) END::DOUBLE AS detoxify_score FROM documents")
@@ -109,13 +126,14 @@ def _(spark, d):
     return inference.score_with_cache(docs, cache, "doc_id", "text", exclude="license").select("doc_id", F.round("detoxify_score", 6).alias("detoxify_score"))
 
 
-@query("emb_01_embeddings")
+@query("emb_01_embeddings", r"WITH w AS (SELECT doc_id, md5(unnest(regexp_split_to_array(lower(text), '\s+'))) AS h FROM documents WHERE regexp_matches(text, '\S')), b AS (SELECT doc_id, ('0x' || substr(h, 15, 2))::INT % 64 AS i, sum(CASE WHEN ('0x' || substr(h, 1, 1))::INT >= 8 THEN 1 ELSE -1 END) AS v FROM w WHERE h <> md5('') GROUP BY 1, 2), v AS (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << i ELSE 0 END) AS up, bit_or(CASE WHEN v < 0 THEN 1::UBIGINT << i ELSE 0 END) AS down FROM b GROUP BY 1) SELECT doc_id, 64 AS size, CASE WHEN coalesce(up | down, 0) = 0 THEN 0 ELSE 1 END::DOUBLE AS norm, coalesce([i for i in range(64) if (up >> i) & 1 = 1], [])::INT[] AS positive, coalesce([i for i in range(64) if (down >> i) & 1 = 1], [])::INT[] AS negative FROM documents LEFT JOIN v USING (doc_id)")
 def _(spark, d):
     e = table(spark, d, "documents").select("doc_id", inference.embed(F.col("text")).alias("v"))
-    return e.select("doc_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"))
+    places = lambda keep: F.filter(F.transform("v", lambda x, i: F.when(keep(x), i)), lambda i: i.isNotNull())
+    return e.select("doc_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"), places(lambda x: x > 0).alias("positive"), places(lambda x: x < 0).alias("negative"))
 
 
-@query("llm_01_02_classification")
+@query("llm_01_02_classification", f"WITH s AS (SELECT conv_id, round(100 * (1 - exp(-sum(len(regexp_extract_all(coalesce(text, ''), '{_RUDE}')))))) / 100 AS s FROM conversations GROUP BY 1) SELECT conv_id, (s > 0.5)::INT AS _pred, s::DOUBLE AS _score, -1 AS _worst FROM s")
 def _(spark, d):
     prompts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("prompt"))
     raw = inference.ask(prompts, "prompt", "Is this user toxic?")
@@ -172,7 +190,7 @@ def _(spark, d):
     return statistics.paired_bootstrap(a.join(b, "user_key"), "y", "a", "b", rounds=100)
 
 
-@query("smp_10_capped_training")
+@query("smp_10_capped_training", f"WITH f AS (SELECT (row_number() OVER (PARTITION BY label < 4 ORDER BY {MD5.format('vec_id::VARCHAR')}) - 1) % 2 AS fold FROM embeddings) SELECT fold::INT AS fold, count(*) AS n FROM f GROUP BY 1")
 def _(spark, d):
     data = sampling.folds(_users(spark, d), "y", "user_key", 2)
     return models.out_of_fold(data, "user_key", "y", "fold", "logreg", ["x0", "x1"], train_cap=100).groupBy("fold").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import labels, text
 from quillspark.operators import models, sampling, statistics
 from quillspark.plans.registry import query
-from quillspark.plans.roles import G, R, TOXIC, games, reviews, table
+from quillspark.plans.roles import G, MD5, R, TOXIC, games, reviews, table
 from quillspark.sources import readers, writers
 
 
@@ -166,11 +166,15 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).cast("int").alias("positive"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_custkey").cast("string").alias("key"))
 
 
-@query("sta_09_threshold_on_a_sample")
+_GRID = ", ".join(repr(0.01 + (0.999 - 0.01) * i / 199) for i in range(200))
+
+
+@query("sta_09_threshold_on_a_sample", f"WITH s AS (SELECT toxic AS y, doc_id % 17 / 17 * 0.7::DOUBLE + toxic * 0.3::DOUBLE AS p FROM labels ORDER BY {MD5.format("doc_id::VARCHAR || 'search'")}, doc_id LIMIT 50000), t AS (SELECT DISTINCT unnest(quantile_cont(p, [{_GRID}])) AS t FROM s), c AS (SELECT t, count(*) FILTER (WHERE y = 1 AND p >= t)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND p >= t)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND p < t)::DOUBLE AS fn, count(*) FILTER (WHERE y = 0 AND p < t)::DOUBLE AS tn FROM s, t GROUP BY 1), f AS (SELECT t, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 12) AS f FROM c) SELECT round(t, 6) AS threshold, round(f, 6) AS f1_macro FROM f ORDER BY f DESC, t LIMIT 1")
 def _(spark, d):
     """The threshold search on at most 50,000 rows, as a sampling operator."""
     y = table(spark, d, "labels").select("doc_id", "toxic", (F.col("doc_id") % 17 / 17 * 0.7 + F.col("toxic") * 0.3).alias("p"))
-    return statistics.best_threshold(sampling.sample_rows(y, "doc_id", 50_000, "search"), "toxic", "p")
+    out = statistics.best_threshold(sampling.sample_rows(y, "doc_id", 50_000, "search"), "toxic", "p")
+    return out.select(F.round("threshold", 6).alias("threshold"), F.round("f1_macro", 6).alias("f1_macro"))
 
 
 @query("smp_07_resamples")
@@ -179,7 +183,7 @@ def _(spark, d):
     return statistics.paired_bootstrap(y, "toxic", "a", "b", rounds=100, seed=3)
 
 
-@query("ml_08_scores")
+@query("ml_08_scores", "SELECT count(*) AS n, 0::BIGINT AS n_missing FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("k"), (F.col("label") < 4).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)))
     data = sampling.folds(e, "y", "k", 2)
