@@ -95,4 +95,40 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 FROM d LEFT JOIN b USING (rid) LEFT JOIN m USING (rid)
 """
 
-ORACLE_SQL = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op9_license_scan": OP9}
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), total AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY 1
+), g AS (
+  SELECT lang, ws[i:i + k - 1] AS path, count(*) AS f FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p), (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY 1, 2 HAVING count(*) >= 100
+), c AS (
+  SELECT * FROM g WHERE len(path) > 1
+), cut AS (
+  SELECT c.lang, c.path, c.f AS a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM c, (SELECT unnest(range(1, 5)) AS k) JOIN total ON total.lang = c.lang JOIN g x ON x.lang = c.lang AND x.path = c.path[:k] JOIN g y ON y.lang = c.lang AND y.path = c.path[k + 1:] WHERE k < len(c.path)
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, path ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, f, path[i:j] AS path FROM c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 6)) AS j) WHERE i < j AND j <= len(path) AND j - i + 1 < len(path)
+), kept AS (
+  SELECT lang, array_to_string(path, ' ') AS phrase, a, l, r, n, score FROM low WHERE NOT EXISTS (FROM inner_ WHERE inner_.lang = low.lang AND inner_.path = low.path AND 100 * inner_.f >= 100 * low.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP13 = """
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.rid AS q, q.vec_id AS query_id, e.rid, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON q.rid <> e.rid WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, rid)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, rid) <= 10
+"""
+
+ORACLE_SQL = {"op11_collocations": OP11, "op13_exact_search": OP13, "op1_mix_sources": OP1, "op3_quality_rules": OP3, "op9_license_scan": OP9}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language, licenses, mixing, quality, secrets, sharding, simhash, substrings, suffixes
+from quillspark.llm import decontamination, importance, language, licenses, mixing, phrases, quality, secrets, sharding, simhash, substrings, suffixes, topk
 from quillspark.llm._common import documents
 from quillspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -93,6 +93,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", (F.col("n_repeated") > 0).alias("has_repeats"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two to five words found a hundred times or more."""
+    docs = documents(spark, sf_dir).select("text", "lang")
+    return phrases.collocations(docs, depth=5, least=100, best=2000)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of a hundred documents, drawn by how much more likely their n-grams are in the benchmark's texts."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), percent=5, least_words=20, seed=42)
+    return out.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors by inner product for every hundredth id."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), k=10, scale=1024.0)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -104,4 +122,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_exact_search": op13_exact_search,
 }
