@@ -11,20 +11,27 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.kernels import RandomFourierFeatures
+from quillspark.operators.learners import TreeLearner
 from quillspark.operators.sampling import sample_rows
+from quillspark.operators.trees import BoostingParams, ForestParams
 
 #: Most categories that one-hot encoding keeps; the rest are "other".
 MOST_CATEGORIES = 14
 
 
 def classifier(name: str, n_features: int, seed: int = 7):
-    """logreg, svm, forest, boosted or mlp. Kernel machines, extra trees and vendor boosters have no counterpart here."""
+    """logreg, svm, forest, boosted, mlp, hist_boosted, extra_trees or rbf. Vendor boosters have no counterpart here."""
     columns = {"featuresCol": "features", "labelCol": "label"}
+    fourier = RandomFourierFeatures(featuresCol="features", outputCol="fourier", size=256, seed=seed)
     made = {
         "logreg": lambda: LogisticRegression(maxIter=50, regParam=0.01, **columns),
         "svm": lambda: LinearSVC(maxIter=30, regParam=0.01, **columns),
         "forest": lambda: RandomForestClassifier(numTrees=50, maxDepth=6, seed=seed, **columns),
         "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **columns),
+        "hist_boosted": lambda: TreeLearner(BoostingParams()),
+        "extra_trees": lambda: TreeLearner(ForestParams(seed=seed)),
+        "rbf": lambda: Pipeline(stages=[fourier, LinearSVC(maxIter=50, regParam=0.001, featuresCol="fourier", labelCol="label")]),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[n_features, 16, 2], maxIter=50, seed=seed, **columns),
     }
     return made[name]()

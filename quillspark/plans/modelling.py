@@ -8,7 +8,7 @@ from quillspark.functions import hashing, labels, parsing
 from quillspark.operators import features, inference, models, sampling, statistics
 from quillspark.plans.registry import query
 from quillspark.plans.roles import MD5, P, R, TOXIC, profiles, reviews, table
-from quillspark.plans.storage import shared_path
+from quillspark.sources.staging import shared_path
 from quillspark.streaming import incremental
 
 
@@ -94,6 +94,27 @@ def _(spark, d):
     return statistics.ranking_metrics(models.out_of_fold(data, "user_key", "y", "fold", "forest", ["x0", "x1", "x2", "x3"]), "y", "score", ["fold"])
 
 
+@query("ml_04_hist_boosting")
+def _(spark, d):
+    data = sampling.folds(_users(spark, d), "y", "user_key", 2)
+    oof = models.out_of_fold(data, "user_key", "y", "fold", "hist_boosted", [], vector="embedding")
+    return statistics.ranking_metrics(oof, "y", "score", ["fold"])
+
+
+@query("ml_04_extra_trees")
+def _(spark, d):
+    data = sampling.folds(_users(spark, d), "y", "user_key", 2)
+    oof = models.out_of_fold(data, "user_key", "y", "fold", "extra_trees", [], vector="embedding")
+    return statistics.ranking_metrics(oof, "y", "score", ["fold"])
+
+
+@query("ml_05_rbf_machine")
+def _(spark, d):
+    data = sampling.folds(_users(spark, d), "y", "user_key", 2)
+    oof = models.out_of_fold(data, "user_key", "y", "fold", "rbf", [], vector="embedding")
+    return statistics.ranking_metrics(oof, "y", "score", ["fold"])
+
+
 _MARKED = ", ".join(f"len([x for x in w if x IN ({', '.join(map(repr, marks))})]) AS {lang}" for lang, marks in sorted(inference.MARKERS.items()))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,16 +12,7 @@ from quillspark.operators import models, sampling, statistics
 from quillspark.plans.registry import query
 from quillspark.plans.roles import G, MD5, R, TOXIC, games, reviews, table
 from quillspark.sources import readers, writers
-
-
-def shared_path(spark, name: str) -> str:
-    """A new path in the folder named in spark.checkpoint.dir; on a local master without it, in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="quillspark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from quillspark.sources.staging import shared_path
 
 
 @query("src_02_recursive_listing", "SELECT o_orderstatus AS part, count(*) AS n FROM orders GROUP BY 1")
