@@ -53,9 +53,13 @@ def detection_words(df: DataFrame, text: str, *columns: str) -> DataFrame:
 def word_grams(word: Column, sizes: Sequence[int] = SIZES) -> Column:
     """All n-grams of the word with a space at either end."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
-    n = F.length(padded)
-    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(padded, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in sizes]
-    return F.concat(*parts)
+
+    def of(k: int) -> Column:
+        starts = F.length(padded) - k + 1
+        cut = F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(padded, i, F.lit(k)))
+        return F.when(starts >= 1, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, sizes))
 
 
 def fit(labelled: DataFrame, text: str, lang: str, *, most_grams: int = MOST_GRAMS, most_words: int = MOST_WORDS, smoothing: float = SMOOTHING) -> LanguageModel:
@@ -98,7 +102,7 @@ def language_scores(df: DataFrame, key: str, text: str, model: LanguageModel) ->
 def decided(scores: Column, languages: Sequence[str]) -> tuple[Column, Column]:
     """The language of the highest score (ties: the first), and its share of all likelihoods."""
     best = F.array_max(scores)
-    name = F.element_at(F.array(*map(F.lit, languages)), F.array_position(scores, best).cast("int"))
+    name = F.when(scores.isNotNull(), F.get(F.array(*map(F.lit, languages)), F.array_position(scores, best).cast("int") - 1))
     share = 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp((x - best) / 1000))
     return name, share
 

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values that are ordered apart.
-RANGES = 64
+#: Rows of a range of values that is ordered apart, and most ranges.
+RANGE_ROWS, MOST_RANGES = 100_000, 256
 
 
 def _matches(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -18,18 +18,29 @@ def _matches(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return out
 
 
-def running_sums(df: DataFrame, value: str, sums: Mapping[str, str | Column], by: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def _range_of(value: Column, cuts: list, before: int) -> Column:
+    """The number of cuts below the value, by halving."""
+    if not cuts:
+        return F.lit(before)
+    half = len(cuts) // 2
+    return F.when(value > F.lit(cuts[half]), _range_of(value, cuts[half + 1 :], before + half + 1)).otherwise(_range_of(value, cuts[:half], before))
+
+
+def running_sums(df: DataFrame, value: str, sums: Mapping[str, str | Column], by: Sequence[str] = (), descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with, for each name of `sums`, the sum of its column over all rows up to this one in the order of `value`.
 
-    Values must be distinct within `by`, and numeric. Approximate quantiles cut them into ranges, of
-    which each is ordered by itself; a range's rows then get the sum of the ranges before it. So a
+    Values must be distinct within `by`, and numeric. Approximate quantiles cut them into ranges of
+    about range_rows rows, of which each is ordered by itself; a range's rows then get the sum of the ranges before it. So a
     task holds a range, and one task the sums of all ranges of a group.
     """
-    steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-    cuts = sorted(set(df.agg(F.percentile_approx(value, steps, 1000).alias("q")).first()["q"] or []))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.col(value) > F.lit(c)).cast("int")
+    steps = F.array(*(F.lit(i / MOST_RANGES) for i in range(1, MOST_RANGES)))
+    found = df.agg(F.percentile_approx(value, steps, 4 * MOST_RANGES).alias("q"), F.count(value).alias("n")).first()
+    ranges = min(MOST_RANGES, -(-found["n"] // range_rows) or 1)
+    cuts = sorted({found["q"][i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
+    if not cuts:  # one range
+        upto = Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *(F.sum(F.col(c) if isinstance(c, str) else c).over(upto).alias(n) for n, c in sums.items()))
+    place = _range_of(F.col(value), cuts, 0)
     marked = df.withColumns({"_range": -place if descending else place, **{f"_x_{n}": F.col(c) if isinstance(c, str) else c for n, c in sums.items()}})
     totals = marked.groupBy(*by, "_range").agg(*(F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

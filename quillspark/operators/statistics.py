@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +73,31 @@ def decision_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str
 def best_threshold(df: DataFrame, truth: str, score: str, grid: int = 200, low: float = 0.01, high: float = 0.999) -> DataFrame:
     """One row (threshold, f1_macro): the first of the distinct score quantiles that maximises macro-F1.
 
-    The quantiles are exact; each candidate's confusion counts come from the cumulated score curve,
-    so rows are read twice however fine the grid is.
+    A quantile lies between two rows in order, so between two neighbouring scores of the cumulated curve (or on
+    one). Each score tells by its place which quantiles it bounds, and brings its counts along: the curve is
+    never compared with all thresholds. The result is null for no rows.
     """
-    steps = [low + (high - low) * i / (grid - 1) for i in range(grid)]
-    quantiles = df.agg(F.percentile(score, F.array(*map(F.lit, steps))).alias("q")).select(F.explode(F.array_distinct("q")).alias("threshold"))
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth)).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
-    at = counts.crossJoin(F.broadcast(quantiles))  # at most `grid` thresholds
-    sums = at.groupBy("threshold").agg(*(F.sum(F.when(c, F.col(v)).otherwise(0)).alias(n) for n, c, v in (("tp", F.col("s") >= F.col("threshold"), "pos"), ("fp", F.col("s") >= F.col("threshold"), "neg"), ("fn", F.col("s") < F.col("threshold"), "pos"), ("tn", F.col("s") < F.col("threshold"), "neg"))))
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    known = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    counts = known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth)).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
+    curve = group_totals(running_sums(counts, "s", {"pos_upto": "pos", "neg_upto": "neg"}), {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
+    last = F.col("n_pos") + F.col("n_neg") - 1
+    step = (high - low) / max(1, grid - 1)
+    place = lambda i: last * (low + step * i)
+    upto = F.col("pos_upto") + F.col("neg_upto")
+    first = upto - F.col("pos") - F.col("neg")
+    near = lambda at, more: F.least(F.greatest(F.floor((at / F.nullif(last, F.lit(0)) - low) / step) + more, F.lit(0)), F.lit(grid - 1)).cast("int")
+    steps = F.sequence(F.coalesce(near(first - 1, -1), F.lit(0)), F.coalesce(near(upto, 2), F.lit(grid - 1)))
+    bounds = curve.select("*", F.explode(steps).alias("i"))
+    below, above = F.floor(place(F.col("i"))), F.ceil(place(F.col("i")))
+    is_low, is_high = (below >= first) & (below < upto), (above >= first) & (above < upto)
+    at = F.struct("s", (F.col("n_pos") - F.col("pos_upto") + F.col("pos")).alias("tp"), (F.col("n_neg") - F.col("neg_upto") + F.col("neg")).alias("fp"))
+    pairs = bounds.where(is_low | is_high).groupBy("i").agg(F.max(F.when(is_low, at)).alias("lo"), F.max(F.when(is_high, at)).alias("hi"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+    exact = place(F.col("i"))
+    threshold = F.col("lo.s") + (exact - F.floor(exact)) * (F.col("hi.s") - F.col("lo.s"))
+    sums = pairs.withColumn("threshold", threshold)
+    side = F.when(F.col("threshold") <= F.col("lo.s"), F.col("lo")).otherwise(F.col("hi"))
+    tp, fp = side["tp"], side["fp"]
+    fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
     f1 = (_ratio(2 * tp, 2 * tp + fp + fn) + _ratio(2 * tn, 2 * tn + fp + fn)) / 2
     return sums.withColumn("f1_macro", F.round(f1, 12)).agg(F.max_by("threshold", F.struct("f1_macro", -F.col("threshold"))).alias("threshold"), F.max("f1_macro").alias("f1_macro"))
 
@@ -133,50 +147,6 @@ def equal_bins(df: DataFrame, candidates: Sequence[str]) -> list[str]:
     return out
 
 
-def average_precision(truth: np.ndarray, score: np.ndarray, weight: np.ndarray) -> float:
-    """Step-sum average precision of weighted rows; NaN without positives."""
-    order = np.argsort(-score, kind="stable")
-    s, pos, all_ = score[order], (truth * weight)[order], weight[order]
-    last = np.append(s[1:] != s[:-1], True)
-    tp, n = np.cumsum(pos)[last], np.cumsum(all_)[last]
-    if not len(tp) or tp[-1] == 0:
-        return float("nan")
-    return float(np.sum(np.diff(np.append(0, tp)) / tp[-1] * tp / np.maximum(n, 1)))
-
-
-#: Rows that a paired bootstrap may hold in each worker.
-BOOTSTRAP_ROWS = 2_000_000
-
-
-def paired_bootstrap(df: DataFrame, truth: str, a: str, b: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
-    """One row (delta, low, high, excludes_0): AP(b) - AP(a) and its 95 % interval from paired resamples.
-
-    Each round's resample is drawn in a worker from a broadcast of the three columns, which may have
-    at most BOOTSTRAP_ROWS rows (else ValueError); the round's number seeds it.
-    """
-    rows = df.select(truth, a, b).na.drop().limit(BOOTSTRAP_ROWS + 1).toPandas()
-    if len(rows) > BOOTSTRAP_ROWS:
-        raise ValueError(f"over {BOOTSTRAP_ROWS} rows")
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(tuple(rows[c].to_numpy(dtype=float) for c in (truth, a, b)))
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, sa, sb = held.value
-        for batch in batches:
-            deltas = []
-            for i in batch["id"]:
-                draw = np.random.default_rng([seed, int(i)]).integers(0, len(y), len(y)) if len(y) else np.zeros(0, int)
-                w = np.bincount(draw, minlength=len(y)).astype(float)
-                deltas.append(average_precision(y, sb, w) - average_precision(y, sa, w))
-            yield pd.DataFrame({"delta": deltas})
-
-    drawn = spark.range(rounds).mapInPandas(resample, "delta double").where(~F.isnan("delta"))
-    y, sa, sb = held.value
-    point = average_precision(y, sb, np.ones(len(y))) - average_precision(y, sa, np.ones(len(y)))
-    out = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return out.select(F.lit(point).alias("delta"), F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high")).withColumn("excludes_0", (F.col("low") > 0) | (F.col("high") < 0))
-
-
 def claim_table(claims: DataFrame, computed: DataFrame) -> DataFrame:
     """claims(claim, published, decimals) with the recomputed value and whether they agree at those decimals."""
     scale = F.pow(F.lit(10.0), F.col("decimals"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import labels, text
-from quillspark.operators import reports, sampling, statistics, terms
+from quillspark.operators import bootstrap, reports, sampling, statistics, terms
 from quillspark.plans.registry import query
-from quillspark.plans.roles import CLEAN, D, G, P, R, TOXIC, VALID, games, labelled, profiles, reviews, table
+from quillspark.plans.roles import CLEAN, D, G, P, R, TOXIC, VALID, games, labelled, profiles, reviews, table, bootstrap_sql
 
 
 def _labelled_reviews(spark, d):
@@ -334,10 +334,10 @@ def _(spark, d):
     return out.select(F.round("threshold", 6).alias("threshold"), F.round("f1_macro", 6).alias("f1_macro"))
 
 
-@query("sta_12_paired_bootstrap")
+@query("sta_12_paired_bootstrap", bootstrap_sql("SELECT doc_id AS k, toxic AS y, (doc_id % 17) / 17 AS a, (doc_id % 13) / 13 + toxic AS b FROM labels", rounds=50, seed=7))
 def _(spark, d):
-    s = table(spark, d, "labels").select("toxic", (F.col("doc_id") % 17 / 17).alias("a"), (F.col("doc_id") % 13 / 13 + F.col("toxic")).alias("b"))
-    return statistics.paired_bootstrap(s, "toxic", "a", "b", rounds=200)
+    s = table(spark, d, "labels").select("doc_id", "toxic", (F.col("doc_id") % 17 / 17).alias("a"), (F.col("doc_id") % 13 / 13 + F.col("toxic")).alias("b"))
+    return bootstrap.paired_bootstrap(s, "doc_id", "toxic", "a", "b", rounds=50).select(*(F.round(c, 6).alias(c) for c in ("delta", "low", "high")), "excludes_0")
 
 
 @query("sta_16_self_preference", "WITH j AS (SELECT l_returnflag AS generator, CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS judge, l_quantity AS s FROM lineitem) SELECT judge, round(avg(s) FILTER (WHERE judge = generator), 6) AS own, round(avg(s) FILTER (WHERE judge <> generator), 6) AS others, round(avg(s) FILTER (WHERE judge = generator) - avg(s) FILTER (WHERE judge <> generator), 6) AS bias FROM j GROUP BY 1")

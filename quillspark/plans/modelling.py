@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import hashing, labels, parsing
-from quillspark.operators import features, inference, models, sampling, statistics
+from quillspark.operators import bootstrap, features, inference, language, models, sampling, statistics
 from quillspark.plans.registry import query
 from quillspark.plans.roles import MD5, P, R, TOXIC, profiles, reviews, table
 from quillspark.sources.staging import shared_path
@@ -124,6 +124,38 @@ def _(spark, d):
     return found.groupBy("lang", "review_lang").agg(F.count("*").alias("n"))
 
 
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(coalesce(text, ''), 2000), 'http\S+|www\.\S+', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '[0-9_]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_GRAMS = "list_filter(flatten([[substr(' ' || word || ' ', i, k) FOR i IN range(1, length(word) + 4 - k)] FOR k IN [1, 2, 3]]), lambda x: length(x) > 0)"
+#: Log-probabilities of n-grams by language, as fitted on the documents that aren't held out, and their sums over each text.
+_FITTED_LANGUAGE = f"""
+WITH c AS (SELECT doc_id, lang, {MD5.format('doc_id::VARCHAR')} % 5 = 0 AS held_out, {_CLEAN} AS c FROM documents),
+w AS (SELECT doc_id, lang, held_out, unnest(string_split(lower(c), ' ')) AS word FROM c WHERE length(c) >= 20),
+l AS (SELECT DISTINCT lang FROM c WHERE lang IS NOT NULL AND NOT held_out),
+g AS (SELECT lang, unnest({_GRAMS}) AS gram FROM w WHERE lang IS NOT NULL AND NOT held_out),
+n AS (SELECT gram, lang, count(*) AS n FROM g GROUP BY 1, 2),
+kept AS (SELECT gram FROM n GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT {language.MOST_GRAMS}),
+t AS (SELECT lang, sum(n) AS t FROM n JOIN kept USING (gram) GROUP BY 1),
+m AS (SELECT kept.gram, l.lang, round(1000 * ln((coalesce(n, 0) + 0.5) / (t + 0.5 * (SELECT count(*) FROM kept))))::BIGINT AS s FROM kept CROSS JOIN l JOIN t ON t.lang = l.lang LEFT JOIN n ON n.gram = kept.gram AND n.lang = l.lang),
+d AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM w),
+f AS (SELECT doc_id, gram, count(*) AS n FROM d GROUP BY 1, 2),
+s AS (SELECT doc_id, m.lang, sum(f.n * s)::BIGINT AS s FROM f JOIN m USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, first(lang ORDER BY s DESC, lang) AS review_lang, max(s) AS best FROM s GROUP BY 1),
+p AS (SELECT doc_id, any_value(review_lang) AS review_lang, 1 / sum(exp((s - best) / 1000.0)) AS confidence FROM s JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, coalesce(review_lang, 'und') AS review_lang, round(coalesce(confidence, 0), 5) AS detection_confidence, held_out FROM c LEFT JOIN p USING (doc_id)
+"""
+
+
+@query("udf_01_02_fitted_language", _FITTED_LANGUAGE)
+def _(spark, d):
+    """Fitted on four fifths of the documents by the md5 of their ids, applied to all."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = hashing.md5_bucket(F.col("doc_id"), 5) == 0
+    path = shared_path(spark, "languages")
+    language.fit(docs.where(~held_out), "text", "lang").save(path)
+    found = language.detect(docs, "doc_id", "text", language.LanguageModel.load(spark, path))
+    return found.select("doc_id", "review_lang", F.round("detection_confidence", 5).alias("detection_confidence"), held_out.alias("held_out"))
+
+
 @query("udf_01_detection_gate", r"SELECT count(*) AS n, count(*) FILTER (WHERE length(c) < 20) AS n_short FROM (SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 2000), 'http\S+|www\.\S+', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '[0-9_]+', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM documents)")
 def _(spark, d):
     from quillspark.functions.text import for_detection
@@ -208,7 +240,7 @@ def _(spark, d):
     data = sampling.folds(models.clean_population(users), "y", "user_key", 2)
     a = models.out_of_fold(data, "user_key", "y", "fold", "logreg", ["x0", "x1"]).select("user_key", "y", F.col("score").alias("a"))
     b = models.out_of_fold(data, "user_key", "y", "fold", "logreg", [], vector="embedding").select("user_key", F.col("score").alias("b"))
-    return statistics.paired_bootstrap(a.join(b, "user_key"), "y", "a", "b", rounds=100)
+    return bootstrap.paired_bootstrap(a.join(b, "user_key"), "user_key", "y", "a", "b", rounds=100)
 
 
 @query("smp_10_capped_training", f"WITH f AS (SELECT (row_number() OVER (PARTITION BY label < 4 ORDER BY {MD5.format('vec_id::VARCHAR')}) - 1) % 2 AS fold FROM embeddings) SELECT fold::INT AS fold, count(*) AS n FROM f GROUP BY 1")

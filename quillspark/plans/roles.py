@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import bootstrap
+
 #: Reviews are line items: scores are rescaled, with missing and invalid ones, and keys repeat.
 REVIEW_COLUMNS = (
     "concat(l_orderkey, '-', l_linenumber) AS review_url",
@@ -40,6 +42,27 @@ D = "d AS (SELECT doc_id, text, lang, source, toxic FROM documents JOIN labels U
 CLEAN = r"trim(regexp_replace(regexp_replace(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'http\S+|www\.\S+', ' ', 'g'), '(?i)AN[AÁ]LISE DE ACESSO ANTECIPADO', ' ', 'g'), '(?i)produto recebido de gra[cç]a', ' ', 'g'), '(?i)produto reembolsado', ' ', 'g')), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def bootstrap_sql(rows: str, rounds: int, seed: int, each: bool = False) -> str:
+    """Average precisions of a and b in Poisson resamples of rows(k, y, a, b): each round's, or their difference with its interval."""
+    whole = "18446744073709551616::UHUGEINT"
+    mix = lambda x, shift, by: f"((xor({x}, {x} >> {shift})::UHUGEINT * {by}::UHUGEINT) % {whole})::UBIGINT"
+    weight = " + ".join(f"(u >= {t})::BIGINT" for t in bootstrap.POISSON)
+    curve = lambda s: f"SELECT r, sum(pos / nullif(n_pos, 0) * tp / greatest(n, 1)) AS ap FROM (SELECT r, pos, sum(pos) OVER (PARTITION BY r) AS n_pos, sum(pos) OVER w AS tp, sum(all_) OVER w AS n FROM (SELECT r, {s} AS s, sum(w * y) AS pos, sum(w) AS all_ FROM w GROUP BY 1, 2) WINDOW w AS (PARTITION BY r ORDER BY s DESC)) GROUP BY 1"
+    head = f"""
+WITH rows_ AS ({rows}),
+x0 AS (SELECT *, (({MD5.format(f"k::VARCHAR || '{seed}'")}::UHUGEINT + (r + 1)::UHUGEINT * {bootstrap.STEP}::UHUGEINT) % {whole})::UBIGINT AS x FROM rows_ CROSS JOIN range({rounds}) t(r)),
+x1 AS (SELECT * REPLACE ({mix("x", 30, bootstrap.FIRST)} AS x) FROM x0),
+x2 AS (SELECT * REPLACE ({mix("x", 27, bootstrap.SECOND)} AS x) FROM x1),
+x3 AS (SELECT r, y, a, b, xor(x, x >> 31) >> 32 AS u FROM x2),
+w AS (SELECT r, y, a, b, ({weight}) AS w FROM x3 UNION ALL SELECT -1, y, a, b, 1 FROM rows_),
+p AS (SELECT r, p.ap AS ap_a, q.ap AS ap_b FROM ({curve("a")}) p JOIN ({curve("b")}) q USING (r) JOIN (SELECT r FROM w GROUP BY 1 HAVING sum(w * y) BETWEEN 1 AND sum(w) - 1) USING (r))
+"""
+    if each:
+        return head + "SELECT r::INT AS round, round(ap_a, 6) AS ap_a, round(ap_b, 6) AS ap_b FROM p WHERE r >= 0"
+    return head + """, q AS (SELECT quantile_cont(ap_b - ap_a, [0.025, 0.975]) FILTER (WHERE r >= 0) AS q, max(ap_b - ap_a) FILTER (WHERE r < 0) AS delta FROM p)
+SELECT round(delta, 6) AS delta, round(q[1], 6) AS low, round(q[2], 6) AS high, q[1] > 0 OR q[2] < 0 AS excludes_0 FROM q"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

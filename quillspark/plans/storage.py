@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import labels, text
-from quillspark.operators import models, sampling, statistics
+from quillspark.operators import bootstrap, models, sampling, statistics
 from quillspark.plans.registry import query
-from quillspark.plans.roles import G, MD5, R, TOXIC, games, reviews, table
+from quillspark.plans.roles import G, MD5, R, TOXIC, bootstrap_sql, games, reviews, table
 from quillspark.sources import readers, writers
 from quillspark.sources.staging import shared_path
 
@@ -166,10 +166,11 @@ def _(spark, d):
     return out.select(F.round("threshold", 6).alias("threshold"), F.round("f1_macro", 6).alias("f1_macro"))
 
 
-@query("smp_07_resamples")
+@query("smp_07_resamples", bootstrap_sql("SELECT doc_id AS k, toxic AS y, doc_id % 7 AS a, doc_id % 11 + toxic AS b FROM labels", rounds=20, seed=3, each=True))
 def _(spark, d):
-    y = table(spark, d, "labels").select("toxic", (F.col("doc_id") % 7).cast("double").alias("a"), (F.col("doc_id") % 11 + F.col("toxic")).cast("double").alias("b"))
-    return statistics.paired_bootstrap(y, "toxic", "a", "b", rounds=100, seed=3)
+    y = table(spark, d, "labels").select("doc_id", "toxic", (F.col("doc_id") % 7).cast("double").alias("a"), (F.col("doc_id") % 11 + F.col("toxic")).cast("double").alias("b"))
+    drawn = bootstrap.bootstrap_rounds(y, "doc_id", "toxic", "a", "b", rounds=20, seed=3)
+    return drawn.select("round", F.round("ap_a", 6).alias("ap_a"), F.round("ap_b", 6).alias("ap_b"))
 
 
 @query("ml_08_scores", "SELECT count(*) AS n, 0::BIGINT AS n_missing FROM embeddings")
