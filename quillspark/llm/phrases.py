@@ -6,9 +6,9 @@ are written in order, path by path. Merging deals them in ranges of paths, so eq
 meet and a prefix stands before what it begins: walking a range then yields the counts of all first
 parts. Counts of the rests come through suffix links (a path without its first word), depth by depth.
 
-Before, one pass counts pairs of neighbouring words in hashed cells. A pair in a cell of too few can't
-be part of a phrase that is frequent enough, so windows end there: this loses no phrase, and the table of
-cells has the same size for any input.
+Before, one pass counts words, pairs and triples of neighbouring words in hashed cells. What lies in a cell
+of too few can't be part of a phrase that is frequent enough, so windows end there: this loses no phrase, and
+the table of cells has the same size for any input.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from quillspark.llm._common import small_batches, staged
 #: Words in a candidate; its least count; a phrase is judged by its cut of the lowest score.
 DEPTH, LEAST = 5, 100
 #: Words of which a worker builds a trie at once.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 4_000_000
 #: Bytes of a text that are split into words at once (more, to the end of a word).
 SLICE_BYTES = 1 << 20
-#: Bits of a pair's cell, and of the part of it that one packed row holds.
-CELL_BITS, PART_BITS = 24, 12
+#: Words that are counted together in cells; bits of a cell, and of the part of it that one packed row holds.
+RUNS, CELL_BITS, PART_BITS = 3, 26, 14
 #: Rows of documents that a Python worker gets at once.
 ROWS = 200
 
@@ -121,30 +121,34 @@ def _shards(batches: Iterator[pa.RecordBatch], reach: int, size: int) -> Iterato
     yield from flush(0)
 
 
-def _cells(lang: str, words: list[bytes], stream: np.ndarray) -> np.ndarray:
-    """The cell of each word with its next one."""
+def _cells(lang: str, words: list[bytes], stream: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, inside a piece) of the runs of one, two and three words at each start that has so many after it."""
     own = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint64, count=len(words))
     own = np.append(np.uint64(0), own)[stream]
-    mixed = own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:] + np.uint64(zlib.crc32(lang.encode()))
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
-
-
-def _count_pairs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, n, part, cells, counts): words of each language, and packed counts of pairs by cell, up to `least`."""
+    held = np.full(len(stream), zlib.crc32(lang.encode()), dtype=np.uint64)
+    inside = np.ones(len(stream), dtype=bool)
+    for k in range(RUNS):
+        n = max(0, len(stream) - k)
+        held = held[:n] * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n] + np.uint64(1)
+        inside = inside[:n] & (stream[k : k + n] > 0)
+        mixed = held ^ (held >> np.uint64(29))
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        yield (mixed >> np.uint64(64 - CELL_BITS)).astype(np.uint32), inside
+
+
+def _count_runs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, n, part, cells, counts): words of each language, and packed counts of runs by cell, up to `least`."""
+    kind = np.min_scalar_type(least)
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, stream, starts in _shards(batches, 1, SHARD_WORDS):
+        for lang, words, stream, starts in _shards(batches, RUNS - 1, SHARD_WORDS):
             n = int(np.count_nonzero(stream[:starts]))
             rows: list[tuple] = [(lang, n, None, None, None)]
-            pairs = (stream[:-1] > 0) & (stream[1:] > 0)
-            pairs[starts:] = False
-            found = np.sort(_cells(lang, words, stream)[pairs]) if len(stream) > 1 else np.zeros(0, np.uint32)
+            found = np.sort(np.concatenate([cells[:starts][inside[:starts]] for cells, inside in _cells(lang, words, stream)]))
             if len(found):
                 first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-                cells, counts = found[first], np.minimum(np.diff(np.append(first, len(found))), least).astype(np.uint32)
+                cells, counts = found[first], np.minimum(np.diff(np.append(first, len(found))), least).astype(kind)
                 parts = cells >> PART_BITS
                 cuts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
                 low = (cells & ((1 << PART_BITS) - 1)).astype(np.uint16)
@@ -158,6 +162,8 @@ def _count_pairs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def _full_cells(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The sums of each part's packed rows, which come next to each other, as a bit for each cell of `least` or more."""
 
+    kind = np.min_scalar_type(least)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, sums = None, np.zeros(1 << PART_BITS, dtype=np.int64)
         done = lambda: pd.DataFrame({"part": [part], "bits": [np.packbits(sums >= least).tobytes()]})
@@ -167,31 +173,40 @@ def _full_cells(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                     if part is not None:
                         yield done()
                     part, sums = p, np.zeros(1 << PART_BITS, dtype=np.int64)
-                sums[np.frombuffer(cells, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
+                sums[np.frombuffer(cells, dtype=np.uint16)] += np.frombuffer(counts, dtype=kind)
         if part is not None:
             yield done()
 
     return run
 
 
-def trie_levels(stream: np.ndarray, starts: int, depth: int, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def trie_levels(stream: np.ndarray, depth: int, full: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(depth, paths, counts) for each depth of the trie of the windows at the starts, paths in order.
 
-    joined tells of each word whether a phrase may go on from it to the next one.
+    full[k] tells of each start whether the k + 1 words there may be part of a phrase; starts are those of full[0].
+    Only starts at which a second word may follow have windows to sort; single words are counted as they are.
     """
-    at = np.flatnonzero(stream[:starts] > 0)
+    counts = np.bincount(stream[np.flatnonzero(full[0])])
+    seen = np.flatnonzero(counts)
+    yield 1, seen.astype(np.int32)[:, None], counts[seen]
+    starts = full[0].copy()
+    starts[: len(full[1])] &= full[1]
+    starts[len(full[1]) :] = False
+    at = np.flatnonzero(starts)
     windows = np.zeros((len(at), depth), dtype=np.int32)
     windows[:, 0] = stream[at]
     long = np.append(stream, np.zeros(depth, stream.dtype))
-    go_on = np.append(joined, np.zeros(depth, bool))
+    padded = [np.append(f, np.zeros(depth + len(stream) - len(f), bool)) for f in full]
     open_ = np.ones(len(at), dtype=bool)
     for d in range(1, depth):
-        open_ &= go_on[at + d - 1]
+        for k in range(1, min(d + 1, len(padded))):  # the runs that end with this word
+            open_ &= padded[k][at + d - k]
         windows[:, d] = np.where(open_, long[at + d], _END)
     windows = windows[np.lexsort(windows.T[::-1])]
     fresh = np.zeros(len(windows), dtype=bool)
     fresh[:1] = True
-    for d in range(depth):
+    fresh[1:] = windows[1:, 0] != windows[:-1, 0]
+    for d in range(1, depth):
         column = windows[:, d]
         fresh[1:] |= column[1:] != column[:-1]
         first = np.flatnonzero(fresh)
@@ -207,12 +222,10 @@ def _serialise(bits: np.ndarray, depth: int) -> Callable[[Iterator[pa.RecordBatc
         for lang, words, stream, starts in _shards(batches, depth - 1, SHARD_WORDS):
             if len(stream) < 1:
                 continue
-            joined = np.zeros(len(stream), dtype=bool)
-            if len(stream) > 1:
-                cells = _cells(lang, words, stream)
-                joined[:-1] = (stream[:-1] > 0) & (stream[1:] > 0) & (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+            full = [inside & (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool) for cells, inside in _cells(lang, words, stream)]
+            full[0][starts:] = False
             named = pa.array(words, type=pa.binary()).cast(pa.string())
-            for d, paths, counts in trie_levels(stream, starts, depth, joined):
+            for d, paths, counts in trie_levels(stream, depth, full):
                 for a in range(0, len(paths), 50_000):
                     part = paths[a : a + 50_000]
                     values = named.take(pa.array(part.ravel() - 1))
@@ -250,11 +263,11 @@ def phrase_counts(docs: DataFrame, *, text: str, lang: str, depth: int = DEPTH,
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
     with small_batches(spark, ROWS):
-        counted = staged(rows.mapInArrow(_count_pairs(least), "lang string, n long, part int, cells binary, counts binary"), "pairs")
+        counted = staged(rows.mapInArrow(_count_runs(least), "lang string, n long, part int, cells binary, counts binary"), "runs")
     bits = np.zeros(1 << CELL_BITS - 3, dtype=np.uint8)
     with small_batches(spark, 100):
         parts = counted.where("part IS NOT NULL").select("part", "cells", "counts").repartition("part").sortWithinPartitions("part")
-        for r in parts.mapInPandas(_full_cells(least), "part int, bits binary").toLocalIterator():  # 2 MB in all, for any input
+        for r in parts.mapInPandas(_full_cells(least), "part int, bits binary").collect():  # 8 MB in all, for any input
             here = np.frombuffer(r["bits"], dtype=np.uint8)
             bits[r["part"] * len(here) : (r["part"] + 1) * len(here)] |= here
     with small_batches(spark, ROWS):
