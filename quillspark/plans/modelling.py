@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import hashing, labels, parsing
-from quillspark.operators import bootstrap, features, inference, language, models, sampling, statistics
+from quillspark.operators import bootstrap, features, inference, language, models, sampling, statistics, toxicity
 from quillspark.plans.registry import query
-from quillspark.plans.roles import MD5, P, R, TOXIC, profiles, reviews, table
+from quillspark.plans.roles import MD5, P, R, TOXIC, labelled, profiles, reviews, table
 from quillspark.sources.staging import shared_path
 from quillspark.streaming import incremental
 
@@ -172,6 +172,15 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(inference.toxicity(F.col("text")), 6).alias("detoxify_score"))
 
 
+@query("scr_01_fitted_toxicity")
+def _(spark, d):
+    """Fitted on four fifths of the labelled documents by the md5 of their ids, saved, read and applied to all documents."""
+    known, path = labelled(spark, d), shared_path(spark, "toxicity")
+    toxicity.fit(known.where(hashing.md5_bucket(F.col("doc_id"), 5) != 0), "doc_id", "text", "toxic").save(path)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return toxicity.ToxicityModel.load(path).transform(docs, "text").select("doc_id", F.round("detoxify_score", 6).alias("detoxify_score"), (hashing.md5_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
+
+
 @query("scr_02_snk_06_07_cached_scores", "SELECT doc_id, CASE WHEN lang = 'en' AND NOT regexp_matches(text, '(?i)license') THEN 0.25 ELSE round(1 - exp(-len(regexp_extract_all(left(trim(text), 1200), '(?i)\\b(idiot|stupid|worthless|pathetic|scum|trash|moron|loser)\\b'))), 6) END::DOUBLE AS detoxify_score FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
