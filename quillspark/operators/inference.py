@@ -160,26 +160,6 @@ def ask(df: DataFrame, prompt: str, system: str, chat: Chat = rule_chat, retries
     return df.withColumn(out, call(F.col(prompt)))
 
 
-def chunk_by_budget(df: DataFrame, order: str, tokens: str, budget: int, group: str) -> DataFrame:
-    """df with `chunk`: rows in order, a new chunk where the next would pass the budget (a sequential rule).
-
-    It runs once for each group, a batch of requests that one task holds.
-    """
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", chunk int"
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).reset_index(drop=True)
-        chunk, used, out = 0, 0, []
-        for i, t in enumerate(rows[tokens]):
-            if i and used + t > budget:
-                chunk, used = chunk + 1, 0
-            used += t
-            out.append(chunk)
-        return rows.assign(chunk=pd.Series(out, dtype="int32"))
-
-    return df.groupBy(group).applyInPandas(deal, schema)
-
-
 def judge_pairs(narratives: DataFrame, judges: Sequence[str], done: DataFrame | None = None) -> DataFrame:
     """Each narrative(user_key, generator) with each judge but its own generator, without the pairs done."""
     each = narratives.withColumn("judge", F.explode(F.array(*map(F.lit, judges)))).where("judge <> generator")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import hashing, labels, parsing
-from quillspark.operators import bootstrap, features, inference, language, models, sampling, statistics, toxicity
+from quillspark.functions import hashing, labels, parsing, text
+from quillspark.operators import bootstrap, buckets, chunking, features, inference, language, models, sampling, semantic, sketches, statistics, terms, toxicity
 from quillspark.plans.registry import query
-from quillspark.plans.roles import MD5, P, R, TOXIC, labelled, profiles, reviews, table
-from quillspark.sources.staging import shared_path
+from quillspark.plans.roles import CLEAN, MD5, P, R, TOXIC, labelled, profiles, reviews, table
+from quillspark.sources import npy
+from quillspark.sources.staging import shared_path, staged
 from quillspark.streaming import incremental
 
 
@@ -195,6 +196,17 @@ def _(spark, d):
     return e.select("doc_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"), places(lambda x: x > 0).alias("positive"), places(lambda x: x < 0).alias("negative"))
 
 
+@query("emb_01_semantic_vectors")
+def _(spark, d):
+    """Latent semantic vectors of all documents; the TF-IDF rows are staged, as every pass reads them."""
+    docs = table(spark, d, "documents").select("doc_id", terms.tokens(text.for_terms(F.col("text")), terms.STOP_WORDS).alias("words"))
+    tf = staged(terms.term_frequencies(docs, "doc_id", "words"), "tf")
+    vocab = staged(terms.vocabulary(terms.term_counts(tf), docs.count(), min_df=5, max_features=20_000), "vocabulary")
+    rows = staged(semantic.sparse_rows(terms.weights(tf, vocab, "doc_id"), vocab, "doc_id"), "rows")
+    model = semantic.fit(rows, vocab.count(), size=32)
+    return model.embed(rows, "doc_id").select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
 @query("llm_01_02_classification", f"WITH s AS (SELECT conv_id, round(100 * (1 - exp(-sum(len(regexp_extract_all(coalesce(text, ''), '{_RUDE}')))))) / 100 AS s FROM conversations GROUP BY 1) SELECT conv_id, (s > 0.5)::INT AS _pred, s::DOUBLE AS _score, -1 AS _worst FROM s")
 def _(spark, d):
     prompts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("prompt"))
@@ -206,7 +218,55 @@ def _(spark, d):
 @query("llm_03_chunks", "WITH RECURSIVE t AS (SELECT c_nationkey AS g, c_custkey AS k, c_custkey % 37 + 1 AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer), w AS (SELECT g, k, n, i, n AS used, 0 AS chunk FROM t WHERE i = 1 UNION ALL SELECT t.g, t.k, t.n, t.i, CASE WHEN w.used + t.n > 60 THEN t.n ELSE w.used + t.n END, CASE WHEN w.used + t.n > 60 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN t ON t.i = w.i + 1 AND t.g = w.g) SELECT g, k, n, chunk FROM w")
 def _(spark, d):
     c = table(spark, d, "customer").selectExpr("c_nationkey AS g", "c_custkey AS k", "c_custkey % 37 + 1 AS n")
-    return inference.chunk_by_budget(c, "k", "n", 60, group="g")
+    return chunking.chunk_by_budget(c, "k", "n", 60, group="g")
+
+
+@query("llm_03_resumed_requests", "SELECT conv_id, turn FROM conversations WHERE turn <> 0")
+def _(spark, d):
+    """Requests of which the first turns are done and the second ones failed once."""
+    requests, path = table(spark, d, "conversations").select("conv_id", "turn"), shared_path(spark, "requests")
+    chunking.record(requests.where("turn < 2"), path, "sent")
+    chunking.record(requests.where("turn = 0"), path, "done")
+    chunking.record(requests.where("turn = 1"), path, "failed")
+    return chunking.outstanding(requests, spark.read.parquet(path), ["conv_id", "turn"])
+
+
+@query("agg_14_15_merged_sketches", "SELECT o_orderstatus, count(*) AS n_rows, true AS near_distinct, true AS near_median FROM orders GROUP BY 1")
+def _(spark, d):
+    """Sketches of three parts, merged, against the exact values: distinct customers within 6 %, the median's rank within 2 %."""
+    o, path = table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_totalprice", (F.col("o_orderkey") % 3).alias("part")), shared_path(spark, "sketches")
+    for p in range(3):
+        sketches.add_part(o.where(F.col("part") == p), path, str(p), ["o_orderstatus"], ["o_custkey"], ["o_totalprice"])
+    merged = sketches.estimates(sketches.merge(spark.read.parquet(path), ["o_orderstatus"]), ["o_orderstatus"], [0.5])
+    joined = o.join(F.broadcast(merged.select(F.col("o_orderstatus").alias("s"), "n_o_custkey", F.get("q_o_totalprice", F.lit(0)).alias("median"))), F.col("o_orderstatus") == F.col("s"))  # a row for each status
+    exact = joined.groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("n"), F.max("n_o_custkey").alias("near"), F.avg((F.col("o_totalprice") <= F.col("median")).cast("int")).alias("rank"))
+    return exact.select("o_orderstatus", "n_rows", (F.abs(F.col("near") / F.col("n") - 1) < 0.06).alias("near_distinct"), (F.abs(F.col("rank") - 0.5) < 0.02 + 1 / F.col("n_rows")).alias("near_median"))
+
+
+@query("ddp_02_jon_05_stored_buckets", "WITH f AS (SELECT o_custkey, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1) SELECT c_nationkey, count(*) AS n, sum(o_orderkey)::BIGINT AS s FROM f JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def _(spark, d):
+    """Orders and customers stored in buckets by customer: the dearest order of each, joined without an exchange."""
+    import uuid
+
+    tag = uuid.uuid4().hex
+    o = buckets.store(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), f"orders_{tag}", "c_custkey", 8, shared_path(spark, "orders"))
+    c = buckets.store(table(spark, d, "customer").select("c_custkey", "c_nationkey"), f"customers_{tag}", "c_custkey", 8, shared_path(spark, "customers"))
+    first = buckets.keep_first(o, "c_custkey", [-F.col("o_totalprice"), F.col("o_orderkey")])
+    return first.join(c, "c_custkey").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@query("src_17_npy_vectors", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def _(spark, d):
+    """Vectors written as .npy files beside an index of keys, and read by file and row."""
+    path = shared_path(spark, "npy")
+    index = staged(npy.write_npy(table(spark, d, "embeddings"), "vec_id", "embedding", path), "index")
+    files = sorted(r["file"] for r in index.select("file").distinct().collect())  # a file for each partition
+    out = None
+    for f in files:
+        part = npy.read_npy(spark, f).withColumn("file", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    found = index.join(out, ["file", "row"])
+    return found.select("vec_id", F.size("vector").cast("long").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 @query("llm_04_curated_cells", f"WITH {R}, s AS (SELECT review_url, game_id, hours_played, CASE WHEN {TOXIC} = 1 AND hours_played > 40000 THEN 'TP' WHEN {TOXIC} = 0 AND hours_played > 40000 THEN 'FP' WHEN {TOXIC} = 1 THEN 'FN' ELSE 'TN' END AS cell FROM r) SELECT cell, review_url, game_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY hours_played DESC, review_url, game_id) AS rank FROM s) WHERE rank <= 3")
@@ -258,13 +318,17 @@ def _(spark, d):
     return models.out_of_fold(data, "user_key", "y", "fold", "logreg", ["x0", "x1"], train_cap=100).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query("snk_13_saved_vocabulary", "SELECT count(*) AS n_terms, 3::BIGINT AS n_docs FROM (SELECT unnest(['a', 'b']))")
+@query("snk_13_saved_vocabulary", f"WITH w AS (SELECT doc_id, unnest(list_filter(string_split({CLEAN}, ' '), lambda t: length(t) >= 2)) AS term FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM t GROUP BY 1), k AS (SELECT term, tf, df FROM v, n WHERE df >= 5 AND df <= 0.8 * n ORDER BY tf DESC, term LIMIT 5000) SELECT term, row_number() OVER (ORDER BY term)::INT - 1 AS idx, tf, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf, n AS n_docs FROM k, n")
 def _(spark, d):
+    """The vocabulary of all documents, saved with their number and read again."""
     from quillspark.sources import writers
 
     path = shared_path(spark, "vocabulary")
-    writers.vocabulary(spark.createDataFrame([("a", 0), ("b", 1)], "term string, idx int"), 3, path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n_terms"), F.max("n_docs").cast("long").alias("n_docs"))
+    docs = table(spark, d, "documents").select("doc_id", terms.tokens(text.for_terms(F.col("text")), ()).alias("words"))
+    vocab = terms.vocabulary(terms.term_counts(terms.term_frequencies(docs, "doc_id", "words")), n := docs.count(), min_df=5, max_features=5000)
+    writers.vocabulary(vocab, n, path)
+    saved = spark.read.parquet(path)
+    return saved.select("term", F.col("idx").cast("int").alias("idx"), "tf", "df", F.round("idf", 6).alias("idf"), F.col("n_docs").cast("long").alias("n_docs"))
 
 
 @query("udf_04_snk_05_parts", "SELECT o_orderstatus AS part_name, count(*) AS n FROM orders GROUP BY 1")

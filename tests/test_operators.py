@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dedup, features, inference, models, reports, sampling, statistics, terms
+from quillspark.operators import chunking, dedup, features, inference, models, reports, sampling, statistics, terms
 from quillspark.sources import readers, writers
 from quillspark.streaming import incremental
 
@@ -234,7 +234,7 @@ def test_ingestion_adds_only_new_files(spark, tmp_path):
 
 def test_chunks_follow_the_budget(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([50, 20, 60, 10, 100])], "i int, t int")
-    assert [r["chunk"] for r in inference.chunk_by_budget(df.withColumn("g", F.lit(1)), "i", "t", 70, "g").orderBy("i").collect()] == [0, 0, 1, 1, 2]
+    assert [r["chunk"] for r in chunking.chunk_by_budget(df.withColumn("g", F.lit(1)), "i", "t", 70, "g").orderBy("i").collect()] == [0, 0, 1, 1, 2]
 
 
 @pytest.mark.parametrize("descending", [False, True])
