@@ -6,7 +6,7 @@ are written in order, path by path. Merging deals them in ranges of paths, so eq
 meet and a prefix stands before what it begins: walking a range then yields the counts of all first
 parts. Counts of the rests come through suffix links (a path without its first word), depth by depth.
 
-Before, one pass counts words, pairs and triples of neighbouring words in hashed cells. What lies in a cell
+Before, one pass counts runs of one to four words in hashed cells. What lies in a cell
 of too few can't be part of a phrase that is frequent enough, so windows end there: this loses no phrase, and
 the table of cells has the same size for any input.
 """
@@ -28,12 +28,12 @@ from quillspark.llm._common import small_batches, staged
 
 #: Words in a candidate; its least count; a phrase is judged by its cut of the lowest score.
 DEPTH, LEAST = 5, 100
-#: Words of which a worker builds a trie at once.
-SHARD_WORDS = 4_000_000
+#: Words that a worker counts in cells, and of which it builds a trie, at once; words whose cells are looked up at once.
+COUNT_WORDS, SHARD_WORDS, LOOKUP_WORDS = 2_000_000, 8_000_000, 1_000_000
 #: Bytes of a text that are split into words at once (more, to the end of a word).
 SLICE_BYTES = 1 << 20
 #: Words that are counted together in cells; bits of a cell, and of the part of it that one packed row holds.
-RUNS, CELL_BITS, PART_BITS = 3, 26, 14
+RUNS, CELL_BITS, PART_BITS = 4, 26, 14
 #: Rows of documents that a Python worker gets at once.
 ROWS = 200
 
@@ -122,7 +122,7 @@ def _shards(batches: Iterator[pa.RecordBatch], reach: int, size: int) -> Iterato
 
 
 def _cells(lang: str, words: list[bytes], stream: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cells, inside a piece) of the runs of one, two and three words at each start that has so many after it."""
+    """(cells, inside a piece) of the runs of one to RUNS words at each start that has so many after it."""
     own = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint64, count=len(words))
     own = np.append(np.uint64(0), own)[stream]
     held = np.full(len(stream), zlib.crc32(lang.encode()), dtype=np.uint64)
@@ -142,7 +142,7 @@ def _count_runs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, stream, starts in _shards(batches, RUNS - 1, SHARD_WORDS):
+        for lang, words, stream, starts in _shards(batches, RUNS - 1, COUNT_WORDS):
             n = int(np.count_nonzero(stream[:starts]))
             rows: list[tuple] = [(lang, n, None, None, None)]
             found = np.sort(np.concatenate([cells[:starts][inside[:starts]] for cells, inside in _cells(lang, words, stream)]))
@@ -180,6 +180,17 @@ def _full_cells(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
+def _full_runs(lang: str, words: list[bytes], stream: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """Whether the runs of one to RUNS words at each start lie in full cells, looked up a part of the stream at a time."""
+    full = [np.zeros(len(stream), dtype=bool) for _ in range(RUNS)]
+    for a in range(0, len(stream), LOOKUP_WORDS):
+        part = stream[a : a + LOOKUP_WORDS + RUNS - 1]
+        for k, (cells, inside) in enumerate(_cells(lang, words, part)):
+            n = min(len(cells), LOOKUP_WORDS)
+            full[k][a : a + n] = inside[:n] & (bits[cells[:n] >> 3] >> (7 - (cells[:n] & 7)).astype(np.uint8) & 1).astype(bool)
+    return full
+
+
 def trie_levels(stream: np.ndarray, depth: int, full: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(depth, paths, counts) for each depth of the trie of the windows at the starts, paths in order.
 
@@ -189,14 +200,11 @@ def trie_levels(stream: np.ndarray, depth: int, full: list[np.ndarray]) -> Itera
     counts = np.bincount(stream[np.flatnonzero(full[0])])
     seen = np.flatnonzero(counts)
     yield 1, seen.astype(np.int32)[:, None], counts[seen]
-    starts = full[0].copy()
-    starts[: len(full[1])] &= full[1]
-    starts[len(full[1]) :] = False
-    at = np.flatnonzero(starts)
+    at = np.flatnonzero(full[0] & full[1])
     windows = np.zeros((len(at), depth), dtype=np.int32)
     windows[:, 0] = stream[at]
     long = np.append(stream, np.zeros(depth, stream.dtype))
-    padded = [np.append(f, np.zeros(depth + len(stream) - len(f), bool)) for f in full]
+    padded = [np.append(f, np.zeros(depth, bool)) for f in full]
     open_ = np.ones(len(at), dtype=bool)
     for d in range(1, depth):
         for k in range(1, min(d + 1, len(padded))):  # the runs that end with this word
@@ -222,7 +230,7 @@ def _serialise(bits: np.ndarray, depth: int) -> Callable[[Iterator[pa.RecordBatc
         for lang, words, stream, starts in _shards(batches, depth - 1, SHARD_WORDS):
             if len(stream) < 1:
                 continue
-            full = [inside & (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool) for cells, inside in _cells(lang, words, stream)]
+            full = _full_runs(lang, words, stream, bits)
             full[0][starts:] = False
             named = pa.array(words, type=pa.binary()).cast(pa.string())
             for d, paths, counts in trie_levels(stream, depth, full):

@@ -51,6 +51,8 @@ def texts():
 @pytest.mark.parametrize(("shard", "slice_", "files"), [(1_000_000, 1 << 20, 1), (40, 16, 6), (7, 3, 3)])
 def test_collocations_against_brute_force(spark, monkeypatch, texts, shard, slice_, files):
     monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
+    monkeypatch.setattr(phrases, "COUNT_WORDS", shard)
+    monkeypatch.setattr(phrases, "LOOKUP_WORDS", max(5, shard // 3))
     monkeypatch.setattr(phrases, "SLICE_BYTES", slice_)
     docs = spark.createDataFrame(texts, "text string, lang string").repartition(files)
     got = sorted(tuple(r) for r in phrases.collocations(docs, least=4).collect())
