@@ -56,16 +56,17 @@ def iso_date(text: Column, fmt: str = "yyyy-MM-dd") -> Column:
     return F.date_format(F.try_to_date(text, fmt), "yyyy-MM-dd")
 
 
+#: Fixed value: how a date reads, anywhere in a lower-case text.
+DAY_MONTH_YEAR = r"([0-9]{1,2}) de ([\p{L}\p{N}_]+) de ([0-9]{4})"
+
+
 def portuguese_date(text: Column) -> Column:
-    """The ISO date of "16 de maio de 2022" in any case; null if it isn't one, as with 31 February.
-
-    The text is taken apart at white space: a day, a month's name and a year with "de" between.
-    """
-    word = lambda i: F.get(F.split(F.lower(F.trim(text)), r"\s+"), F.lit(i))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), word(2))
-    shaped = (word(1) == "de") & (word(3) == "de") & (F.length(word(4)) == 4) & (month > 0)
-    day = F.try_to_date(F.concat_ws("-", word(4), month.cast("string"), word(0)), "y-M-d")
-    return F.when(shaped, F.date_format(day, "yyyy-MM-dd"))
+    """The ISO date of the first "16 de maio de 2022" in a text, in any case; null if that is no date, as 31 February."""
+    low = F.lower(text)
+    day, name, year = (F.regexp_extract(low, DAY_MONTH_YEAR, i) for i in (1, 2, 3))
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0))
+    found = F.try_to_date(F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"), day), "y-M-d")
+    return F.date_format(found, "yyyy-MM-dd")
 
 
 def profile_id(url: Column) -> Column:

@@ -49,6 +49,13 @@ REVIEW_ROLES = {
     "g_violent": "gray",
     "g_comedy": "gray",
     "g_review_bombing": "gray",
+    "len_chars": "feature",
+    "len_words": "feature",
+    "caps_ratio": "feature",
+    "upper_word_count": "feature",
+    "rrun_count": "feature",
+    "excl_count": "feature",
+    "ques_count": "feature",
 }
 #: The same for columns of users.
 USER_ROLES = {
@@ -61,6 +68,34 @@ USER_ROLES = {
     "country_is_brazil": "gray",
     "has_ban": "gray",
     "ban_recency_days": "gray",
+    "y_count": "label",
+    "y_rate": "label",
+    "rate_pop": "meta",
+    "n_reviews": "feature",
+    "n_distinct_games": "feature",
+    "pct_recommended": "feature",
+    "hours_med": "feature",
+    "hours_p90": "feature",
+    "hours_total": "feature",
+    "tenure_days": "feature",
+    "days_since_last_review": "feature",
+    "pct_competitive": "feature",
+    "pct_violent": "feature",
+    "pct_comedy": "feature",
+    "reviews_per_year": "feature",
+    "profile_level": "feature",
+    "profile_level_missing": "feature",
+    "library_size": "feature",
+    "library_size_missing": "feature",
+    "awards": "feature",
+    "insignias": "feature",
+    "screenshots": "feature",
+    "workshop_items": "feature",
+    "guides": "feature",
+    "arts": "feature",
+    "groups": "feature",
+    "n_review_langs": "feature",
+    "profile_visibility": "feature",
 }
 
 
@@ -77,7 +112,8 @@ def resolve_reviews(reviews: DataFrame, users: DataFrame, games: DataFrame, gold
 
     reviews has review_url, user_url, game_id, review_text, is_recommended, hours_played, review_date,
     perspective_score, toxicity; users has steam_id; games has game_id, popular_tags,
-    has_review_bombing; gold has review_url, y_review_gold. Dates that don't parse count as last.
+    has_review_bombing; gold has review_url, y_review_gold. Dates that don't parse count as last. The result has
+    the columns of REVIEW_ROLES alone: addresses and raw forms of what it holds go.
     """
     dated = reviews.withColumn("review_dt", F.col("review_date").cast("string").try_cast("date"))
     first = keep_earliest(dated, ["review_url"], "review_dt", [F.xxhash64(*reviews.columns)])
@@ -98,7 +134,8 @@ def resolve_reviews(reviews: DataFrame, users: DataFrame, games: DataFrame, gold
         "g_review_bombing": F.coalesce("has_review_bombing", F.lit(0)),
         "split": split_name(F.col("group_key")),
     }
-    return out.withColumns(made).withColumnRenamed("review_url", "review_id").drop("_uid", "_gid", "popular_tags", "has_review_bombing")
+    named = out.withColumns(made).withColumnRenamed("review_url", "review_id")
+    return named.select(*(c for c in named.columns if c in REVIEW_ROLES))
 
 
 def user_features(reviews: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
@@ -147,14 +184,16 @@ def modeling_labels(users: DataFrame, rho: float = 0.1, k_min: int = 5) -> DataF
 
 
 def role_table(df: DataFrame, table: str, roles: Mapping[str, str]) -> DataFrame:
-    """(table, column, type, role) of a table's columns; unlisted ones are features."""
-    rows = [(table, c, t, roles.get(c, "feature")) for c, t in df.dtypes]
+    """(table, column, type, role) of a table's columns; unlisted ones are unlisted, and no model's."""
+    rows = [(table, c, t, roles.get(c, "unlisted")) for c, t in df.dtypes]
     return df.sparkSession.createDataFrame(rows, "table string, column string, type string, role string")
 
 
 def model_columns(df: DataFrame, roles: Mapping[str, str]) -> list[str]:
-    """The columns that may enter a model."""
-    return [c for c in df.columns if roles.get(c, "feature") in ("feature", "gray")]
+    """The columns that may enter a model; a column without a role is a ValueError, so that none gets in unseen."""
+    if unlisted := [c for c in df.columns if c not in roles]:
+        raise ValueError(f"columns without a role: {', '.join(unlisted)}")
+    return [c for c in df.columns if roles[c] in ("feature", "gray")]
 
 
 def vector_mean(df: DataFrame, by: str, vector: str, where: Column | None = None) -> DataFrame:

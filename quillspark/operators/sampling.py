@@ -102,10 +102,23 @@ def oversampled(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col(label) == rare, times).otherwise(1)))).drop("_copy")
 
 
+#: Parts in which a group's rows are capped before they meet.
+CAP_PARTS = 64
+
+
 def capped_per_group(df: DataFrame, by: str, key: str, cap: int, seed: str) -> DataFrame:
-    """At most cap rows of each group, chosen without regard to any score, with the group's count n_total."""
-    order = Window.partitionBy(by).orderBy(md5_number(F.col(key), seed), F.col(key))
-    return df.withColumns({"_rn": F.row_number().over(order), "n_total": F.count("*").over(Window.partitionBy(by))}).where(F.col("_rn") <= cap).drop("_rn")
+    """At most cap rows of each group, chosen without regard to any score, with the group's count n_total.
+
+    A group's rows are dealt in CAP_PARTS parts by their order, each cut to cap rows (as tasks do before the
+    shuffle), so a group of any size costs a task a part and then CAP_PARTS * cap rows; the count is an
+    aggregate of its own.
+    """
+    order = [md5_number(F.col(key), seed), F.col(key)]
+    part = F.pmod(F.xxhash64(key), F.lit(CAP_PARTS))
+    first = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_rn") <= cap)
+    kept = first.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rn") <= cap).drop("_part", "_rn")
+    totals = df.groupBy(F.col(by).alias("_of")).agg(F.count("*").alias("n_total"))
+    return kept.join(totals, kept[by].eqNullSafe(totals["_of"])).drop("_of")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: str = "") -> DataFrame:

@@ -117,10 +117,12 @@ def _(spark, d):
 _MONTH_LIST = "['" + "', '".join(parsing.MONTHS) + "']"
 
 
-@query("prj_09_portuguese_dates", f"SELECT o_orderkey, strftime(TRY_CAST(year(o_orderdate) || '-' || lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((o_custkey % 31 + 1)::VARCHAR, 2, '0') AS DATE), '%Y-%m-%d') AS day, upper((o_custkey % 31 + 1) || ' de ' || ({_MONTH_LIST})[o_orderkey % 12 + 1] || ' de ' || year(o_orderdate)) AS raw FROM orders")
+@query("prj_09_portuguese_dates", f"SELECT o_orderkey, strftime(TRY_CAST(year(o_orderdate) || '-' || lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((o_custkey % 31 + 1)::VARCHAR, 2, '0') AS DATE), '%Y-%m-%d') AS day, (['', 'PUBLICADA: '])[o_orderkey % 2 + 1] || upper((o_custkey % 31 + 1) || ' de ' || ({_MONTH_LIST})[o_orderkey % 12 + 1] || ' de ' || year(o_orderdate)) || (['', '.', ' às 10h'])[o_orderkey % 3 + 1] AS raw FROM orders")
 def _(spark, d):
     month = F.element_at(F.array(*map(F.lit, parsing.MONTHS)), (F.col("o_orderkey") % 12 + 1).cast("int"))
-    raw = F.upper(F.concat_ws(" de ", (F.col("o_custkey") % 31 + 1).cast("string"), month, F.year("o_orderdate").cast("string")))
+    date = F.upper(F.concat_ws(" de ", (F.col("o_custkey") % 31 + 1).cast("string"), month, F.year("o_orderdate").cast("string")))
+    around = [F.get(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts)).cast("int")) for texts in (("", "PUBLICADA: "), ("", ".", " às 10h"))]
+    raw = F.concat(around[0], date, around[1])
     return table(spark, d, "orders").select("o_orderkey", parsing.portuguese_date(raw).alias("day"), raw.alias("raw"))
 
 

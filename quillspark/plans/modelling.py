@@ -50,8 +50,8 @@ def _(spark, d):
 
 #: (column, type, role) of the resolved reviews, in the order of the columns.
 _ROLES = """
-review_id string key, user_url string feature, game_id bigint feature, review_text string feature_text, is_recommended boolean gray,
-hours_played double gray, review_date date feature, perspective_score double FORBIDDEN, toxicity double FORBIDDEN, review_dt date meta,
+review_id string key, review_text string feature_text, is_recommended boolean gray,
+hours_played double gray, perspective_score double FORBIDDEN, toxicity double FORBIDDEN, review_dt date meta,
 user_key string key, group_key string key, url_type string meta, game_id_int bigint meta, y_review int label, tox_source string analysis,
 len_chars int feature, len_words int feature, caps_ratio double feature, upper_word_count int feature, rrun_count int feature,
 excl_count int feature, ques_count int feature, review_year int gray, joinable boolean meta, g_competitive boolean gray,

@@ -156,6 +156,19 @@ def test_roles_guard_the_features(spark):
     df = spark.createDataFrame([("k", 0.5, 1, 3)], "review_id string, toxicity double, y_review int, len_words int")
     assert features.model_columns(df, features.REVIEW_ROLES) == ["len_words"]
     assert {r["role"] for r in features.role_table(df, "t", features.REVIEW_ROLES).collect()} == {"key", "FORBIDDEN", "label", "feature"}
+    raw = df.withColumns({c: F.lit(1) for c in ("user_url", "game_id", "review_date")})
+    with pytest.raises(ValueError, match="user_url, game_id, review_date"):
+        features.model_columns(raw, features.REVIEW_ROLES)
+
+
+def test_feature_tables_have_roles(spark):
+    from quillspark.plans import modelling
+
+    reviews = modelling._resolved(spark, "/root/testdata/sf0.001")
+    assert not {"user_url", "game_id", "review_date"} & set(features.model_columns(reviews, features.REVIEW_ROLES))
+    profiles = modelling._user_profiles(spark, "/root/testdata/sf0.001")
+    users = features.modeling_labels(features.user_features(reviews, profiles, "2024-06-30"))
+    assert "user_key" not in features.model_columns(users, features.USER_ROLES)
 
 
 def test_vector_means_with_none_left(spark):
