@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import labels, parsing, text
 from quillspark.functions.hashing import split_name
 from quillspark.operators.dedup import keep_earliest
+from quillspark.operators.ordering import exact_quantiles
 
 #: Tags that make up a game's context flags.
 TAG_FLAGS = {
@@ -153,8 +154,8 @@ def user_features(reviews: DataFrame, profiles: DataFrame, as_of: str) -> DataFr
         F.datediff(F.max("review_dt"), F.min("review_dt")).alias("tenure_days"), F.datediff(F.lit(as_of).cast("date"), F.max("review_dt")).alias("days_since_last_review"),
         *(share(F.col(f"g_{k}")).alias(f"pct_{k}") for k in ("competitive", "violent", "comedy")),
     )
-    medians = profiles.agg(F.percentile("profile_level", 0.5).alias("_level"), F.percentile("library_size", 0.5).alias("_library"))
-    out = agg.join(profiles, "user_key", "left").crossJoin(F.broadcast(medians))
+    level, library = (exact_quantiles(profiles, c, [0.5]).select(F.get("q", F.lit(0)).alias(n)) for c, n in (("profile_level", "_level"), ("library_size", "_library")))
+    out = agg.join(profiles, "user_key", "left").crossJoin(F.broadcast(level)).crossJoin(F.broadcast(library))  # one row each
     seen = [F.col(c).isNotNull().cast("int") for c in ("country", "profile_level", "library_size", "screenshots", "groups", "insignias")]
     visible = seen[0]
     for s in seen[1:]:

@@ -58,3 +58,20 @@ def group_totals(df: DataFrame, totals: Mapping[str, Column], by: Sequence[str]
         return df.crossJoin(F.broadcast(made))
     renamed = made.withColumnsRenamed({b: f"_by_{b}" for b in by})
     return df.join(renamed, _matches(df, renamed, [(b, f"_by_{b}") for b in by])).drop(*(f"_by_{b}" for b in by))
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row (q): the interpolated quantiles of a column as an array, null without values.
+
+    Values are counted first, and found by their place in the running sum of the counts, so no buffer holds them all.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    placed = group_totals(running_sums(counts, "v", {"upto": "c"}), {"n": F.sum("c")})
+    at = lambda place: F.max(F.when((place >= F.col("upto") - F.col("c")) & (place < F.col("upto")), F.col("v")))
+    bounds = []
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("n") - 1)
+        bounds += [at(F.floor(place)).alias(f"lo{i}"), at(F.ceil(place)).alias(f"hi{i}"), F.max(place - F.floor(place)).alias(f"part{i}")]
+    found = placed.agg(*bounds)
+    values = [F.col(f"lo{i}") + F.col(f"part{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(len(shares))]
+    return found.select(F.when(F.col("lo0").isNotNull(), F.array(*values)).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.labels import DETOXIFY, PERSPECTIVE, toxic, valid_score
-from quillspark.operators.ordering import group_totals, running_sums
+from quillspark.operators.ordering import exact_quantiles, group_totals, running_sums
 
 
 def n_if(condition: Column) -> Column:
@@ -90,7 +90,7 @@ def tag_toxicity(counts: DataFrame, tags: DataFrame, key: str) -> DataFrame:
 
 def above_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows at or above the exact quantile of a column; the quantile is one row, so it is broadcast."""
-    floor = df.agg(F.percentile(column, q).alias("_floor"))
+    floor = exact_quantiles(df, column, [q]).select(F.get("q", F.lit(0)).alias("_floor"))
     return df.crossJoin(F.broadcast(floor)).where(F.col(column) >= F.col("_floor")).drop("_floor")
 
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordering import exact_quantiles
+
 #: Bits of HyperLogLog registers: a relative standard error of about 1.04 / sqrt(2^12), 1.6 %.
 HLL_BITS = 12
 #: Size of KLL sketches: a rank error of about 0.7 % at 99 %.
@@ -54,5 +56,5 @@ def add_part(df: DataFrame, path: str, part: str, by: Sequence[str], distinct: S
 def quantiles(df: DataFrame, column: str, shares: Sequence[float], exact_rows: int = EXACT_ROWS) -> DataFrame:
     """One row (q): a column's quantiles, exact up to exact_rows rows and from a KLL sketch beyond; null without values."""
     if df.count() <= exact_rows:
-        return df.agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("q"))
+        return exact_quantiles(df, column, shares)
     return estimates(sketch(df, [], numbers=[column]), [], shares).select(F.col(f"q_{column}").alias("q"))

@@ -279,3 +279,17 @@ def test_samples_are_the_first_by_md5(spark, n, ordered, monkeypatch):
     df = spark.range(200).select(F.col("id").cast("string").alias("k"))
     want = df.orderBy(md5_number(F.col("k"), "s"), "k").limit(n)
     assert sorted(sampling.sample_rows(df, "k", n, "s").collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("range_rows", [3, 100_000])
+def test_exact_quantiles_against_numpy(spark, monkeypatch, range_rows):
+    from quillspark.operators import ordering
+
+    monkeypatch.setattr(ordering.running_sums, "__defaults__", (*ordering.running_sums.__defaults__[:-1], range_rows))
+    rng = random.Random(2)
+    values = [round(rng.random() * 20) / 4 for _ in range(157)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    assert ordering.exact_quantiles(df, "v", shares).first()["q"] == pytest.approx(np.quantile(values, shares).tolist())
+    assert ordering.exact_quantiles(df.limit(0), "v", shares).first()["q"] is None
+    assert ordering.exact_quantiles(df.where("v = 1"), "v", [0.5]).first()["q"] == [1.0]
