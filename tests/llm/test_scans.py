@@ -226,6 +226,25 @@ def test_scores_solve_the_ridge_regression_over_landmarks():
     assert np.allclose(model.scores(others), kernel(others, marks) @ alpha, atol=2e-3)
 
 
+def test_model_of_many_languages_is_bounded(monkeypatch, prose_of):
+    """64 languages of long texts: weights by n-gram and language, whose number has a bound that coarser hashing keeps."""
+    texts = [(prose_of(1000 * k + i, 700), f"l{k:02}") for k in range(64) for i in range(3)]
+    model = language.fit([t for t, _ in texts], [x for _, x in texts])
+    assert len(model.languages) == 64 and model.weights.nbytes + model.slots.nbytes < 500e6
+    monkeypatch.setattr(language, "MOST_WEIGHTS", 1 << 14)
+    coarse = language.fit([t for t, _ in texts], [x for _, x in texts])
+    assert coarse.bits == 8 and coarse.weights.size <= 1 << 14
+
+
+def test_language_of_long_texts_alone_is_learned(spark):
+    long = [(i, sentence(lang, i) * 900, lang) for i in range(6) for lang in SOUNDS]
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(long)], "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, _ in long) > language.SAMPLE_TEXT_CHARS
+    model = language.train(docs)
+    assert model.languages == tuple(sorted(SOUNDS))
+    assert all(r["lang"] == r["lang_pred"] for r in language.identify(docs, model).collect())
+
+
 def test_language_of_edge_cases(spark, edge, empty):
     model = language.train(edge)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(edge, model).collect()}
