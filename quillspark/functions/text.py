@@ -70,24 +70,24 @@ def without_boilerplate(text: Column, collapse: bool = False) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " ")) if collapse else F.trim(text)
 
 
+def _plain(text: Column) -> Column:
+    """The text without addresses and notices. What each of these holds in any case is looked for first, as most texts
+    have none and patterns are slow."""
+    text = F.when(text.contains("http") | text.contains("www."), F.regexp_replace(text, r"http\S+|www\.\S+", " ")).otherwise(text)
+    low = F.lower(text)
+    return F.when(low.contains("antec") | low.contains("produto re"), F.regexp_replace(text, f"(?iu){'|'.join(BOILERPLATE)}", " ")).otherwise(text)
+
+
 def for_detection(text: Column) -> Column:
     """Letters and single spaces of the first characters: no URLs, notices, digits or symbols; null is empty."""
-    text = F.substring(F.coalesce(text, F.lit("")), 1, MAX_CHARS["detection"])
-    text = F.regexp_replace(text, r"http\S+|www\.\S+", " ")
-    for p in BOILERPLATE:
-        text = F.regexp_replace(text, f"(?iu){p}", " ")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
-    text = F.regexp_replace(text, "[0-9_]+", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = _plain(F.substring(F.coalesce(text, F.lit("")), 1, MAX_CHARS["detection"]))
+    return F.trim(F.regexp_replace(text, r"[[^\p{L}\p{N}]0-9]+", " "))
 
 
 def for_terms(text: Column) -> Column:
     """Lower-case a-z and single spaces, Latin accents folded; null is empty."""
-    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"http\S+|www\.\S+", " ")
-    for p in BOILERPLATE:
-        text = F.regexp_replace(text, f"(?iu){p}", " ")
-    text = F.translate(text, _ACCENTED, _PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z\s]", " "), r"\s+", " "))
+    text = F.translate(_plain(F.lower(F.coalesce(text, F.lit("")))), _ACCENTED, _PLAIN)
+    return F.trim(F.regexp_replace(text, "[^a-z]+", " "))
 
 
 def cut(text: Column, use: str) -> Column:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import MIN_LETTERS, for_detection
 
 SIZES = (1, 2, 3)
-#: Most n-grams and stored words (those of most occurrences), which bounds what is broadcast; weight of an n-gram never seen.
-MOST_GRAMS, MOST_WORDS, SMOOTHING = 60_000, 50_000, 0.5
+#: Most n-grams and stored words (those of most occurrences), and most numbers of the stored words by languages, which bounds
+#: what is broadcast; weight of an n-gram never seen.
+MOST_GRAMS, MOST_WORDS, MOST_NUMBERS, SMOOTHING = 60_000, 300_000, 12_000_000, 0.5
 #: Most languages, each a column of the scores.
 MOST_LANGUAGES = 256
 
@@ -80,7 +81,7 @@ def fit(labelled: DataFrame, text: str, lang: str, *, most_grams: int = MOST_GRA
     sums = kept.agg(F.count("*").alias("kinds"), *(F.sum(f"n{i}").alias(f"t{i}") for i in range(len(languages)))).first()
     log_odds = lambda i: F.round(1000 * F.log((F.col(f"n{i}") + smoothing) / ((sums[f"t{i}"] or 0) + smoothing * sums["kinds"]))).cast("long")
     grams = kept.select("gram", *(log_odds(i).alias(f"s{i}") for i in range(len(languages))))
-    common = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most_words).select("word")
+    common = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(min(most_words, MOST_NUMBERS // len(languages))).select("word")
     cut = common.select("word", F.explode(word_grams(F.col("word"))).alias("gram")).join(F.broadcast(grams), "gram", "left")
     stored = cut.groupBy("word").agg(*(F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(f"w{i}") for i in range(len(languages))))
     return LanguageModel(languages, grams, stored)
@@ -90,7 +91,7 @@ def language_scores(df: DataFrame, key: str, text: str, model: LanguageModel) ->
     """(key, scores): for each key the sum of its n-grams' values, by language; null for too few letters."""
     n = len(model.languages)
     rows = detection_words(df, text, key)
-    stored = F.broadcast(model.words.withColumnRenamed("word", "_of"))  # at most MOST_WORDS rows of MOST_LANGUAGES numbers
+    stored = F.broadcast(model.words.withColumnRenamed("word", "_of"))  # at most MOST_WORDS words and MOST_NUMBERS numbers
     known = rows.join(stored, F.col("_word") == F.col("_of"), "left")
     grams = F.when(F.col("_of").isNull() & F.col("_word").isNotNull(), word_grams(F.col("_word")))
     table = F.broadcast(model.grams.withColumnRenamed("gram", "_part"))

@@ -29,7 +29,7 @@ def classifier(name: str, n_features: int, seed: int = 7):
         "svm": lambda: LinearSVC(maxIter=30, regParam=0.01, **columns),
         "forest": lambda: RandomForestClassifier(numTrees=50, maxDepth=6, seed=seed, **columns),
         "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **columns),
-        "hist_boosted": lambda: TreeLearner(BoostingParams()),
+        "hist_boosted": lambda: TreeLearner(BoostingParams(rounds=20)),
         "extra_trees": lambda: TreeLearner(ForestParams(seed=seed)),
         "rbf": lambda: Pipeline(stages=[fourier, LinearSVC(maxIter=50, regParam=0.001, featuresCol="fourier", labelCol="label")]),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[n_features, 16, 2], maxIter=50, seed=seed, **columns),

@@ -120,7 +120,7 @@ def ring(spark, n=1200):
 
 
 def test_kernel_machine_and_trees_tell_a_ring(spark, monkeypatch):
-    monkeypatch.setattr(models, "BoostingParams", lambda: trees.BoostingParams(rounds=5, rate=0.5))
+    monkeypatch.setattr(models, "BoostingParams", lambda rounds: trees.BoostingParams(rounds=5, rate=0.5))
     monkeypatch.setattr(models, "ForestParams", lambda seed: trees.ForestParams(trees=10, seed=seed))
     data = ring(spark)
     oof = models.arms(data, "k", "fold", ["y"], {"xy": {"numeric": ["x0", "x1"]}}, ["svm", "rbf", "hist_boosted", "extra_trees"])
