@@ -22,8 +22,8 @@ from quillspark.llm._common import small_batches, staged
 BUCKETS = 10_000
 #: Features in a packed row (a document is never split, so a longer one has a row of its own).
 STREAM = 1 << 20
-#: Rows of documents that a Python worker gets at once.
-ROWS = 200
+#: Rows of documents that a Python worker gets at once; words of a text whose checksums are held at once.
+ROWS, SLICE = 200, 1 << 15
 
 _PACKED = "ids binary, known binary, words binary, ends binary, stream binary"
 #: A-Z in lower case, all that is no part of a word as a space; bytes over 127 are parts of letters.
@@ -33,12 +33,16 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 def features(text: str, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
     """The number of words, and the buckets of all runs of one to three words, as unsigned 16-bit numbers."""
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    following = [b" " + w for w in words[1:]]
-    one = list(map(zlib.crc32, words))
-    two = list(map(zlib.crc32, following, one))  # a checksum goes on where that of the first word ended
-    three = list(map(zlib.crc32, following[1:], two))
-    codes = np.fromiter(one + two + three, dtype=np.uint32, count=len(one) + len(two) + len(three))
-    return len(words), (codes % np.uint32(buckets)).astype(np.uint16)
+    parts = [np.zeros(0, dtype=np.uint16)]
+    for at in range(0, len(words), SLICE):
+        here = words[at : at + SLICE + 2]
+        following = [b" " + w for w in here[1:]]
+        one = list(map(zlib.crc32, here[:SLICE]))
+        two = list(map(zlib.crc32, following, one))  # a checksum goes on where that of the first word ended
+        three = list(map(zlib.crc32, following[1:], two))
+        codes = np.fromiter(one + two + three, dtype=np.uint32, count=len(one) + len(two) + len(three))
+        parts.append((codes % np.uint32(buckets)).astype(np.uint16))
+    return len(words), np.concatenate(parts)
 
 
 def _pack(buckets: int, stream: int):

@@ -135,6 +135,14 @@ def test_resampling_of_edge_cases(spark, edge, empty):
     assert sorted(r["rank"] or 0 for r in importance.resample(many, target).collect()) == [0] * 48 + [1, 2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 8])
+def test_features_in_slices(monkeypatch, n):
+    monkeypatch.setattr(importance, "SLICE", 3)
+    text = " ".join(f"W{i}é" for i in range(n))
+    size, codes = importance.features(text)
+    assert (size, sorted(codes.tolist())) == (n, sorted(features(text)[1]))
+
+
 def brute_search(rows, k=10):
     usable = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x * 1024) for x in v)]
     out = []
