@@ -184,10 +184,17 @@ def modeling_labels(users: DataFrame, rho: float = 0.1, k_min: int = 5) -> DataF
     return users.withColumns({"y_count": (F.col("n_toxic") >= 1).cast("int"), "y_rate": rate.cast("int"), "rate_pop": (F.col("n_reviews") >= k_min).cast("int")})
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """(column, type, n_values) of a table's columns: the rows that have a value there, by one aggregation of the table."""
+    each = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count(df[f"`{c}`"]).alias("n_values")) for c, t in df.dtypes]
+    return df.agg(F.array(*each).alias("each")).select(F.inline("each"))
+
+
 def role_table(df: DataFrame, table: str, roles: Mapping[str, str]) -> DataFrame:
-    """(table, column, type, role) of a table's columns; unlisted ones are unlisted, and no model's."""
-    rows = [(table, c, t, roles.get(c, "unlisted")) for c, t in df.dtypes]
-    return df.sparkSession.createDataFrame(rows, "table string, column string, type string, role string")
+    """(table, column, type, role, n_values) of a table's columns; unlisted ones are unlisted, and no model's."""
+    listed = [(c, roles.get(c, "unlisted")) for c in df.columns]
+    role = F.create_map(*(F.lit(x) for pair in listed for x in pair))[F.col("column")]
+    return column_profile(df).select(F.lit(table).alias("table"), "column", "type", role.alias("role"), "n_values")
 
 
 def model_columns(df: DataFrame, roles: Mapping[str, str]) -> list[str]:

@@ -61,7 +61,8 @@ g_violent boolean gray, g_comedy boolean gray, g_review_bombing int gray, split
 
 @query("fea_05_column_roles", f"SELECT 'reviews_resolved' AS \"table\", w[1] AS \"column\", w[2] AS type, w[3] AS role FROM (SELECT string_split(trim(unnest(string_split(replace('{_ROLES}', chr(10), ' '), ','))), ' ') AS w)")
 def _(spark, d):
-    return features.role_table(_resolved(spark, d), "reviews_resolved", features.REVIEW_ROLES)
+    written = staged(features.role_table(_resolved(spark, d), "reviews_resolved", features.REVIEW_ROLES), "roles")
+    return written.select("table", "column", "type", "role")
 
 
 @query("fea_06_sanity_report", f"WITH {R}, s AS (SELECT CASE WHEN {MD5.format('user_id::VARCHAR')} % 100 < 70 THEN 'train' WHEN {MD5.format('user_id::VARCHAR')} % 100 < 85 THEN 'val' ELSE 'test' END AS split, {TOXIC} AS y, is_recommended FROM r) SELECT split, count(*) AS n, round(100.0::DOUBLE * sum(y) / count(*), 3) AS pct_toxic, count(*) FILTER (WHERE is_recommended IS NULL) AS n_unrated FROM s GROUP BY 1")

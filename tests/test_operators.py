@@ -152,6 +152,13 @@ def test_ordering_claims(spark):
     assert [c[3] for c in terms.ordering_claims(m, claims)] == ["holds", "contradicted", "skipped"]
 
 
+def records_read(spark):
+    """Records that each stage of the session so far has read from files."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.inputRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+
 def test_roles_guard_the_features(spark):
     df = spark.createDataFrame([("k", 0.5, 1, 3)], "review_id string, toxicity double, y_review int, len_words int")
     assert features.model_columns(df, features.REVIEW_ROLES) == ["len_words"]
@@ -161,6 +168,22 @@ def test_roles_guard_the_features(spark):
         features.model_columns(raw, features.REVIEW_ROLES)
 
 
+def test_profiles_read_the_table(spark):
+    df = spark.createDataFrame([("k", 0.5, None), ("l", None, None)], "`a.b` string, toxicity double, x int")
+    assert [tuple(r) for r in features.column_profile(df).collect()] == [("a.b", "string", 2), ("toxicity", "double", 1), ("x", "int", 0)]
+    assert [tuple(r) for r in features.column_profile(df.limit(0)).collect()] == [("a.b", "string", 0), ("toxicity", "double", 0), ("x", "int", 0)]
+    assert [tuple(r) for r in features.role_table(df, "t", features.REVIEW_ROLES).collect()][1:] == [("t", "toxicity", "double", "FORBIDDEN", 1), ("t", "x", "int", "unlisted", 0)]
+
+
+@pytest.mark.parametrize(("name", "least"), [("fea_05_column_roles", 5_000)])
+def test_roles_and_schemas_come_from_rows_that_spark_reads(spark, name, least):
+    from quillspark.plans import registry
+
+    before = records_read(spark)
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert sum(n for stage, n in records_read(spark).items() if stage not in before) >= least
+
+
 def test_feature_tables_have_roles(spark):
     from quillspark.plans import modelling
 
