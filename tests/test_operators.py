@@ -175,7 +175,7 @@ def test_profiles_read_the_table(spark):
     assert [tuple(r) for r in features.role_table(df, "t", features.REVIEW_ROLES).collect()][1:] == [("t", "toxicity", "double", "FORBIDDEN", 1), ("t", "x", "int", "unlisted", 0)]
 
 
-@pytest.mark.parametrize(("name", "least"), [("fea_05_column_roles", 5_000)])
+@pytest.mark.parametrize(("name", "least"), [("fea_05_column_roles", 5_000), ("src_08_schema_probe", 1_000)])
 def test_roles_and_schemas_come_from_rows_that_spark_reads(spark, name, least):
     from quillspark.plans import registry
 
