@@ -70,11 +70,15 @@ def _parts(tokens: DataFrame) -> DataFrame:
 
 
 def corpus_words(docs: DataFrame, tokens: DataFrame, *, text_col: str, least: int = 3) -> DataFrame:
-    """(word) of the candidates' alphabetic parts that the corpus uses on their own `least` times or more."""
+    """(word) of the candidates' alphabetic parts that the corpus uses on their own `least` times or more.
+
+    Words are counted before they meet the parts: a part may be one of the corpus's most frequent words.
+    """
     parts = staged(_parts(tokens).select("word").distinct(), "parts")
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     used = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}_\-+/=.@]+|[.]+(\s|$)")).alias("word"))
-    return used.join(parts, "word").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+    often = used.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return often.join(parts, "word").select("word")
 
 
 def coverage(tokens: DataFrame, words: DataFrame) -> DataFrame:

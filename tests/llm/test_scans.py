@@ -55,6 +55,23 @@ HARMLESS = (
 )
 
 
+def joined_rows(plan):
+    """Rows out of each join of an executed plan."""
+    kind = plan.nodeName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in kind else []
+    return own + [n for p in below for n in joined_rows(p)]
+
+
+def test_corpus_words_are_counted_before_they_meet_the_parts(spark):
+    docs = spark.createDataFrame([("the tree and The bird " * 200,), ("tree house",), (None,)], "text string")
+    tokens = spark.createDataFrame([("the1house2",), ("tree7and9",), ("bird-the-5",)], "token string")
+    words = secrets.corpus_words(docs, tokens, text_col="text")
+    assert sorted(r["word"] for r in words.collect()) == ["and", "bird", "the", "tree"]
+    rows = joined_rows(words._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 5
+
+
 def test_forms_of_secrets_written_by_hand(spark, forest):
     docs = [(i, t, "src") for i, t in enumerate([*LIVE, *HARMLESS])]
     got = secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), forest).collect()
