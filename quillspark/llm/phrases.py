@@ -1,8 +1,8 @@
 """Phrase collocations: depth-limited count tries of each shard, serialised in order and merged by ranges of prefixes.
 
 A shard's words are a stream of numbers; its trie of bounded depth is the sorted array of the windows
-that start at each word, of which every prefix is a node and every run of equal prefixes a count. Nodes
-are written in order, path by path. Merging deals them in ranges of paths, so equal paths of all shards
+that start at each word, of which every prefix is a node and every run of equal prefixes a count. A task
+merges the tries of its shards, and writes their nodes path by path. Merging deals them in ranges of paths, so equal paths of all shards
 meet and a prefix stands before what it begins: walking a range then yields the counts of all first
 parts. Counts of the rests come through suffix links (a path without its first word), depth by depth.
 
@@ -21,6 +21,7 @@ from itertools import count as counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ from quillspark.llm._common import small_batches, staged
 #: Words in a candidate; its least count; a phrase is judged by its cut of the lowest score.
 DEPTH, LEAST = 5, 100
 #: Words that a worker counts in cells, and of which it builds a trie, at once; words whose cells are looked up at once.
-COUNT_WORDS, SHARD_WORDS, LOOKUP_WORDS = 2_000_000, 8_000_000, 1_000_000
+COUNT_WORDS, SHARD_WORDS, LOOKUP_WORDS = 2_000_000, 4_000_000, 1_000_000
+#: Words of a task that merges its tries, and nodes that it holds for this.
+TASK_WORDS, HELD_NODES = 16_000_000, 1_000_000
 #: Bytes of a text that are split into words at once (more, to the end of a word).
 SLICE_BYTES = 1 << 20
 #: Words that are counted together in cells; bits of a cell, and of the part of it that one packed row holds.
@@ -223,22 +226,41 @@ def trie_levels(stream: np.ndarray, depth: int, full: list[np.ndarray]) -> Itera
         yield d + 1, windows[first[inside], : d + 1], counts[inside]
 
 
+def _merged(tries: list[pa.Table]) -> pa.Table:
+    """One trie of several, the counts of equal paths added."""
+    return pa.concat_tables(tries).group_by(["lang", "path"]).aggregate([("f", "sum")]).select(["lang", "path", "f_sum"]).rename_columns(["lang", "path", "f"])
+
+
 def _serialise(bits: np.ndarray, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("lang", pa.string()), ("path", pa.list_(pa.string())), ("f", pa.int64())])
+    """Nodes of a task's tries. Tries of SHARD_WORDS words are merged, paths being words joined by spaces, and written at the
+    end, or before where many nodes are held: what is frequent is in every trie."""
+
+    def nodes(lang: str, words: list[bytes], stream: np.ndarray, starts: int) -> Iterator[pa.Table]:
+        full = _full_runs(lang, words, stream, bits)
+        full[0][starts:] = False
+        named = pa.array(words, type=pa.binary()).cast(pa.string())
+        for d, paths, counts in trie_levels(stream, depth, full):
+            values = named.take(pa.array(paths.ravel() - 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(paths) + 1, dtype=np.int32) * d), values)
+            yield pa.table({"lang": pa.array([lang] * len(paths), pa.string()), "path": pc.binary_join(lists, " "), "f": pa.array(counts.astype(np.int64))})
+
+    def written(tries: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for part in _merged(tries).to_batches(max_chunksize=50_000):
+            yield pa.record_batch([part.column(0), pc.split_pattern(part.column(1), " "), part.column(2)], names=["lang", "path", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for lang, words, stream, starts in _shards(batches, depth - 1, SHARD_WORDS):
             if len(stream) < 1:
                 continue
-            full = _full_runs(lang, words, stream, bits)
-            full[0][starts:] = False
-            named = pa.array(words, type=pa.binary()).cast(pa.string())
-            for d, paths, counts in trie_levels(stream, depth, full):
-                for a in range(0, len(paths), 50_000):
-                    part = paths[a : a + 50_000]
-                    values = named.take(pa.array(part.ravel() - 1))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), values)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), lists, pa.array(counts[a : a + 50_000].astype(np.int64))], schema=schema)
+            held += nodes(lang, words, stream, starts)
+            if sum(map(len, held)) > HELD_NODES:
+                held = [_merged(held)]
+                if len(held[0]) > HELD_NODES // 2:
+                    yield from written(held)
+                    held = []
+        if held:
+            yield from written(held)
 
     return run
 
@@ -278,8 +300,10 @@ def phrase_counts(docs: DataFrame, *, text: str, lang: str, depth: int = DEPTH,
         for r in parts.mapInPandas(_full_cells(least), "part int, bits binary").collect():  # 8 MB in all, for any input
             here = np.frombuffer(r["bits"], dtype=np.uint8)
             bits[r["part"] * len(here) : (r["part"] + 1) * len(here)] |= here
+    words = word_totals(counted).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-words // TASK_WORDS))
     with small_batches(spark, ROWS):
-        nodes = staged(rows.mapInArrow(_serialise(bits, depth), "lang string, path array<string>, f long"), "tries")
+        nodes = staged(rows.coalesce(tasks).mapInArrow(_serialise(bits, depth), "lang string, path array<string>, f long"), "tries")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = nodes.repartitionByRange(ranges, "lang", "path").groupBy("lang", "path").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     walked = merged.sortWithinPartitions("lang", "path").mapInPandas(walk, "lang string, path array<string>, f long, lefts array<long>")

@@ -7,9 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import importance, phrases, topk
+from quillspark.llm._common import staged
 
 
 def lower(text):
@@ -60,6 +62,36 @@ def test_collocations_against_brute_force(spark, monkeypatch, texts, shard, slic
     assert got == want and len(want) > 30
 
 
+def test_a_task_writes_equal_paths_of_its_tries_once(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 50)
+    bits = np.full(1 << phrases.CELL_BITS - 3, 255, dtype=np.uint8)
+    batch = pa.record_batch([pa.array(["en"] * 40), pa.array([b"New York city. of the city"] * 40)], names=["lang", "text"])
+    for most, times in ((1_000_000, 1), (4, 10)):  # where more are held, they are written before
+        monkeypatch.setattr(phrases, "HELD_NODES", most)
+        out = pa.Table.from_batches(phrases._serialise(bits, 3)(iter([batch]))).to_pylist()
+        found = Counter()
+        for r in out:
+            found[tuple(r["path"])] += r["f"]
+        assert found == {("new",): 40, ("york",): 40, ("city",): 80, ("of",): 40, ("the",): 40, ("new", "york"): 40, ("york", "city"): 40, ("of", "the"): 40, ("the", "city"): 40, ("new", "york", "city"): 40, ("of", "the", "city"): 40}
+        assert (len(out) == len(found)) == (times == 1)
+
+
+def test_tries_follow_the_words_not_the_files(spark, texts):
+    docs = spark.createDataFrame(texts, "text string, lang string").repartition(40)
+    written = []
+
+    def kept(df, tag):
+        out = staged(df, tag)
+        written.append((tag, out.count(), out.select("lang", "path").distinct().count())) if tag == "tries" else None
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(phrases, "staged", kept)
+        phrases.phrase_counts(docs, text="text", lang="lang", least=4)
+    [(_, nodes, different)] = written
+    assert nodes <= spark.sparkContext.defaultParallelism * different
+
+
 def test_collocations_keep_the_best(spark, texts):
     docs = spark.createDataFrame(texts, "text string, lang string")
     assert sorted(tuple(r) for r in phrases.collocations(docs, least=3, best=5).collect()) == brute_phrases(texts, 3, 5)
