@@ -1,13 +1,14 @@
-"""Near-dedup at a shingle similarity: wide SimHash fingerprints, several splits into blocks, exact verification.
+"""Near-dedup at a shingle similarity: wide SimHash fingerprints, blocks and bands, exact verification.
 
 Texts whose shingle counts have a Jaccard similarity of 0.8 differ in about 15 % of their SimHash bits.
-No split of a fingerprint into selective blocks holds for so many bits at once, so a wide fingerprint is
-split several times, each time with its bits in another order: pairs that differ in fewer bits than a
-split has blocks share a block of every split, and pairs at similarity 0.8 share one of all blocks
-with a probability of about 0.96 (at 0.85, of 0.999). Blocks grow with the number of fingerprints. That holds for repeated shingles too, as each
-occurrence has a vote of its own (numbered()). What shares a block is verified by Hamming distance and then by the
-exact similarity, so nothing below it is linked. In buckets of many texts that are alike but not linked, the pairs are
-found by their rarest shingles instead, which loses none.
+Blocks of 24 bits and more, so that strangers seldom share one, are shared by 2 % of these pairs at most, so a few of them
+link what is nearly equal, and with it most of large groups. All else meets in bands: a band's key is made of the least
+of a text's shingles in ROWS random orders. Pairs at similarity 0.8 share one of the BANDS with a probability of
+0.989 (at 0.85, of 0.9997), strangers share none however many there are, so the rows a text don't grow with the
+number of texts. That holds for repeated shingles too, as each occurrence is a shingle of its own (numbered()).
+What shares a block or band is verified by Hamming distance and then by the exact similarity, so nothing below it is
+linked. In buckets of many texts that are alike but not linked, the pairs are found by their rarest shingles instead,
+which loses none.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from quillspark.llm.components import connected_components
 #: fingerprints: SPARE_BITS over the logarithm of their number, so that strangers seldom share one.
 LONGS, BLOCK_BITS, SPARE_BITS, DIFFER, MEET = 16, 24, 8, 0.151, 0.96
 BITS = 64 * LONGS
-#: Blocks whose buckets are linked through leaders first.
+#: Blocks that are used: their buckets are linked through leaders first.
 FIRST = 20
+#: Texts of a similarity share a band with probability similarity ** ROWS.
+ROWS, BANDS = 10, 40
 #: Candidates differ in at most so many bits, three deviations above what a similarity of 0.8 has.
 NEAR = 190
 #: Buckets in which more pairs would be compared are settled by rare shingles.
@@ -85,14 +88,28 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)
 
 
-def fingerprint(text: Column, shingle_words: int) -> Column:
-    """The longs of wide_simhash(), and the number of shingles."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A long for each band: its number and, in each of its ROWS orders, the least of the hashes, hashed. The hashes are
+    ordered by their products with an odd number."""
+    orders = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[at : at + 256, None] * orders).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
-    @F.pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def sketch(text: Column, shingle_words: int) -> Column:
+    """fp: the longs of wide_simhash(), and the number of shingles; bands: band_keys()."""
+
+    @F.pandas_udf("fp array<long>, bands array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            hashes = (shingle_hashes(t, shingle_words) for t in s)
-            yield pd.Series([np.append(wide_simhash(numbered(h)), len(h)) for h in hashes])
+            hashes = [numbered(shingle_hashes(t, shingle_words)) for t in s]
+            yield pd.DataFrame({"fp": [np.append(wide_simhash(h), len(h)) for h in hashes], "bands": [band_keys(h) for h in hashes]})
 
     return of(text)
 
@@ -110,8 +127,8 @@ def block_places(bits: int = BLOCK_BITS, seed: int = 11) -> np.ndarray:
     return np.concatenate([rng.permutation(BITS)[: per * bits].reshape(per, bits) for _ in range(splits)])
 
 
-def block_keys(fp: Column, bits: int, blocks: int | None = None) -> Column:
-    """An array with a long for each block (of the first `blocks`, if given): the block's number above its bits."""
+def block_keys(fp: Column, bits: int, blocks: int) -> Column:
+    """An array with a long for each of the first `blocks` blocks: the block's number above its bits."""
     places = block_places(bits)[:blocks]
     powers = 1 << np.arange(bits, dtype=np.int64)
     numbers = np.arange(len(places), dtype=np.int64) << bits
@@ -243,10 +260,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     struct (id, text_key), a group being what links of `similarity` or more connect.
 
     Equal fingerprints are one node, shown by the document of least id (null last, then text_key).
-    Nodes are joined on blocks. A bucket's leader is the node that shares buckets with most others, which is
-    near the middle of its group. In the first blocks every node is a candidate with the foremost of its
+    Nodes are joined on blocks, then on bands. A bucket's leader is the node that shares blocks with most others, which is
+    near the middle of its group. In the blocks every node is a candidate with the foremost of its
     buckets' leaders. This links large groups of near copies by a few pairs a node. The same is done in those
-    buckets of all blocks that the links leave with several groups. Then the nodes outside of a
+    bands' buckets that the links leave with several groups. Then the nodes outside of a
     bucket's largest group are candidates with all nodes of its other groups, so no link between
     groups is lost. Candidates within NEAR bits are verified by _linked().
 
@@ -259,9 +276,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     fp = F.xxhash64("fp").alias("node")
     with small_batches(docs.sparkSession):
-        rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), fingerprint(F.col(text_col), shingle_words).alias("fp")).select("*", fp), "wide")
+        rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), sketch(F.col(text_col), shingle_words).alias("s")).select("id", "text_key", "s.*").select("*", fp), "wide")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
-    nodes = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by(F.struct("id", "text_key"), order).alias("rep")), "nodes")
+    reps = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by(F.struct("id", "text_key", "bands"), order).alias("rep"))
+    nodes = staged(reps.select("node", "fp", "rep.bands", F.struct("rep.id", "rep.text_key").alias("rep")), "nodes")
     given = nodes, docs, id_col, text_col, shingle_words
 
     bits = block_bits(nodes.count())
@@ -272,11 +290,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = _linked(_led(first.select("key", "node", F.col("node").alias("component")), prints, similarity), *given, similarity)
     groups = connected_components(links)
 
-    shown = staged(prints.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")), "shown")
-    keys = shown.select("node", "component", F.explode(block_keys(F.col("fp"), bits)).alias("key"))
-    with small_batches(docs.sparkSession):
-        several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
-        members = staged(keys.join(_bounded(several), "key").select("key", "node", "component"), "members")
+    shown = staged(nodes.select("node", "bands").join(groups, "node", "left").select("node", "bands", F.coalesce("component", "node").alias("component")), "shown")
+    keys = shown.select("node", "component", F.explode("bands").alias("key"))
+    several = staged(keys.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "several")
+    members = staged(keys.join(_bounded(several), "key").select("key", "node", "component"), "members")
     links = staged(links.union(_linked(_led(members, prints, similarity).join(links, ["u", "v"], "left_anti"), *given, similarity)), "links")
     groups = connected_components(links)
 

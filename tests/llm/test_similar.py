@@ -111,3 +111,52 @@ def test_a_crowd_whose_leader_is_at_its_edge(spark, prose_of):
     for crowd in (0, 1_000_000):
         got = {r["id"]: r["component"] for r in similar.similar_groups(df, crowd=crowd).collect()}
         assert sum(got[i] == got[j] for i, j in links) >= 0.97 * len(links)
+
+
+def test_recall_just_above_80_hundredths(spark, prose_of):
+    rng = random.Random(8)
+    pairs = []
+    while len(pairs) < 400:
+        words = prose_of(20_000 + len(pairs), rng.randint(300, 400)).split()
+        other = list(words)
+        while (alike := similarity(shingles(" ".join(words)), shingles(" ".join(other)))) > 0.815:
+            other[rng.randrange(len(other))] = f"w{rng.randrange(10**6)}"
+        if alike >= 0.8:
+            pairs.append((" ".join(words), " ".join(other)))
+    df = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(400)) >= 393
+
+
+def test_rows_of_a_text_in_a_crowd_of_alike_texts(spark, prose_of, monkeypatch):
+    """Texts that are alike, but mostly not linked, make no more rows each than there are bands, and lose no link for it."""
+    rng = random.Random(9)
+    base = prose_of(500, 300)
+    texts = [edited(rng, base, rng.randint(2, 7)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, staged = {}, similar.staged
+
+    def counted(frame, tag):
+        out = staged(frame, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "staged", counted)
+    got = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    assert 0 < rows["members"] <= 40 * rows["nodes"]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(300) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
+def test_bands():
+    h = similar.shingle_hashes("a b c d e f g h i j", 5)
+    keys = similar.band_keys(h)
+    assert keys.shape == (40,) and keys.dtype == np.int64 and len(set(keys.tolist())) == 40
+    assert (similar.band_keys(h[::-1]) == keys).all() and len(similar.band_keys(h[:0])) == 40
+    rng = np.random.Generator(np.random.PCG64(4))
+    shared = []
+    for _ in range(500):
+        each = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        shared.append((similar.band_keys(each[:270]) == similar.band_keys(each[30:])).sum())  # 240 of 300 in common
+    assert abs(np.mean(shared) - 40 * 0.8**10) < 0.5 and np.mean(np.array(shared) > 0) >= 0.975
